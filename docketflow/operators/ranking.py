@@ -67,8 +67,3 @@ def exact_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank"
 def seeded_hash(key: Column, seed: int) -> Column:
     """The seeded order key, the same in every engine that has md5."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-
-
-def hash_bucket(hashed: Column) -> Column:
-    """4096 even buckets that follow the order of an md5 text."""
-    return F.substring(hashed, 1, 3)

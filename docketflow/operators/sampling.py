@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from docketflow import fixed_values as V
-from docketflow.operators.ranking import exact_rank, hash_bucket, local_if_small, seeded_hash
+from docketflow.operators.ranking import exact_rank, seeded_hash
 
 
 def draw(df: DataFrame, key: str, n: int, seed: int = V.SEED) -> DataFrame:
@@ -24,57 +24,107 @@ def stratified_split(df: DataFrame, key: str = "link", label: str = "label", tes
                      seed: int = V.SEED, out: str = "split") -> DataFrame:
     """``train``/``test`` with exactly ``round(test_share * n)`` test rows in every class.
 
-    The order is a hash, so its leading digits are even buckets; only the bucket that holds the cut
-    has to be ranked. All others are decided by the bucket alone.
+    The order is a hash of the key. The hash at which each class's test set ends is found from counts
+    over its leading digits, so no class is ever sorted and ``df`` itself is passed once, unshuffled.
+    ``key`` has to be unique.
     """
-    marked = df.withColumn("_h", seeded_hash(F.col(key), seed)).withColumn("_bucket", hash_bucket(F.col("_h")))
-    cut = local_if_small(_cut_buckets(marked, label, test_share))
-    joined = marked.join(cut, marked[label].eqNullSafe(cut["_label"])).drop("_label")
-    below, above = F.col("_bucket") < F.col("_cut"), F.col("_bucket") > F.col("_cut")
-    edge = exact_rank(joined.filter(~below & ~above), [label], ["_h", key], "_rank", bucket=F.substring("_h", 1, 6))
-    decided = joined.filter(below | above).withColumn("_rank", F.when(below, F.lit(0)).otherwise(F.col("_need") + 1))
-    return decided.unionByName(edge) \
-        .withColumn(out, F.when(F.col("_rank") <= F.col("_need"), "test").otherwise("train")) \
-        .drop("_h", "_bucket", "_cut", "_need", "_rank")
-
-
-def _cut_buckets(marked: DataFrame, label: str, share: float) -> DataFrame:
-    """Per class: the bucket the test set ends in and how many rows of that bucket it still takes."""
-    counts = marked.groupBy(label, "_bucket").agg(F.count("*").alias("n"))
-    per_class = counts.groupBy(F.col(label).alias("_label")).agg(
-        F.sum("n").alias("total"),
-        F.sort_array(F.collect_list(F.struct("_bucket", "n"))).alias("parts"))
-    want = F.round(F.lit(share) * F.col("total")).cast("bigint")
-    start = F.struct(F.lit("").alias("cut"), F.lit(0).cast("bigint").alias("before"),
-                     F.lit(0).cast("bigint").alias("seen"))
-    walked = F.aggregate("parts", start, lambda acc, p: F.when(
-        acc["seen"] < want,
-        F.struct(p["_bucket"].alias("cut"), acc["seen"].alias("before"), (acc["seen"] + p["n"]).alias("seen"))
-    ).otherwise(acc))
-    return per_class.withColumn("w", walked).select(
-        "_label", F.col("w.cut").alias("_cut"), (want - F.col("w.before")).alias("_need"))
+    slim = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"),
+                     seeded_hash(F.col(key), seed).alias("_h"))
+    cuts = _test_cuts(slim, test_share)
+    marked = df.withColumn("_h", seeded_hash(F.col(key), seed))
+    before = (F.col("_h") < F.col("_cut_h")) | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
+    return marked.join(cuts, marked[label].eqNullSafe(cuts["_label"]), "left") \
+        .withColumn(out, F.when(before, "test").otherwise("train")).drop("_h", "_label", "_cut_h", "_cut_key")
+
+
+# Rows of one class that may be looked at on the driver to find the exact cut.
+CUT_ROWS = 1000
+
+
+def _test_cuts(slim: DataFrame, share: float) -> DataFrame:
+    """The last (hash, key) of each class's test set, as a small table.
+
+    Each round counts rows by three more hash digits and keeps the bucket the cut falls into, until
+    that bucket is small enough to read. One bucket per class is read, and a class is one row.
+    """
+    spark, types = slim.sparkSession, {f.name: f.dataType for f in slim.schema.fields}
+    schema = T.StructType([T.StructField("_label", types["_label"]), T.StructField("_p", T.StringType()),
+                           T.StructField("_need", T.LongType())])
+    digits, open_cuts, ready = 3, None, []
+    while open_cuts is None or open_cuts:
+        found = slim if open_cuts is None else _in_buckets(slim, spark.createDataFrame(open_cuts, schema), digits - 3)
+        counts = found.groupBy("_label", F.substring("_h", 1, digits).alias("_p")).agg(F.count("*").alias("n"))
+        per_class = counts.groupBy("_label").agg(
+            F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("_p", "n"))).alias("parts"))
+        left = {} if open_cuts is None else {c[0]: c[2] for c in open_cuts}
+        open_cuts = []
+        for r in _bounded(per_class.select("_label", "total", "parts")):
+            need = left[r["_label"]] if left else int(share * r["total"] + 0.5)
+            for part in r["parts"]:
+                if need <= part["n"]:
+                    break
+                need -= part["n"]
+            if need:
+                (ready if part["n"] <= CUT_ROWS or digits >= 32 else open_cuts).append((r["_label"], part["_p"], need))
+        digits += 3
+    cut_schema = T.StructType([T.StructField("_label", types["_label"]), T.StructField("_cut_h", T.StringType()),
+                               T.StructField("_cut_key", types["_key"])])
+    cuts = []
+    for length in {len(p) for _, p, _ in ready}:
+        some = [c for c in ready if len(c[1]) == length]
+        ordered = _in_buckets(slim, spark.createDataFrame(some, schema), length).withColumn(
+            "_n", F.row_number().over(W.partitionBy("_label").orderBy("_h", "_key"))).filter("_n = _need")
+        cuts += [(r["_label"], r["_h"], r["_key"]) for r in ordered.collect()]
+    return spark.createDataFrame(cuts, cut_schema)
+
+
+# Classes may be held by the driver up to this number.
+MAX_CLASSES = 10_000
+
+
+def _bounded(per_class: DataFrame) -> list:
+    rows = per_class.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"a stratified split is meant for up to {MAX_CLASSES} classes")
+    return rows
+
+
+def _in_buckets(slim: DataFrame, cuts: DataFrame, digits: int) -> DataFrame:
+    c = cuts.withColumnRenamed("_label", "_of")
+    return slim.join(c, slim["_label"].eqNullSafe(c["_of"]) & (F.substring("_h", 1, digits) == c["_p"])).drop("_of", "_p")
 
 
 def stratified_folds(df: DataFrame, key: str = "link", label: str = "label", folds: int = V.FOLDS,
-                     out: str = "fold", one_task_rows: int = 100_000) -> DataFrame:
+                     out: str = "fold", **rank) -> DataFrame:
     """Unshuffled stratified folds: contiguous blocks of each class in key order.
 
     Classes are laid end to end in order of first appearance and dealt to the folds in turn, which
-    gives each (class, fold) its size; a class's rows then fill the folds in order.
+    gives each (class, fold) its size; a class's rows then fill the folds in order. Only keys are
+    ranked, to find where each fold ends; ``df`` itself is passed once, unshuffled.
     """
-    ranked = exact_rank(df, [label], [key], "_rank", one_task_rows=one_task_rows)
-    classes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("n"), F.min(key).alias("first"))
-    # one row per class
-    listed = classes.agg(F.sort_array(F.collect_list(F.struct("first", "_label", "n"))).alias("c"))
-    placed = listed.select(F.posexplode("c").alias("i", "x"), "c").select(
-        F.col("x._label").alias("_label"), F.col("x.n").alias("_n"),
-        F.aggregate(F.slice("c", 1, F.col("i")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("_start"))
-    placed = local_if_small(placed)
-    upto, fold = F.lit(0), F.lit(0)
-    for j in range(folds - 1):
-        size = F.floor((F.col("_start") + F.col("_n") - 1 - j + folds) / folds) \
-            - F.floor((F.col("_start") - 1 - j + folds) / folds)
-        upto = upto + size
-        fold = fold + F.when(F.col("_rank") > upto, 1).otherwise(0)
-    return ranked.join(placed, ranked[label].eqNullSafe(placed["_label"])) \
-        .withColumn(out, fold.cast("int")).drop("_rank", "_label", "_n", "_start")
+    slim = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"))
+    sizes = sorted(_bounded(slim.groupBy("_label").agg(F.count("*").alias("n"), F.min("_key").alias("first"))),
+                   key=lambda r: r["first"])
+    ends, start = [], 0
+    for r in sizes:
+        upto = 0
+        for j in range(folds - 1):
+            upto += _dealt(start, r["n"], j, folds)
+            ends.append((r["_label"], j, upto))
+        start += r["n"]
+    types = {f.name: f.dataType for f in slim.schema.fields}
+    wanted = df.sparkSession.createDataFrame(ends, T.StructType([
+        T.StructField("_of", types["_label"]), T.StructField("_fold", T.IntegerType()), T.StructField("_upto", T.LongType())]))
+    ranked = exact_rank(slim, ["_label"], ["_key"], "_rank", **rank)
+    last = ranked.join(wanted, ranked["_label"].eqNullSafe(wanted["_of"]) & (ranked["_rank"] == wanted["_upto"]))
+    last_key = {(r["_of"], r["_fold"]): r["_key"] for r in last.select("_of", "_fold", "_key").collect()}
+    rows = [(r["_label"], [last_key.get((r["_label"], j)) for j in range(folds - 1)]) for r in sizes]
+    table = df.sparkSession.createDataFrame(rows, T.StructType([
+        T.StructField("_label", types["_label"]), T.StructField("_ends", T.ArrayType(types["_key"]))]))
+    passed = F.aggregate("_ends", F.lit(0), lambda n, e: n + F.when(e.isNull() | (F.col(key) > e), 1).otherwise(0))
+    return df.join(table, df[label].eqNullSafe(table["_label"])).withColumn(out, passed).drop("_label", "_ends")
+
+
+def _dealt(start: int, size: int, fold: int, folds: int) -> int:
+    """How many of ``size`` places from ``start`` on fall to ``fold`` when places are dealt in turn."""
+    return (start + size - 1 - fold) // folds - (start - 1 - fold) // folds

@@ -36,16 +36,13 @@ def permutation_test(wide: DataFrame, pairs: list[tuple[str, str]], row: str = "
     tossed = rows.filter("w <> b").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
         .withColumn("h", coins(seed, F.col("pair"), F.col("block"), F.col("row")))
     # swapping a row moves one right answer from the better model to the worse, or back
-    move = F.col("b") - F.col("w")
-
-    def swapped(cls):
-        return [F.sum(F.when(F.col("label") == cls, move * F.shiftright("h", j).bitwiseAND(F.lit(1)).cast("int"))
-                      .otherwise(0)).alias(f"m{cls}_{j}") for j in range(COINS)]
-
-    summed = tossed.groupBy("pair", "block").agg(*swapped(1), *swapped(0))
-    moved = summed.select("pair", "block", F.posexplode(F.array(*[
-        F.struct(F.col(f"m1_{j}").alias("m1"), F.col(f"m0_{j}").alias("m0")) for j in range(COINS)])).alias("j", "m")) \
-        .select("pair", (F.col("block") * COINS + F.col("j")).alias("perm"), "m.*") \
+    heads = tossed.withColumn("move", F.col("b") - F.col("w")).groupBy("pair", "block", "label", "move").agg(
+        *[F.sum(F.shiftright("h", j).bitwiseAND(F.lit(1))).alias(f"c{j}") for j in range(COINS)])
+    moved = heads.select("pair", "block", "label", "move", F.posexplode(F.array(*[F.col(f"c{j}") for j in range(COINS)]))
+                         .alias("j", "heads")) \
+        .groupBy("pair", (F.col("block") * COINS + F.col("j")).alias("perm")).agg(
+            F.sum(F.col("label") * F.col("move") * F.col("heads")).alias("m1"),
+            F.sum((1 - F.col("label")) * F.col("move") * F.col("heads")).alias("m0")) \
         .filter(F.col("perm") < permutations)
     stat = _difference(F.col("m1"), F.col("m0"), zero_tp)
     above = (F.col("stat") > F.col("observed")) if ties == "strict" else (F.col("stat") >= F.col("observed"))

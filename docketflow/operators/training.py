@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK_ROWS = 2048
 # All weights together, in numbers; beyond this a search has to be run in parts.
 MAX_WEIGHTS = 50_000_000
+# Gradients of all tasks together, in numbers, that the driver may take in one pass.
+DRIVER_NUMBERS = 2_000_000
 
 GRADIENT_SCHEMA = "model int, loss double, gradient array<double>"
 
@@ -88,6 +90,14 @@ def summed_gradients(rows: DataFrame, task: Callable, width: int, models: int) -
     if width * models > MAX_WEIGHTS:
         raise ValueError("too many weights for one pass; search fewer settings at a time")
     parts = rows.mapInArrow(task, GRADIENT_SCHEMA)
+    tasks = rows.rdd.getNumPartitions()
+    if tasks * width * models <= DRIVER_NUMBERS:
+        # few enough numbers to add up here; beyond that Spark adds them up first
+        loss, gradient = np.zeros(models), np.zeros((models, width))
+        for r in parts.collect():
+            loss[r["model"]] += r["loss"]
+            gradient[r["model"]] += r["gradient"]
+        return loss, gradient
     total = parts.groupBy("model").agg(
         F.sum("loss").alias("loss"),
         vector_to_array(Summarizer.sum(array_to_vector("gradient"))).alias("gradient")).collect()

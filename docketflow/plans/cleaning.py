@@ -8,7 +8,7 @@ from docketflow import fixed_values as V
 from docketflow.functions import text as X
 from docketflow.operators import embedding as E, vocabulary as W
 from docketflow.plans import common as C
-from docketflow.plans.common import dictionary, lemma_table, table
+from docketflow.plans.common import dictionary, lemma_table, table, texts
 from docketflow.plans.registry import Registry
 
 query = Registry()
@@ -17,7 +17,7 @@ PHRASES = ("the ", "of and", "que de", "und", "license", "@")
 
 
 def _docs(spark, sf, column, name="text"):
-    return table(spark, sf, "documents").select("doc_id", column.alias(name))
+    return texts(spark, sf).select("doc_id", column.alias(name))
 
 
 @query(f"SELECT doc_id, {C.sql_boilerplate(C.sql_newlines('text'), PHRASES)} AS text FROM documents")
@@ -42,7 +42,7 @@ def remove_urls(spark, sf):
 
 @query(f"SELECT page_id, {C.sql_tags('html')} AS text FROM pages")
 def remove_tags(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.remove_tags(F.col("html")).alias("text"))
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", X.remove_tags(F.col("html")).alias("text"))
 
 
 @query(f"SELECT doc_id, {C.sql_punctuation('lower(text)')} AS text FROM documents")
@@ -52,7 +52,7 @@ def remove_punct(spark, sf):
 
 @query(f"SELECT page_id, {C.sql_digits(C.sql_strip(C.sql_tags('html')))} AS text FROM pages")
 def remove_digits(spark, sf):
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages", "page_id", "html").select(
         "page_id", X.remove_digits(X.strip_space(X.remove_tags(F.col("html")))).alias("text"))
 
 
@@ -85,7 +85,7 @@ def _sql_kept(source: str, text: str, words: str = "dictionary") -> str:
 def dictionary_filter(spark, sf):
     words = dictionary(spark, sf)
     exclude = words.filter(F.col("word").startswith("th"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf)
     return W.dictionary_filter(docs, "doc_id", "text", words, exclude).select("doc_id", "kept")
 
 
@@ -102,7 +102,7 @@ def clean_text(spark, sf):
       LEFT JOIN lemma_table ON form = word GROUP BY doc_id)
     SELECT doc_id, coalesce(k, '') AS lemmas FROM documents LEFT JOIN done USING (doc_id)""")
 def lemmatize(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf)
     return W.lemmatize(docs, "doc_id", "text", lemma_table(spark, sf)) \
         .select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
@@ -120,7 +120,7 @@ _SQL_SENTENCES = f"""sents AS (SELECT doc_id, unnest(s) AS sentence, unnest(rang
 
 @query(f"WITH {_SQL_SENTENCES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM sents")
 def sentence_split(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
@@ -135,7 +135,7 @@ MAX_CHARS, CAP = 120, 10
     sentence FROM after WHERE length(sentence) < {MAX_CHARS}""")
 def sentence_select(spark, sf):
     kept = X.short_sentences(X.skip_leading_sentences(X.sentences(F.col("text"))), MAX_CHARS)
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
+    return texts(spark, sf).select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
 
 
 @query(f"""WITH {_SQL_AFTER}, short AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, sentence
@@ -145,7 +145,7 @@ def sentence_select(spark, sf):
     FROM drawn WHERE r <= {CAP}""")
 def sentence_cap(spark, sf):
     kept = X.sentences_to_encode(F.col("text"), F.col("doc_id"), cap=CAP)
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
+    return texts(spark, sf).select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
 
 
 @query(f"""WITH {_SQL_AFTER}, joined AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS t FROM after GROUP BY 1)
@@ -173,7 +173,7 @@ def _joined(name):
 @query(f"""WITH {_SQL_CHUNKS} SELECT doc_id, chunk, array_to_string(c, ' ') AS input_ids, CAST(len(c) AS INTEGER) AS attended
     FROM chunks""")
 def chunk_tokens(spark, sf):
-    chunks = table(spark, sf, "documents").select("doc_id", F.explode(E.chunk_tokens(_ids(), MAX_LEN, False)).alias("c"))
+    chunks = texts(spark, sf).select("doc_id", F.explode(E.chunk_tokens(_ids(), MAX_LEN, False)).alias("c"))
     attended = F.aggregate("c.attention_mask", F.lit(0), lambda a, x: a + x).alias("attended")
     return chunks.select("doc_id", F.col("c.chunk").alias("chunk"), F.col("c.input_ids").alias("input_ids"), attended) \
         .select("doc_id", "chunk", _joined("input_ids"), "attended")
@@ -185,7 +185,7 @@ def chunk_tokens(spark, sf):
       array_to_string([1 FOR x IN c] || [{V.PAD_ATTENTION} FOR x IN range(longest - len(c))], ' ') AS attention_mask
     FROM m""")
 def pad_batches(spark, sf):
-    chunks = table(spark, sf, "documents").select("doc_id", F.explode(E.chunk_tokens(_ids(), MAX_LEN)).alias("c")) \
+    chunks = texts(spark, sf).select("doc_id", F.explode(E.chunk_tokens(_ids(), MAX_LEN)).alias("c")) \
         .select("doc_id", "c.input_ids", "c.attention_mask")
     return E.pad_batches(chunks, ["doc_id"]).select("doc_id", "batch", _joined("input_ids"), _joined("attention_mask"))
 
@@ -193,7 +193,7 @@ def pad_batches(spark, sf):
 @query(f"""WITH {_SQL_CHUNKS} SELECT doc_id, round(avg(len(c)), 6) AS mean_length, round(avg(list_sum(c)), 6) AS mean_sum
     FROM chunks GROUP BY doc_id""")
 def embed_chunks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", _ids().alias("ids"))
+    docs = texts(spark, sf).select("doc_id", _ids().alias("ids"))
 
     def encode(chunks):
         return chunks.withColumn("vector", F.array(
@@ -225,7 +225,7 @@ _SQL_HASHED = f"""{_SQL_AFTER}, sw AS (SELECT doc_id, pos, md5(unnest(regexp_ext
     SELECT doc_id, dim, weight FROM pooled
     UNION ALL SELECT doc_id, CAST(-1 AS INTEGER), CAST(0 AS DOUBLE) FROM documents ANTI JOIN per_doc USING (doc_id)""")
 def embed_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf)
     vectors = E.embed_documents(docs, "doc_id", "text", E.hashing_encoder())
     # a document without sentences has a null embedding and appears once with dim -1
     long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("dim", "weight"))

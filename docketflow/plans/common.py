@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketflow import fixed_values as V
 from docketflow.functions import text as X
+from docketflow.sources.tables import spread
 
 # Keyword spellings that occur in this corpus.
 KEYWORDS = ("the", "The")
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and text of a text table, spread over the cores for the work that follows."""
+    return spread(table(spark, sf, name).select(key, text), key)
+
+
 def quoted(s: str) -> str:
     """A DuckDB text literal; backslashes stand for themselves, control characters go through chr()."""
     parts, plain = [], ""
@@ -43,7 +49,7 @@ def quoted(s: str) -> str:
 
 def judgments(spark: SparkSession, sf: str) -> DataFrame:
     """``link, case_name, year, court, text`` of every document."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("link"), F.concat(F.lit("Case "), F.col("doc_id").cast("string")).alias("case_name"),
         (2000 + F.pmod("doc_id", F.lit(21))).cast("int").alias("year"), F.col("source").alias("court"), "text")
 

@@ -8,7 +8,7 @@ from docketflow import fixed_values as V
 from docketflow.functions import text as X
 from docketflow.operators import evaluation as E, features as T, sampling as S, significance as G
 from docketflow.plans import common as C
-from docketflow.plans.common import expert, table
+from docketflow.plans.common import expert, table, texts
 from docketflow.plans.registry import Registry
 
 query = Registry()
@@ -20,7 +20,7 @@ def _terms(df, ngram=1):
 
 
 def _docs(spark, sf, ngram=1):
-    return _terms(table(spark, sf, "documents").select("doc_id", "text"), ngram)
+    return _terms(texts(spark, sf), ngram)
 
 
 def _sql_tf(source: str, key: str) -> str:

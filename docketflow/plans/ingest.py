@@ -8,7 +8,7 @@ from docketflow import fixed_values as V
 from docketflow.functions import html as H
 from docketflow.operators import linking as L, publish as P
 from docketflow.plans.common import (
-    HOST, KEYWORDS, SQL_EXPERT, SQL_JUDGMENTS, expert, judgments, sql_hash, sql_split, table)
+    HOST, KEYWORDS, SQL_EXPERT, SQL_JUDGMENTS, expert, judgments, sql_hash, sql_split, table, texts)
 from docketflow.plans.registry import Registry
 from docketflow.session import scratch_path
 from docketflow.sources import seeds, tables as S
@@ -50,8 +50,9 @@ def reload_check(spark, sf):
 
 
 def _harvested(spark, sf):
-    cases = L.court_codes(judgments(spark, sf), ["link"])
-    return cases.withColumn("mention", H.mention_tag(F.col("text"), keywords=KEYWORDS)).drop("text")
+    # tagged first, so the texts do not travel with the numbering
+    tagged = judgments(spark, sf).withColumn("mention", H.mention_tag(F.col("text"), keywords=KEYWORDS)).drop("text")
+    return L.court_codes(tagged, ["link"])
 
 
 _SQL_HARVESTED = SQL_JUDGMENTS + f""", harvested AS (SELECT court || row_number() OVER (PARTITION BY court ORDER BY link)
@@ -129,7 +130,7 @@ _SQL_LINKS = f"""links AS (SELECT page_id, unnest(range(len(h))) AS pos, unnest(
 
 
 def _links(spark, sf):
-    return L.extract_links(table(spark, sf, "pages").select("page_id", "html"))
+    return L.extract_links(texts(spark, sf, "pages", "page_id", "html"))
 
 
 @query(f"WITH {_SQL_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, href, title FROM links")
@@ -167,7 +168,7 @@ _SQL_DECODED = f"""replace(replace(replace(replace(replace(replace({_SQL_PAGE},
 
 @query(f"""SELECT page_id, contains(html, '{V.NEXT_PAGE_MARK}') AS has_next, {_SQL_DECODED} AS text FROM pages""")
 def page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.has_next_page(F.col("html")).alias("has_next"),
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", H.has_next_page(F.col("html")).alias("has_next"),
                                             H.page_text(F.col("html")).alias("text"))
 
 
