@@ -64,10 +64,10 @@ def _cross_validate(params: list[dict], folds: int, make: Callable, fit: Callabl
     return [Result(p, [float(x) for x in row]) for p, row in zip(params, scores)]
 
 
-def search_svm(df: DataFrame, width: int, features: str = "features", cs=V.SVM_EMBEDDING_C, losses=V.SVM_LOSSES,
+def search_svm(df: DataFrame, width: int, key: str, features: str = "features", cs=V.SVM_EMBEDDING_C, losses=V.SVM_LOSSES,
                folds: int = V.FOLDS, max_passes: int = 60) -> SearchOutcome:
     """Grid search on given vectors; ``df`` has the vectors, ``label`` and ``fold``."""
-    rows = materialise(training_rows(df, features), "svm-rows")
+    rows = materialise(training_rows(df, features, key=key), "svm-rows", "row")
     params = [{"C": c, "loss": loss} for c, loss in product(cs, losses)]
     results = _cross_validate(
         params, folds, lambda p, f: SvmSetting(p["C"], p["loss"], 0, f),
@@ -82,7 +82,7 @@ def search_mlp(df: DataFrame, width: int, key: str, features: str = "features",
                unit_shares=V.MLP_EMBEDDING_UNITS, folds: int = V.FOLDS, steps_per_epoch: int = 1) -> SearchOutcome:
     """Grid search of networks on given vectors."""
     grid = grid or V.MLP_GRID
-    rows = materialise(training_rows(df, features, key=key), "mlp-rows")
+    rows = materialise(training_rows(df, features, key=key), "mlp-rows", "row")
     params = _mlp_params(grid, width, unit_shares)
     results = _cross_validate(
         params, folds, lambda p, f: MlpSetting(holdout=f, **p),
@@ -117,28 +117,20 @@ def fold_vocabularies(df: DataFrame, key: str, terms: str, limits: list[tuple],
     side is the total less its fold. Counts are then stored once over all terms in use."""
     n_in_fold = {r["fold"]: r["n"] for r in df.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total = sum(n_in_fold.values())
-    per_fold = [F.sum(F.when(F.col("fold") == f, F.col("r.tf")).otherwise(0)).alias(f"cf_{f}") for f in range(folds)] \
-        + [F.sum(F.when(F.col("fold") == f, 1).otherwise(0)).alias(f"df_{f}") for f in range(folds)]
-    stats = df.select("fold", F.explode(term_runs(F.col(terms))).alias("r")) \
-        .groupBy(F.col("r.term").alias("term")).agg(F.sum("r.tf").alias("cf"), F.count("*").alias("df"), *per_fold)
-    sides, wanted = [], []
+    # the last place stands for "no fold left out"
+    per_fold = [F.array(*[F.sum(F.when(F.col("fold") == f, n).otherwise(0)) for f in range(folds)],
+                        F.lit(0).cast("bigint")).alias(name)
+                for name, n in (("fold_cf", F.col("r.tf")), ("fold_df", F.lit(1)))]
+    stats = materialise(
+        df.select("fold", F.explode(term_runs(F.col(terms))).alias("r"))
+        .groupBy(F.col("r.term").alias("term")).agg(F.sum("r.tf").alias("cf"), F.count("*").alias("df"), *per_fold),
+        "term-stats", "term")
+    wanted = []
     for max_df, min_df, max_features in limits:
         for f in [*range(folds), None]:
             n = total - (0 if f is None else n_in_fold.get(f, 0))
-            cf = F.col("cf") - (0 if f is None else F.col(f"cf_{f}"))
-            freq = F.col("df") - (0 if f is None else F.col(f"df_{f}"))
-            ok = (freq >= min_df) & (freq <= F.lit(float(max_df)) * n) & (freq > 0)
-            sides.append(F.struct(F.lit(len(wanted)).alias("view"), F.when(ok, cf).alias("cf"), freq.alias("df"),
-                                  F.lit(max_features).alias("k")))
             wanted.append((max_df, min_df, max_features, f, n))
-    most = max(m for _, _, m in limits)
-    # a rank limit is applied inside each task first, so a view's whole vocabulary never meets in one task
-    ranked = stats.select("term", F.explode(F.array(*sides)).alias("s")).select("term", "s.*").filter("cf IS NOT NULL") \
-        .withColumn("rank", F.row_number().over(W.partitionBy("view").orderBy(F.desc("cf"), "term"))) \
-        .filter(F.col("rank") <= most).filter("rank <= k")
-    chosen: dict[int, list] = {}
-    for r in ranked.select("view", "term", "df").collect():
-        chosen.setdefault(r["view"], []).append((r["term"], r["df"]))
+    chosen = _top_terms(stats, wanted, folds)
     names = sorted({t for rows in chosen.values() for t, _ in rows}) or [""]
     place = {t: i for i, t in enumerate(names)}
     views, view_of, tfidfs = [], {}, {}
@@ -152,7 +144,48 @@ def fold_vocabularies(df: DataFrame, key: str, terms: str, limits: list[tuple],
             kept = sorted(chosen.get(number, []))
             tfidfs[max_df, min_df, max_features] = Tfidf([t for t, _ in kept], [smooth_idf(d, n) for _, d in kept])
     counted = CountVectorizerModel.from_vocabulary(names, inputCol=terms, outputCol="features").transform(df)
-    return _FoldVocabularies(materialise(training_rows(counted, key=key), "term-counts"), names, views, view_of, tfidfs)
+    return _FoldVocabularies(materialise(training_rows(counted, key=key), "term-counts", "row"), names, views, view_of, tfidfs)
+
+
+# Terms looked at first, as a multiple of the vocabulary size; each further round takes eight times more.
+FIRST_LOOK = 4
+
+
+def _top_terms(stats: DataFrame, wanted: list[tuple], folds: int) -> dict[int, list]:
+    """The most frequent terms of every view as ``(term, df)``; a view is ``(max_df, min_df, size, fold, n)``.
+
+    A view's count of a term is at most its total. So once a view is filled with terms that occur at
+    least ``floor`` times on its side, no term below ``floor`` in total can belong to it. Only terms
+    above the floor are expanded over the views, and the floor falls until every view is filled or
+    all terms have been looked at.
+    """
+    # constants only, so the plan holds one literal however many views there are
+    views = F.array(*[F.struct(
+        F.lit(i).alias("view"), F.lit(folds if f is None else f).alias("fold"), F.lit(max(1, min_df)).alias("low"),
+        F.lit(float(max_df) * n).alias("high"), F.lit(k).alias("k")) for i, (max_df, min_df, k, f, n) in enumerate(wanted)])
+    level = F.floor(F.log2(F.col("cf").cast("double")) * 8).cast("int")
+    levels = [(r["level"], r["n"]) for r in stats.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()]
+    look = FIRST_LOOK * max(w[2] for w in wanted)
+    while levels:
+        floor, taken = 1.0, 0
+        for at, n in sorted(levels, reverse=True):
+            taken += n
+            if taken >= look:
+                floor = 2 ** (at / 8)
+                break
+        ranked = stats.filter(F.col("cf") >= floor).withColumn("v", F.explode(views)).select(
+            "term", "v.*", (F.col("cf") - F.get("fold_cf", F.col("v.fold"))).alias("cf"),
+            (F.col("df") - F.get("fold_df", F.col("v.fold"))).alias("df")).filter("df >= low AND df <= high") \
+            .withColumn("rank", F.row_number().over(W.partitionBy("view").orderBy(F.desc("cf"), "term"))).filter("rank <= k")
+        chosen: dict[int, list] = {}
+        sure = [0] * len(wanted)
+        for r in ranked.select("view", "term", "df", "cf").collect():
+            chosen.setdefault(r["view"], []).append((r["term"], r["df"]))
+            sure[r["view"]] += r["cf"] >= floor
+        if floor <= 1 or all(have >= w[2] for have, w in zip(sure, wanted)):
+            return chosen
+        look *= 8
+    return {}
 
 
 def _own_terms(model_weights: np.ndarray, names: list[str], tfidf: Tfidf) -> list[float]:

@@ -79,10 +79,11 @@ def column(batch: pa.RecordBatch, name: str, rows: slice) -> np.ndarray:
     return np.asarray(batch.column(batch.schema.get_field_index(name)))[rows]
 
 
-def gradient_batch(models, losses, gradients) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array(models, pa.int32()), pa.array(losses, pa.float64()),
-        pa.array([g for g in gradients], pa.list_(pa.float64()))], names=["model", "loss", "gradient"])
+def gradient_batch(models, losses: np.ndarray, gradients: np.ndarray) -> pa.RecordBatch:
+    rows, width = gradients.shape
+    listed = pa.ListArray.from_arrays(np.arange(0, (rows + 1) * width, width, dtype=np.int32), gradients.ravel())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(models, pa.int32()), pa.array(losses, pa.float64()), listed], names=["model", "loss", "gradient"])
 
 
 def summed_gradients(rows: DataFrame, task: Callable, width: int, models: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +91,14 @@ def summed_gradients(rows: DataFrame, task: Callable, width: int, models: int) -
     if width * models > MAX_WEIGHTS:
         raise ValueError("too many weights for one pass; search fewer settings at a time")
     parts = rows.mapInArrow(task, GRADIENT_SCHEMA)
-    tasks = rows.rdd.getNumPartitions()
-    if tasks * width * models <= DRIVER_NUMBERS:
-        # few enough numbers to add up here; beyond that Spark adds them up first
-        loss, gradient = np.zeros(models), np.zeros((models, width))
-        for r in parts.collect():
-            loss[r["model"]] += r["loss"]
-            gradient[r["model"]] += r["gradient"]
-        return loss, gradient
-    total = parts.groupBy("model").agg(
-        F.sum("loss").alias("loss"),
-        vector_to_array(Summarizer.sum(array_to_vector("gradient"))).alias("gradient")).collect()
+    if rows.rdd.getNumPartitions() * width * models > DRIVER_NUMBERS:
+        # too many numbers for the driver to add up, so Spark does
+        parts = parts.groupBy("model").agg(
+            F.sum("loss").alias("loss"),
+            vector_to_array(Summarizer.sum(array_to_vector("gradient"))).alias("gradient"))
     loss, gradient = np.zeros(models), np.zeros((models, width))
-    for r in total:
-        loss[r["model"]], gradient[r["model"]] = r["loss"], r["gradient"]
+    for batch in parts.toArrow().to_batches():
+        model, values = np.asarray(batch.column(0)), np.asarray(batch.column(2).flatten())
+        np.add.at(loss, model, np.asarray(batch.column(1)))
+        np.add.at(gradient, model, values.reshape(len(model), width))
     return loss, gradient

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketflow import fixed_values as V
 from docketflow.functions import text as X
-from docketflow.sources.tables import spread
+from docketflow.session import spread
 
 # Keyword spellings that occur in this corpus.
 KEYWORDS = ("the", "The")

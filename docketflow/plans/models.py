@@ -42,7 +42,7 @@ def _fit_svm(train, loss="squared_hinge", c=1.0):
 
 @query()
 def svm_predict(spark, sf):
-    sided = materialise(_split_terms(spark, sf), "split-terms")
+    sided = materialise(_split_terms(spark, sf), "split-terms", "link")
     vectoriser, svm = _fit_svm(sided.filter("split = 'train'"))
     test = svm.predict(vectoriser.transform(sided.filter("split = 'test'")))
     return test.select("link", "label", "prediction")
@@ -50,7 +50,7 @@ def svm_predict(spark, sf):
 
 @query()
 def mlp_predict(spark, sf):
-    sided = materialise(_split_terms(spark, sf), "split-terms")
+    sided = materialise(_split_terms(spark, sf), "split-terms", "link")
     train = sided.filter("split = 'train'")
     vectoriser = T.fit_tfidf(train, "terms", K, MIN_DF, MAX_DF)
     rows = materialise(training_rows(vectoriser.transform(train).withColumn("fold", F.lit(0)), key="link"), "mlp-rows")
@@ -61,7 +61,7 @@ def mlp_predict(spark, sf):
 
 def _folded(spark, sf):
     folded = stratified_folds(expert(spark, sf).select("link", "label", "text"))
-    return materialise(folded, "folded")
+    return materialise(folded, "folded", "link")
 
 
 @query()
@@ -85,7 +85,7 @@ def embedding_search(spark, sf):
     """SVM and network searches on given vectors: one vector class against the others."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"))
     folded = stratified_folds(vectors, "vec_id")
-    svm = R.search_svm(folded, 64, "embedding", cs=V.SVM_EMBEDDING_C, max_passes=12)
+    svm = R.search_svm(folded, 64, "vec_id", "embedding", cs=V.SVM_EMBEDDING_C, max_passes=12)
     net = R.search_mlp(folded, 64, "vec_id", "embedding", {"epochs": (10,), "learning_rate": (0.1, 0.01), "dropout": (0.2, 0)},
                        unit_shares=(4,))
     tables = [o.table(spark).withColumn("family", F.lit(n)) for n, o in (("svm", svm), ("mlp", net))]
@@ -95,7 +95,7 @@ def embedding_search(spark, sf):
 
 @query()
 def top_features(spark, sf):
-    sided = materialise(_split_terms(spark, sf), "split-terms")
+    sided = materialise(_split_terms(spark, sf), "split-terms", "link")
     vectoriser, svm = _fit_svm(sided.filter("split = 'train'"))
     return R.top_features(spark, vectoriser, svm)
 
@@ -103,7 +103,7 @@ def top_features(spark, sf):
 @query("""SELECT count(*) AS n_rows, 0 AS n_different FROM documents ANTI JOIN labels USING (doc_id)""")
 def model_roundtrip(spark, sf):
     """Vectoriser and SVM saved and loaded: predictions that differ from the original's, over all unlabelled rows."""
-    train = materialise(_split_terms(spark, sf), "split-terms").filter("split = 'train'")
+    train = materialise(_split_terms(spark, sf), "split-terms", "link").filter("split = 'train'")
     vectoriser, svm = _fit_svm(train)
     pipeline_path, model_path = scratch_path(spark, "vectoriser"), scratch_path(spark, "svm")
     vectoriser.pipeline().write().save(pipeline_path)
@@ -125,7 +125,7 @@ def _unlabelled(spark, sf):
 def score_unlabelled(spark, sf):
     """Clean, vectorise and score every unlabelled judgment with a model fitted on the labelled ones."""
     train = _cleaned(expert(spark, sf).select("link", "label", "text"), spark, sf)
-    train = materialise(train.withColumn("terms", T.analyse(F.col("clean_text"))).drop("clean_text"), "train-terms")
+    train = materialise(train.withColumn("terms", T.analyse(F.col("clean_text"))).drop("clean_text"), "train-terms", "link")
     vectoriser, svm = _fit_svm(train)
     rest = _cleaned(_unlabelled(spark, sf), spark, sf).withColumn("terms", T.analyse(F.col("clean_text")))
     scored = svm.predict(vectoriser.transform(rest))
@@ -149,7 +149,7 @@ def stream_flag(spark, sf):
 
 @query()
 def stream_score(spark, sf):
-    train = materialise(_split_terms(spark, sf), "split-terms").filter("split = 'train'")
+    train = materialise(_split_terms(spark, sf), "split-terms", "link").filter("split = 'train'")
     vectoriser, svm = _fit_svm(train)
     schema = table(spark, sf, "documents").schema
     documents = flow.read_arriving(spark, f"{sf}/documents.parquet*", schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "docketflow") -> SparkSession:
@@ -41,8 +41,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df, name: str):
-    """Write ``df`` to the shared folder and read it back, so a lost executor never re-runs its past."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan over all cores when it gives fewer tasks than that (one small file is one task).
+
+    A table of many files comes back as it is: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def materialise(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so a lost executor never re-runs its past.
+
+    With a ``key``, a result too small to keep all cores busy is written once more, in one file per core.
+    """
+    spark = df.sparkSession
+
+    def stored(rows: DataFrame) -> DataFrame:
+        path = scratch_path(spark, name)
+        rows.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    back = stored(df)
+    if key is None:
+        return back
+    wide = spread(back, key)
+    return back if wide is back else stored(wide)

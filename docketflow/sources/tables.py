@@ -14,15 +14,6 @@ CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""',
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the scan gives fewer tasks than that (one small file is one task).
-
-    A table of many files comes back as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """CSV with header. Quoted line breaks make a file unsplittable, so files are kept small instead."""
     df.write.options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
