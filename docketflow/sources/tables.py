@@ -20,7 +20,8 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    options = {**CSV_OPTIONS, "emptyValue": "", "multiLine": True, "mode": "FAILFAST"}
+    # a field with nothing in it is null whatever the marker; one that no text holds keeps "" from becoming null
+    options = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\u0000", "multiLine": True, "mode": "FAILFAST"}
     return spark.read.schema(schema).options(**options).csv(path)
 
 
