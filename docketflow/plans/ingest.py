@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketflow import fixed_values as V
+from docketflow import fixed_values as V, workflows
 from docketflow.functions import html as H
 from docketflow.operators import linking as L, publish as P
 from docketflow.plans.common import (
@@ -161,6 +161,26 @@ def links_missed(spark, sf):
     return L.links_missed(links.filter("page_id % 2 = 0"), links.filter("page_id % 2 = 1"))
 
 
+# Index pages are the pages; a judgment is the document whose first word its link names.
+_SQL_HARVEST = f"""{_SQL_LINKS}, listed AS (SELECT 'C/' || page_id % 7 AS court, 2000 + page_id % 21 AS year, page_id, pos,
+      '{HOST}' || href AS link, title FROM links),
+    firsts AS (SELECT court, link, arg_min(struct_pack(y := year, p := page_id, i := pos, t := title), (year, page_id, pos)) AS f
+      FROM listed GROUP BY court, link),
+    tags AS (SELECT '{HOST}/' || regexp_extract(text, '[^ ]+') AS link, min({_TAG}) AS mention FROM documents GROUP BY 1)"""
+
+
+@query(f"""WITH {_SQL_HARVEST} SELECT f.court, f.court || row_number() OVER (PARTITION BY f.court ORDER BY f.f.y, f.f.p, f.f.i) AS personal_code,
+    f.f.t AS case_name, CAST(f.f.y AS VARCHAR) AS year, f.link, coalesce(t.mention, '{V.NO_JUDGMENT}') AS mention
+    FROM firsts f LEFT JOIN tags t ON t.link = f.link""")
+def harvest(spark, sf):
+    index = texts(spark, sf, "pages", "page_id", "html").select(
+        F.concat(F.lit("C/"), (F.col("page_id") % 7).cast("string")).alias("court"),
+        (2000 + F.col("page_id") % 21).alias("year"), F.col("page_id").alias("url"), "html")
+    judged = texts(spark, sf).select(
+        F.concat(F.lit(HOST + "/"), F.regexp_extract("text", "[^ ]+", 0)).alias("link"), F.col("text").alias("html"))
+    return workflows.harvest(index, judged, HOST, KEYWORDS, html=False)
+
+
 _SQL_PAGE = r"""regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"""
 _SQL_DECODED = f"""replace(replace(replace(replace(replace(replace({_SQL_PAGE}, '&copy;', chr(169)), '&middot;', chr(183)),
     '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""

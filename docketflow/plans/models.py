@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from docketflow import fixed_values as V
+from docketflow import fixed_values as V, workflows
 from docketflow.functions import text as X
-from docketflow.operators import evaluation as E, features as T, search as R, vocabulary as W
+from docketflow.operators import features as T, publish as P, search as R, vocabulary as W
 from docketflow.operators.linear import LinearModel, SvmSetting, fit_svms
 from docketflow.operators.network import MlpSetting, fit_networks
 from docketflow.operators.sampling import stratified_folds, stratified_split
@@ -22,10 +22,9 @@ query = Registry()
 K, MIN_DF, MAX_DF = 500, 2, 0.8
 
 
-def _cleaned(df, spark, sf, key="link"):
-    """The text as the classifier sees it: the whole cleaning chain, dictionary filter included."""
-    cleaned = df.withColumn("text", X.clean(F.col("text")))
-    return W.dictionary_filter(cleaned, key, "text", dictionary(spark, sf), out="clean_text").drop("text")
+def _cleaned(df, spark, sf):
+    """The text as the classifier sees it."""
+    return workflows.clean_judgments(df, "link", dictionary(spark, sf)).drop("text")
 
 
 def _split_terms(spark, sf):
@@ -133,6 +132,30 @@ def score_unlabelled(spark, sf):
                          X.word_count(F.col("clean_text")).alias("words_left"))
 
 
+@query()
+def publish_scored(spark, sf):
+    """Training, scoring of the rest and the published table, end to end on cleaned text."""
+    words = dictionary(spark, sf)
+    labelled = workflows.clean_judgments(expert(spark, sf), "link", words).drop("text")
+    labelled = materialise(labelled, "labelled", "link")
+    rest = workflows.clean_judgments(_unlabelled(spark, sf), "link", words).drop("text")
+    fixes = P.corrections_table(spark, {"0": 1}).withColumn("link", F.col("link").cast("bigint"))
+    analysers = {(False, 1): T.analyse(F.col("clean_text"))}
+    grid = {"max_df": (0.8,), "min_df": (1, 3), "max_features": (500,)}
+    trained = workflows.train(labelled.select("link", "label", "clean_text"), fixes, analysers, grid, (1,), max_passes=15)
+    return workflows.score_and_publish(trained, labelled, rest, fixes)
+
+
+@query()
+def evaluate_trained(spark, sf):
+    """Scores of the searched model on the test side."""
+    labelled = expert(spark, sf).select("link", "label", F.lower("text").alias("clean_text"))
+    trained = workflows.train(labelled, P.corrections_table(spark, {"0": 1}).withColumn("link", F.col("link").cast("bigint")),
+                              {(False, 1): T.analyse(F.col("clean_text"))},
+                              {"max_df": (0.8,), "min_df": (2,), "max_features": (500,)}, (1, 5), max_passes=15)
+    return workflows.evaluate(trained.test)
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 _SQL_HIT = "(contains(html, 'the') OR contains(html, 'The'))"
