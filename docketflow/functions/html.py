@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -35,8 +36,8 @@ def canonical_link(href: Column, host: str = V.HOST, redirect: str = V.REDIRECT_
 
 def decode_entities(text: Column) -> Column:
     """Numeric and named character references; only those that occur in the row are replaced."""
-    named = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) if name != "amp"
-                           for x in (name, chr(code))])
+    # one literal in the plan, made a map when the plan is folded
+    named = F.from_json(F.lit(json.dumps({n: chr(c) for n, c in name2codepoint.items() if n != "amp"})), "map<string,string>")
 
     def numeric(pattern, prefix, to_hex):
         def run(t):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,11 +78,11 @@ def lemma_lookup(lemmas: DataFrame, in_plan: int = LEMMAS_IN_PLAN) -> Callable[[
         return None
     if not few:
         return lambda form: form
-    pieces = []
-    for prefix, rows in groupby(sorted(few), key=lambda r: r["form"][:2]):
-        inner = F.create_map(*[F.lit(x) for r in rows for x in (r["form"], r["lemma"])])
-        pieces += [F.lit(prefix), inner]
-    by_prefix = F.create_map(*pieces)
+    nested: dict[str, dict] = {}
+    for r in few:
+        nested.setdefault(r["form"][:2], {})[r["form"]] = r["lemma"]
+    # one literal in the plan, made a map when the plan is folded
+    by_prefix = F.from_json(F.lit(json.dumps(nested)), "map<string,map<string,string>>")
     return lambda form: F.coalesce(
         F.try_element_at(F.try_element_at(by_prefix, F.substring(form, 1, 2)), form), form)
 
