@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketflow import fixed_values as V
-from docketflow.operators.ranking import exact_rank
+from docketflow.operators.ranking import exact_rank, local_if_small
 from docketflow.operators.sampling import flag_sample
 
 
@@ -27,8 +27,8 @@ def corrections_table(spark, corrections: dict | None = None) -> DataFrame:
 
 
 def apply_corrections(df: DataFrame, corrections: DataFrame, key: str = "link", label: str = "label") -> DataFrame:
-    """Replace the label of the listed keys."""
-    fixes = corrections.groupBy(key).agg(F.max("fixed").alias("_fixed"))
+    """Replace the label of the listed keys. A short list is broadcast, so the rows stay where they are."""
+    fixes = local_if_small(corrections.groupBy(key).agg(F.max("fixed").alias("_fixed")))
     return df.join(fixes, key, "left").withColumn(label, F.coalesce("_fixed", label)).drop("_fixed")
 
 

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from docketflow.session import materialise
 
 # Up to here one window task does the job faster than a second pass over the rows.
 ONE_TASK_ROWS = 100_000
 SAMPLE_PER_BUCKET = 30
-# A result of at most this many rows may be held by the driver and broadcast by Catalyst.
-SMALL_ROWS = 20_000
+# A table of at most this many rows may be held by the driver and broadcast.
+SMALL_ROWS = 50_000
+
+
+def small_table(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """Driver rows as a table for a broadcast join; their number is checked.
+
+    Without the hint a table made from rows has no known size, and joining it on a class or a court
+    would shuffle everything by that hot key.
+    """
+    if len(rows) > SMALL_ROWS:
+        raise ValueError(f"{len(rows)} rows are too many to broadcast")
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def local_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """The same rows as a local table when they are few, so Catalyst sees their real size and may
-    broadcast them; otherwise ``df`` itself, joined the ordinary way."""
+    """The same rows held by the driver and broadcast when they are few; otherwise ``df`` itself,
+    joined the ordinary way."""
     rows = df.limit(max_rows + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= max_rows else df
+    return small_table(df.sparkSession, rows, df.schema) if len(rows) <= max_rows else df
 
 
 def _range_bounds(df: DataFrame, order: list[str], rows: int, buckets: int) -> list:
@@ -44,9 +57,11 @@ def exact_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank"
     Rows are put in buckets that follow the order; a window numbers each (group, bucket) and the rows
     in earlier buckets of the group are added from a small count table. ``order`` has to be unique
     inside a group. ``bucket`` is any expression that never falls while the order rises; without it the
-    cut points come from a sample. They are taken once, so both passes see the same buckets.
+    cut points come from a sample of the rows, which are stored first: they are read several times and
+    every reading has to see the same ones.
     """
     if bucket is None:
+        df = materialise(df, "to-rank")
         rows = df.count()
         if rows <= one_task_rows:
             return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from docketflow import fixed_values as V
-from docketflow.operators.ranking import exact_rank, seeded_hash
+from docketflow.operators.ranking import exact_rank, seeded_hash, small_table
 
 
 def draw(df: DataFrame, key: str, n: int, seed: int = V.SEED) -> DataFrame:
@@ -52,7 +52,7 @@ def _test_cuts(slim: DataFrame, share: float) -> DataFrame:
                            T.StructField("_need", T.LongType())])
     digits, open_cuts, ready = 3, None, []
     while open_cuts is None or open_cuts:
-        found = slim if open_cuts is None else _in_buckets(slim, spark.createDataFrame(open_cuts, schema), digits - 3)
+        found = slim if open_cuts is None else _in_buckets(slim, small_table(spark, open_cuts, schema), digits - 3)
         counts = found.groupBy("_label", F.substring("_h", 1, digits).alias("_p")).agg(F.count("*").alias("n"))
         per_class = counts.groupBy("_label").agg(
             F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("_p", "n"))).alias("parts"))
@@ -72,10 +72,10 @@ def _test_cuts(slim: DataFrame, share: float) -> DataFrame:
     cuts = []
     for length in {len(p) for _, p, _ in ready}:
         some = [c for c in ready if len(c[1]) == length]
-        ordered = _in_buckets(slim, spark.createDataFrame(some, schema), length).withColumn(
+        ordered = _in_buckets(slim, small_table(spark, some, schema), length).withColumn(
             "_n", F.row_number().over(W.partitionBy("_label").orderBy("_h", "_key"))).filter("_n = _need")
         cuts += [(r["_label"], r["_h"], r["_key"]) for r in ordered.collect()]
-    return spark.createDataFrame(cuts, cut_schema)
+    return small_table(spark, cuts, cut_schema)
 
 
 # Classes may be held by the driver up to this number.
@@ -113,13 +113,13 @@ def stratified_folds(df: DataFrame, key: str = "link", label: str = "label", fol
             ends.append((r["_label"], j, upto))
         start += r["n"]
     types = {f.name: f.dataType for f in slim.schema.fields}
-    wanted = df.sparkSession.createDataFrame(ends, T.StructType([
+    wanted = small_table(df.sparkSession, ends, T.StructType([
         T.StructField("_of", types["_label"]), T.StructField("_fold", T.IntegerType()), T.StructField("_upto", T.LongType())]))
     ranked = exact_rank(slim, ["_label"], ["_key"], "_rank", **rank)
     last = ranked.join(wanted, ranked["_label"].eqNullSafe(wanted["_of"]) & (ranked["_rank"] == wanted["_upto"]))
     last_key = {(r["_of"], r["_fold"]): r["_key"] for r in last.select("_of", "_fold", "_key").collect()}
     rows = [(r["_label"], [last_key.get((r["_label"], j)) for j in range(folds - 1)]) for r in sizes]
-    table = df.sparkSession.createDataFrame(rows, T.StructType([
+    table = small_table(df.sparkSession, rows, T.StructType([
         T.StructField("_label", types["_label"]), T.StructField("_ends", T.ArrayType(types["_key"]))]))
     passed = F.aggregate("_ends", F.lit(0), lambda n, e: n + F.when(e.isNull() | (F.col(key) > e), 1).otherwise(0))
     return df.join(table, df[label].eqNullSafe(table["_label"])).withColumn(out, passed).drop("_label", "_ends")

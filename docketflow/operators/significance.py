@@ -37,8 +37,8 @@ def permutation_test(wide: DataFrame, pairs: list[tuple[str, str]], row: str = "
         .withColumn("h", coins(seed, F.col("pair"), F.col("block"), F.col("row")))
     # swapping a row moves one right answer from the better model to the worse, or back
     heads = tossed.withColumn("move", F.col("b") - F.col("w")).groupBy("pair", "block", "label", "move").agg(
-        *[F.sum(F.shiftright("h", j).bitwiseAND(F.lit(1))).alias(f"c{j}") for j in range(COINS)])
-    moved = heads.select("pair", "block", "label", "move", F.posexplode(F.array(*[F.col(f"c{j}") for j in range(COINS)]))
+        *[F.expr(f"sum(shiftright(h, {j}) & 1) AS c{j}") for j in range(COINS)])
+    moved = heads.select("pair", "block", "label", "move", F.posexplode(F.array(*[f"c{j}" for j in range(COINS)]))
                          .alias("j", "heads")) \
         .groupBy("pair", (F.col("block") * COINS + F.col("j")).alias("perm")).agg(
             F.sum(F.col("label") * F.col("move") * F.col("heads")).alias("m1"),
