@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
-from docketflow.functions import text as X
 from docketflow.operators import evaluation as E, features as T, sampling as S, significance as G
 from docketflow.plans import common as C
 from docketflow.plans.common import expert, table, texts

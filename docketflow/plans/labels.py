@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketflow import fixed_values as V
 from docketflow.operators import linking as L, publish as P, sampling as S
 from docketflow.plans import common as C
 from docketflow.plans.common import expert, judgments, table

@@ -13,7 +13,7 @@ from docketflow.operators.network import MlpSetting, fit_networks
 from docketflow.operators.sampling import stratified_folds, stratified_split
 from docketflow.operators.training import training_rows
 from docketflow.plans import common as C
-from docketflow.plans.common import dictionary, expert, judgments, lemma_table, table
+from docketflow.plans.common import dictionary, expert, judgments, lemma_table, table, texts
 from docketflow.plans.registry import Registry
 from docketflow.session import materialise, scratch_path
 from docketflow.streaming import flow
@@ -170,14 +170,21 @@ def stream_flag(spark, sf):
     return spark.read.schema("link string, mention string").parquet(out)
 
 
-@query()
+@query("SELECT doc_id, 1 AS same_as_batch FROM documents")
 def stream_score(spark, sf):
+    """Every document scored once by the stream, and whether the batch run says the same."""
     train = materialise(_split_terms(spark, sf), "split-terms", "link").filter("split = 'train'")
     vectoriser, svm = _fit_svm(train)
     schema = table(spark, sf, "documents").schema
     documents = flow.read_arriving(spark, f"{sf}/documents.parquet*", schema)
-    scored = flow.score_arriving(
-        documents, lambda d: vectoriser.transform(d.withColumn("terms", T.analyse(F.col("text")))), svm.predict)
+
+    def prepare(d):
+        return vectoriser.transform(d.withColumn("terms", T.analyse(F.col("text"))))
+
     out = scratch_path(spark, "scored")
+    scored = flow.score_arriving(documents, prepare, svm.predict)
     flow.run_to_end(scored.select("doc_id", "prediction"), out, scratch_path(spark, "score-progress"))
-    return spark.read.schema("doc_id bigint, prediction int").parquet(out)
+    batch = svm.predict(prepare(texts(spark, sf)), out="expected").select("doc_id", "expected")
+    streamed = spark.read.schema("doc_id bigint, prediction int").parquet(out)
+    return streamed.join(batch, "doc_id", "full").select(
+        "doc_id", F.coalesce(F.col("prediction") == F.col("expected"), F.lit(False)).cast("int").alias("same_as_batch"))
