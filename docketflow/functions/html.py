@@ -10,9 +10,12 @@ from pyspark.sql import Column, functions as F
 from docketflow import fixed_values as V
 from docketflow.functions.text import let
 
-LIST_LINK = r'(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
+LIST = r"(?is)<ul\b[^>]*>(.*?)</ul\s*>"
+ITEM = r"(?is)<li\b[^>]*>(.*?)(?=<li\b|</li\s*>|\z)"
+_HREF = r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+ITEM_LINK = r"(?is)\A\s*" + _HREF
 # The link sits one level deeper: the second node inside the item's first child.
-NESTED_LIST_LINK = r'(?is)<li\b[^>]*>\s*<[a-z][^>]*>[^<]*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
+NESTED_ITEM_LINK = r"(?is)\A\s*<[a-z][^>]*>[^<]*" + _HREF
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT_STYLE = r"(?is)<(script|style)\b.*?</(?:script|style)\s*>"
 TAG = r"(?s)<[^>]*>"
@@ -23,11 +26,20 @@ def has_next_page(html: Column) -> Column:
 
 
 def list_links(html: Column, nested: bool = False) -> Column:
-    """``array<struct<href, title>>`` for the list items that hold a link, in page order."""
-    pattern = F.lit(NESTED_LIST_LINK if nested else LIST_LINK)
-    return F.arrays_zip(
-        F.regexp_extract_all(html, pattern, F.lit(1)).alias("href"),
-        F.regexp_extract_all(html, pattern, F.lit(2)).alias("title"))
+    """``array<struct<href, title>>`` for the items of ``ul`` lists that begin with a link, in page order.
+
+    The title is the text of the whole item, what stands behind the link included; character references in
+    the address are decoded, and its quotes may be double, single or missing.
+    """
+    pattern = F.lit(NESTED_ITEM_LINK if nested else ITEM_LINK)
+    items = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(LIST), F.lit(1)),
+                                  lambda u: F.regexp_extract_all(u, F.lit(ITEM), F.lit(1))))
+
+    def link(item):
+        href = F.concat(*[F.regexp_extract(item, NESTED_ITEM_LINK if nested else ITEM_LINK, k) for k in (1, 2, 3)])
+        return F.struct(decode_entities(href).alias("href"), F.trim(page_text(item)).alias("title"))
+
+    return F.transform(F.filter(items, lambda i: F.regexp_like(i, pattern)), link)
 
 
 def canonical_link(href: Column, host: str = V.HOST, redirect: str = V.REDIRECT_PREFIX) -> Column:

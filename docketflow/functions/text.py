@@ -148,12 +148,15 @@ def skip_leading_sentences(parts: Column, min_words: int = V.SKIP_WORDS) -> Colu
     return let(parts, cut)
 
 
-def short_sentences(parts: Column, max_chars: int = V.MAX_SENTENCE_CHARS) -> Column:
-    return F.filter(parts, lambda s: F.length(s) < max_chars)
+def short_sentences(parts: Column, max_chars: int | None = None) -> Column:
+    """Sentences of fewer than ``max_chars`` characters; all without a limit."""
+    return parts if max_chars is None else F.filter(parts, lambda s: F.length(s) < max_chars)
 
 
-def cap_sentences(parts: Column, key: Column, cap: int = V.MAX_SENTENCES, seed: int = V.SEED) -> Column:
-    """A seeded draw of exactly ``cap`` sentences where there are more; their order is kept."""
+def cap_sentences(parts: Column, key: Column, cap: int | None = None, seed: int = V.SEED) -> Column:
+    """A seeded draw of exactly ``cap`` sentences where there are more; their order is kept. No cap, no draw."""
+    if cap is None:
+        return parts
 
     def draw(s):
         drawn = F.slice(F.sort_array(F.transform(s, lambda x, i: F.struct(
@@ -170,7 +173,7 @@ def text_to_encode(text: Column, min_words: int = V.SKIP_WORDS) -> Column:
 
 
 def sentences_to_encode(text: Column, key: Column, min_words: int = V.SKIP_WORDS,
-                        max_chars: int = V.MAX_SENTENCE_CHARS, cap: int = V.MAX_SENTENCES,
+                        max_chars: int | None = None, cap: int | None = None,
                         seed: int = V.SEED) -> Column:
     return cap_sentences(short_sentences(skip_leading_sentences(sentences(text), min_words), max_chars),
                          key, cap, seed)

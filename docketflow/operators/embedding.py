@@ -39,7 +39,7 @@ def hashing_encoder(hex_digits: int = 2) -> Encoder:
 
 
 def embed_documents(df: DataFrame, key: str, text: str, encode: Encoder, min_words: int = V.SKIP_WORDS,
-                    max_chars: int = V.MAX_SENTENCE_CHARS, cap: int = V.MAX_SENTENCES,
+                    max_chars: int | None = None, cap: int | None = None,
                     seed: int = V.SEED) -> DataFrame:
     """Sentence vectors averaged per document; a document with no sentence left gets a null embedding.
 
@@ -51,10 +51,10 @@ def embed_documents(df: DataFrame, key: str, text: str, encode: Encoder, min_wor
     return df.select(key).join(pooled, key, "left")
 
 
-def chunk_tokens(ids: Column, max_len: int = V.MAX_CHUNK_TOKENS, first_only: bool = True) -> Column:
+def chunk_tokens(ids: Column, max_len: int = V.MAX_CHUNK_TOKENS, first_only: bool = False) -> Column:
     """Token ids cut into chunks, each with the start and end markers put back and an attention mask.
 
-    The long-document encoder uses the first chunk only; ``first_only=False`` gives them all.
+    ``first_only`` keeps the first chunk alone, as the published long-document encoder does.
     """
     def cut(t):
         length = F.size(t) - 2
@@ -83,7 +83,10 @@ def pad_batches(df: DataFrame, order: list[str], batch: int = V.ENCODER_BATCH, p
 
 
 def embed_chunks(df: DataFrame, key: str, ids: str, encode: Encoder, max_len: int = V.MAX_CHUNK_TOKENS,
-                 first_only: bool = True) -> DataFrame:
-    """Chunk vectors averaged per document. ``encode`` adds ``vector`` to ``input_ids, attention_mask``."""
+                 first_only: bool = False) -> DataFrame:
+    """Chunk vectors averaged per document; one without chunks has a null embedding.
+
+    ``encode`` adds ``vector`` to ``input_ids, attention_mask``.
+    """
     chunks = df.select(key, F.explode(chunk_tokens(F.col(ids), max_len, first_only)).alias("c")).select(key, "c.*")
-    return mean_pool(encode(chunks), key)
+    return df.select(key).join(mean_pool(encode(chunks), key), key, "left")

@@ -34,9 +34,19 @@ def last_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return picked.select(key, *[F.col(f"_last.{c}").alias(c) for c in df.columns if c != key])
 
 
-def attach(df: DataFrame, lookup: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Attributes by key; where the lookup repeats a key its last row wins."""
-    return df.join(last_per_key(lookup, key, order).drop(*order), key)
+def attach(df: DataFrame, lookup: DataFrame, key: str, order: list[str], missing: str = "error") -> DataFrame:
+    """Attributes by key; where the lookup repeats a key its last row wins.
+
+    A key without attributes is an error, as in a dictionary; ``missing="null"`` keeps its row with nulls.
+    """
+    if missing not in ("error", "null"):
+        raise ValueError("missing is 'error' or 'null'")
+    found = last_per_key(lookup, key, order).drop(*order).withColumn("_found", F.lit(True))
+    joined = df.join(found, key, "left")
+    if missing == "error":
+        absent = F.raise_error(F.concat(F.lit("no attributes for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        joined = joined.withColumn(key, F.when(F.col("_found"), F.col(key)).otherwise(absent.cast(df.schema[key].dataType)))
+    return joined.drop("_found")
 
 
 def dedup_links(links: DataFrame, order: list[str]) -> DataFrame:

@@ -258,11 +258,13 @@ def _network_setting(p: dict, ready: _FoldVocabularies, fold: int | None) -> Mlp
 
 def top_features(spark, tfidf: Tfidf, model: LinearModel, n: int = V.TOP_FEATURES,
                  positive_above: float = V.POSITIVE_ABOVE) -> DataFrame:
-    """The ``n`` lowest and ``n`` highest coefficients: the low end by size, then the high end rising."""
+    """The ``n`` lowest and ``n`` highest coefficients, both ends rising, with their ``position`` in that order."""
     zipped = spark.createDataFrame([(tfidf.terms, list(model.weights))], "term array<string>, weight array<double>")
     all_terms = zipped.select(F.explode(F.arrays_zip("term", "weight")).alias("z")) \
         .select(F.col("z.term").alias("feature"), F.col("z.weight").alias("value"))
     low = all_terms.orderBy("value", F.desc("feature")).limit(n).withColumn("end", F.lit("low"))
     high = all_terms.orderBy(F.desc("value"), "feature").limit(n).withColumn("end", F.lit("high"))
+    order = W.orderBy(F.desc("end"), "value", F.desc("feature"))
     return low.unionByName(high).withColumn("abs_value", F.abs("value")) \
-        .withColumn("sign", F.when(F.col("value") > positive_above, "positive").otherwise("negative"))
+        .withColumn("sign", F.when(F.col("value") > positive_above, "positive").otherwise("negative")) \
+        .withColumn("position", F.row_number().over(order)).orderBy("position")

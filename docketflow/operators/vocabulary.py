@@ -1,99 +1,53 @@
-"""Token look-ups against a word table: dictionary filter and lemmas."""
+"""Token look-ups against a word table: dictionary filter and lemmas.
 
-from __future__ import annotations
+Both explode the tokens with a row number of their own, join them with the table and gather what is found in token order.
+There is one path for tables of every size; which join it becomes is left to the optimiser.
+"""
 
-import json
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketflow.functions.text import let, tokens
-
-# Up to these sizes the words travel inside the expression: no join and no shuffle of the text's tokens.
-WORDS_IN_PLAN = 300_000
-LEMMAS_IN_PLAN = 20_000
-SALTS = 16
-
-
-def _words_if_few(table: DataFrame, limit: int) -> list | None:
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+from docketflow.session import materialise
 
 
-def _sql_text(word: str) -> str:
-    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _token_join(df: DataFrame, key: str, words: Column, table: DataFrame, how: str, value: Column) -> DataFrame:
-    """Join every token with ``table(word, ...)`` and gather ``value`` per row in token order.
-
-    Frequent tokens are spread by their position, and the table is repeated once per salt.
-    """
-    left = df.select(key, F.posexplode(words).alias("pos", "word")) \
-        .withColumn("_salt", F.pmod("pos", F.lit(SALTS)))
-    right = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    joined = left.join(right, ["word", "_salt"], how).select(key, "pos", value.alias("value"))
-    return joined.groupBy(key).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]).alias("_words"))
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows, stored, with a number each; a number made anew in every read could change when a task runs again."""
+    return materialise(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
-def _attach_words(df: DataFrame, key: str, gathered: DataFrame, out: str) -> DataFrame:
-    empty = F.array().cast("array<string>")
-    return df.join(gathered, key, "left").withColumn(out, F.coalesce("_words", empty)).drop("_words")
+def _gathered(rows: DataFrame, words: Column, table: DataFrame, how: str, value: Column, out: str) -> DataFrame:
+    """``rows`` with the array ``out`` of ``value`` for every token that ``table(_word, ...)`` joins, in token order."""
+    exploded = rows.select("_row", F.posexplode(words).alias("_pos", "_word"))
+    joined = exploded.join(table, "_word", how).select("_row", "_pos", value.alias("_value"))
+    lists = joined.groupBy("_row").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_pos", "_value"))), lambda r: r["_value"]).alias("_found"))
+    return rows.join(lists, "_row", "left").withColumn(out, F.coalesce("_found", F.array().cast("array<string>"))).drop("_row", "_found")
 
 
 def dictionary_filter(df: DataFrame, key: str, text: str, words: DataFrame, exclude: DataFrame | None = None,
-                      out: str = "kept", in_plan: int = WORDS_IN_PLAN) -> DataFrame:
+                      out: str = "kept") -> DataFrame:
     """Keep the tokens found in ``words(word)`` and not in ``exclude(word)``, each followed by a blank.
 
-    Case-sensitive. ``key`` has to be unique; it is used only when the word table is too large to
-    travel with the plan.
+    Case-sensitive; null words match nothing. Rows stay as they are, also where ``key`` repeats. A null text keeps nothing.
     """
-    table = words.select("word").distinct()
+    table = words.select(F.col("word").alias("_word")).filter("_word IS NOT NULL").distinct()
     if exclude is not None:
-        table = table.join(exclude.select("word").distinct(), "word", "left_anti")
-    few = _words_if_few(table, in_plan)
-    if few is None:
-        found = _token_join(df, key, tokens(F.col(text)), table, "left_semi", F.col("word"))
-        kept = _attach_words(df, key, found, "_kept")
-        return kept.withColumn(out, _spaced(F.col("_kept"))).drop("_kept")
-    if not few:
-        return df.withColumn(out, F.lit(""))
-    listed = ", ".join(_sql_text(r["word"]) for r in sorted(few))
-    marked = df.withColumn("_tokens", tokens(F.col(text)))
-    return marked.withColumn(out, _spaced(F.expr(f"filter(_tokens, w -> w IN ({listed}))"))).drop("_tokens")
+        table = table.join(exclude.select(F.col("word").alias("_word")).distinct(), "_word", "left_anti")
+    found = _gathered(_numbered(df), tokens(F.col(text)), table, "left_semi", F.col("_word"), "_kept")
+    return found.withColumn(out, _spaced(F.col("_kept"))).drop("_kept")
 
 
 def _spaced(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 0, F.concat(F.array_join(w, " "), F.lit(" "))).otherwise(""))
 
 
-def lemma_lookup(lemmas: DataFrame, in_plan: int = LEMMAS_IN_PLAN) -> Callable[[Column], Column] | None:
-    """A function from a form to its lemma, built from ``lemmas(form, lemma)`` when the table is small enough.
+def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame, out: str = "lemmas") -> DataFrame:
+    """Tokens of two or more characters, each replaced by its lemma where ``lemmas(form, lemma)`` has one.
 
-    A map is searched from end to end, so forms sit in small maps by their first two letters.
+    Where a form repeats its smallest lemma counts. Rows stay as they are, also where ``key`` repeats. A null text has none.
     """
-    few = _words_if_few(lemmas.select("form", "lemma").groupBy("form").agg(F.min("lemma").alias("lemma")), in_plan)
-    if few is None:
-        return None
-    if not few:
-        return lambda form: form
-    nested: dict[str, dict] = {}
-    for r in few:
-        nested.setdefault(r["form"][:2], {})[r["form"]] = r["lemma"]
-    # one literal in the plan, made a map when the plan is folded
-    by_prefix = F.from_json(F.lit(json.dumps(nested)), "map<string,map<string,string>>")
-    return lambda form: F.coalesce(
-        F.try_element_at(F.try_element_at(by_prefix, F.substring(form, 1, 2)), form), form)
-
-
-def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame, out: str = "lemmas",
-              in_plan: int = LEMMAS_IN_PLAN) -> DataFrame:
-    """Tokens of two or more characters, each replaced by its lemma where the table has one."""
     words = F.filter(tokens(F.col(text)), lambda w: F.length(w) > 1)
-    lookup = lemma_lookup(lemmas, in_plan)
-    if lookup is not None:
-        return df.withColumn(out, F.transform(words, lookup))
-    table = lemmas.groupBy(F.col("form").alias("word")).agg(F.min("lemma").alias("lemma"))
-    found = _token_join(df, key, words, table, "left", F.coalesce("lemma", "word"))
-    return _attach_words(df, key, found, out)
+    table = lemmas.filter("form IS NOT NULL AND lemma IS NOT NULL").groupBy(F.col("form").alias("_word")).agg(F.min("lemma").alias("_lemma"))
+    return _gathered(_numbered(df), words, table, "left", F.coalesce("_lemma", "_word"), out)

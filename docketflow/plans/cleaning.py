@@ -26,15 +26,15 @@ def strip_boilerplate(spark, sf):
 
 
 # No document holds a URL, so the pages' URLs are put in front of lines of the texts with the same id.
-_SQL_WITH_URL = """with_url AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN p.url || ' cited' || chr(10) || d.text
-    ELSE d.text || chr(10) || p.url || chr(13) || chr(10) || 'end ' || p.url END AS text
-    FROM documents d JOIN pages p ON p.page_id = d.doc_id)"""
+_SQL_WITH_URL = """with_url AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(p.url, '') || ' cited' || chr(10) || d.text
+    ELSE d.text || chr(10) || coalesce(p.url, '') || chr(13) || chr(10) || 'end ' || coalesce(p.url, '') END AS text
+    FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id)"""
 
 
 @query(f"WITH {_SQL_WITH_URL} SELECT doc_id, {C.sql_urls('text')} AS text FROM with_url")
 def remove_urls(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    joined = table(spark, sf, "documents").join(pages, "doc_id")
+    joined = table(spark, sf, "documents").join(pages, "doc_id", "left").withColumn("url", F.coalesce("url", F.lit("")))
     text = F.when(F.col("doc_id") % 2 == 0, F.concat("url", F.lit(" cited\n"), "text")) \
         .otherwise(F.concat("text", F.lit("\n"), "url", F.lit("\r\nend "), "url"))
     return joined.select("doc_id", X.remove_urls(text).alias("text"))
@@ -179,15 +179,15 @@ def chunk_tokens(spark, sf):
         .select("doc_id", "chunk", _joined("input_ids"), "attended")
 
 
-@query(f"""WITH {_SQL_CHUNKS}, firsts AS (SELECT doc_id, c, (row_number() OVER (ORDER BY doc_id) - 1) // {V.ENCODER_BATCH} AS batch
-      FROM chunks WHERE chunk = 0), m AS (SELECT *, max(len(c)) OVER (PARTITION BY batch) AS longest FROM firsts)
-    SELECT doc_id, batch, array_to_string(c || [{V.PAD_TOKEN} FOR x IN range(longest - len(c))], ' ') AS input_ids,
+@query(f"""WITH {_SQL_CHUNKS}, firsts AS (SELECT doc_id, chunk, c, (row_number() OVER (ORDER BY doc_id, chunk) - 1) // {V.ENCODER_BATCH} AS batch
+      FROM chunks), m AS (SELECT *, max(len(c)) OVER (PARTITION BY batch) AS longest FROM firsts)
+    SELECT doc_id, chunk, batch, array_to_string(c || [{V.PAD_TOKEN} FOR x IN range(longest - len(c))], ' ') AS input_ids,
       array_to_string([1 FOR x IN c] || [{V.PAD_ATTENTION} FOR x IN range(longest - len(c))], ' ') AS attention_mask
     FROM m""")
 def pad_batches(spark, sf):
     chunks = texts(spark, sf).select("doc_id", F.explode(E.chunk_tokens(_ids(), MAX_LEN)).alias("c")) \
-        .select("doc_id", "c.input_ids", "c.attention_mask")
-    return E.pad_batches(chunks, ["doc_id"]).select("doc_id", "batch", _joined("input_ids"), _joined("attention_mask"))
+        .select("doc_id", "c.chunk", "c.input_ids", "c.attention_mask")
+    return E.pad_batches(chunks, ["doc_id", "chunk"]).select("doc_id", "chunk", "batch", _joined("input_ids"), _joined("attention_mask"))
 
 
 @query(f"""WITH {_SQL_CHUNKS} SELECT doc_id, round(avg(len(c)), 6) AS mean_length, round(avg(list_sum(c)), 6) AS mean_sum
@@ -214,10 +214,10 @@ def mean_pool(spark, sf):
 
 
 _SQL_HASHED = f"""{_SQL_AFTER}, sw AS (SELECT doc_id, pos, md5(unnest(regexp_extract_all(lower(sentence), '[^{C.SPACE}]+')))[1:2] AS b
-      FROM after WHERE length(sentence) < {V.MAX_SENTENCE_CHARS}),
+      FROM after),
     tf AS (SELECT doc_id, pos, b, count(*) AS n FROM sw GROUP BY ALL),
     unit AS (SELECT doc_id, pos, b, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, pos)) AS w FROM tf),
-    per_doc AS (SELECT doc_id, count(*) AS sentences FROM after WHERE length(sentence) < {V.MAX_SENTENCE_CHARS} GROUP BY 1)"""
+    per_doc AS (SELECT doc_id, count(*) AS sentences FROM after GROUP BY 1)"""
 
 
 @query(f"""WITH {_SQL_HASHED}, pooled AS (SELECT doc_id, CAST(('0x' || b) AS INTEGER) AS dim, round(sum(w) / any_value(sentences), 6) AS weight

@@ -124,13 +124,39 @@ def embedding_scan(spark, sf):
         F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last_value"))
 
 
-_SQL_LIST = r"""'(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'"""
-_SQL_LINKS = f"""links AS (SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(t) AS title,
-    FROM (SELECT page_id, regexp_extract_all(html, {_SQL_LIST}, 1) AS h, regexp_extract_all(html, {_SQL_LIST}, 2) AS t FROM pages))"""
+# Lists as a court's index writes them: by page the address is in double, single or no quotes, and a year in brackets and a
+# character reference stand behind the link.
+_ITEM = '<li><a href="([^"]*)">(.*?)</a></li>'
+_WRITTEN = {1: "<li><a href='{0}?a&amp;b'>{1}</a> [1999] x</li>", 2: "<li><a href={0}>{1}</a> v &lt;J&gt; [2005]</li>"}
+
+
+def _sql_pages() -> str:
+    cases = " ".join(f"WHEN page_id % 4 = {k} THEN regexp_replace(html, '{_ITEM}', '{form.format(chr(92) + '1', chr(92) + '2').replace(chr(39), chr(39) * 2)}', 'g')"
+                     for k, form in _WRITTEN.items())
+    return f"written AS (SELECT page_id, CASE {cases} WHEN page_id % 4 = 3 THEN replace(replace(html, '<ul>', '<ol>'), '</ul>', '</ol>') ELSE html END AS html FROM pages)"
+
+
+# The rule: of each ul, each item, up to its end; the address is decoded and the title is the item's text.
+_SQL_LINKS = _sql_pages() + r""", listed_items AS (SELECT page_id, [i FOR i IN flatten(
+      [string_split(l, '</li>') FOR l IN regexp_extract_all(html, '(?is)<ul>(.*?)</ul>', 1)]) IF i <> ''] AS items FROM written),
+    numbered AS (SELECT page_id, unnest(items) AS item, unnest(range(len(items))) AS pos FROM listed_items),
+    linked AS (SELECT page_id, pos, regexp_extract(item, '<a href=["'']?([^"''>]*)', 1) AS href,
+      regexp_replace(item, '<[^>]*>', '', 'g') AS title FROM numbered),
+    links AS (SELECT page_id, pos, replace(href, '&amp;', '&') AS href,
+      trim(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM linked)"""
+
+
+def _written(spark, sf):
+    html, kind = F.col("html"), F.col("page_id") % 4
+    pages = texts(spark, sf, "pages", "page_id", "html")
+    written = F.when(kind == 3, F.replace(F.replace(html, F.lit("<ul>"), F.lit("<ol>")), F.lit("</ul>"), F.lit("</ol>"))).otherwise(html)
+    for k in (1, 2):
+        written = F.when(kind == k, F.regexp_replace(html, _ITEM, _WRITTEN[k].format("$1", "$2"))).otherwise(written)
+    return pages.withColumn("html", written)
 
 
 def _links(spark, sf):
-    return L.extract_links(texts(spark, sf, "pages", "page_id", "html"))
+    return L.extract_links(_written(spark, sf))
 
 
 @query(f"WITH {_SQL_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, href, title FROM links")
@@ -170,10 +196,10 @@ _SQL_HARVEST = f"""{_SQL_LINKS}, listed AS (SELECT 'C/' || page_id % 7 AS court,
 
 
 @query(f"""WITH {_SQL_HARVEST} SELECT f.court, f.court || row_number() OVER (PARTITION BY f.court ORDER BY f.f.y, f.f.p, f.f.i) AS personal_code,
-    f.f.t AS case_name, CAST(f.f.y AS VARCHAR) AS year, f.link, coalesce(t.mention, '{V.NO_JUDGMENT}') AS mention
+    f.f.t AS case_name, coalesce(nullif(regexp_extract(f.f.t, '\\[([0-9]+)\\][^\\[]*$', 1), ''), CAST(f.f.y AS VARCHAR)) AS year, f.link, coalesce(t.mention, '{V.NO_JUDGMENT}') AS mention
     FROM firsts f LEFT JOIN tags t ON t.link = f.link""")
 def harvest(spark, sf):
-    index = texts(spark, sf, "pages", "page_id", "html").select(
+    index = _written(spark, sf).select(
         F.concat(F.lit("C/"), (F.col("page_id") % 7).cast("string")).alias("court"),
         (2000 + F.col("page_id") % 21).alias("year"), F.col("page_id").alias("url"), "html")
     judged = texts(spark, sf).select(

@@ -66,10 +66,9 @@ def _folded(spark, sf):
 @query()
 def search_results(spark, sf):
     """Vectoriser x SVM search; the table of scores goes out as JSON and is read back."""
-    df = _folded(spark, sf)
-    lemma = W.lemma_lookup(lemma_table(spark, sf))
-    words = F.transform(F.filter(X.tokens(F.lower("text")), lambda w: F.length(w) > 1), lemma)
-    analysers = {(True, 1): T.analyse(F.col("text"), 1, words), (False, 2): T.analyse(F.col("text"), 2)}
+    lowered = _folded(spark, sf).withColumn("lowered", F.lower("text"))
+    df = W.lemmatize(lowered, "link", "lowered", lemma_table(spark, sf)).drop("lowered")
+    analysers = {(True, 1): T.analyse(F.col("text"), 1, F.col("lemmas")), (False, 2): T.analyse(F.col("text"), 2)}
     grid = {"max_df": (0.6, 0.8), "min_df": (1, 3), "max_features": (500,)}
     found = R.search_tfidf_svm(df, "link", analysers, grid, cs=(0.1, 1), max_passes=12)
     path = scratch_path(spark, "search")

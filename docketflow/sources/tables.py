@@ -26,9 +26,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def tagged_line(code: Column, case_name: Column, year: Column, link: Column, mention: Column) -> Column:
-    """One harvested line: the code, then named fields, tab separated."""
+    """One harvested line: the code, then named fields, tab separated.
+
+    A null field is empty, and tabs and line breaks inside a field become blanks, so every line has every field.
+    """
     named = zip(V.LINE_FIELDS[2:], (case_name, year, link, mention))
-    return F.concat_ws("\t", code, *[F.concat(F.lit(f"{n}: "), c.cast("string")) for n, c in named])
+    return F.concat_ws("\t", _field(code), *[F.concat(F.lit(f"{n}: "), _field(c)) for n, c in named])
+
+
+def _field(value: Column) -> Column:
+    return F.translate(F.coalesce(value.cast("string"), F.lit("")), "\t\r\n", "   ")
 
 
 def mention_line(line_no: Column, line: Column) -> Column:
@@ -37,7 +44,7 @@ def mention_line(line_no: Column, line: Column) -> Column:
 
 
 def link_line(link: Column, mention: Column) -> Column:
-    return F.concat_ws("\t", link, mention)
+    return F.concat_ws("\t", _field(link), _field(mention))
 
 
 def write_court_lines(df: DataFrame, path: str, court: str = "court", line: str = "line") -> None:
@@ -54,7 +61,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tagged(spark: SparkSession, path: str, schema: T.StructType = schemas.HARVESTED_LINE) -> DataFrame:
     """Header-less tab-separated lines; the field names in front of the values are removed."""
-    raw = spark.read.schema(schema).options(sep="\t", quote="").csv(path)
+    raw = spark.read.schema(schema).options(sep="\t", quote="", mode="FAILFAST").csv(path)
     return strip_field_names(raw)
 
 
@@ -73,7 +80,7 @@ def write_split(df: DataFrame, path: str) -> None:
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*schemas.SPLIT_FILE.fields, T.StructField("split", T.StringType())])
-    return spark.read.schema(schema).csv(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").csv(path)
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:

@@ -18,9 +18,14 @@ def read_arriving(spark: SparkSession, path: str, schema: T.StructType, files_pe
 
 def flag_new_pages(pages: DataFrame, link: str, text: Column, **tags) -> DataFrame:
     """Tag each link the first time it is seen. A link that arrives over and over is thinned out per
-    salt first, so its copies do not all meet in one task."""
+    salt first; the salt is the task that read the row, so
+    copies of one page don't all meet in one task.
+
+    Both steps keep every link in the state store, as a crawl's set of seen links does: use the RocksDB backend
+    for crawls whose links don't fit in memory. Of several texts for one link in a batch any may be the one tagged.
+    """
     tagged = pages.select(F.col(link).alias("link"), mention_tag(text, F.col(link), **tags).alias("mention"),
-                          F.pmod(F.xxhash64(text), F.lit(SALTS)).alias("_salt"))
+                          F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
     return tagged.dropDuplicates(["link", "_salt"]).dropDuplicates(["link"]).drop("_salt")
 
 

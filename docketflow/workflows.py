@@ -21,7 +21,7 @@ def harvest(index_pages: DataFrame, judgment_pages: DataFrame, host: str = V.HOS
     Each court lists a link once, where it first appears. A link marked as broken, or without a page,
     is tagged as having no judgment.
     """
-    found = L.canonical_links(L.extract_links(index_pages), host).withColumn("case_name", H.page_text(F.col("title")))
+    found = L.canonical_links(L.extract_links(index_pages), host).withColumn("case_name", F.col("title"))
     cases = L.with_year(found, "case_name", F.col("year")).withColumn("case_key", F.struct("court", "link"))
     first = L.first_per_key(cases.select("case_key", "year", "url", "pos", "case_name", "case_year"),
                             "case_key", ["year", "url", "pos"])

@@ -22,7 +22,7 @@ def test_chunk_tokens(one, n):
     assert [r["input_ids"] for r in got] == expected
     assert [r["attention_mask"] for r in got] == [[1] * len(c) for c in expected]
     assert [r["chunk"] for r in got] == list(range(len(expected)))
-    first = one(lambda c: E.chunk_tokens(c, 4), [ids], "array<int>")[0]
+    first = one(lambda c: E.chunk_tokens(c, 4, first_only=True), [ids], "array<int>")[0]
     assert [r["input_ids"] for r in first] == expected[:1]
 
 
@@ -74,4 +74,6 @@ def test_embed_chunks_averages_all_chunks(spark):
         return d.withColumn("vector", F.array(F.size("input_ids").cast("double")))
 
     assert E.embed_chunks(df, "k", "ids", encode, 4, first_only=False).first()["embedding"] == [4.5]
-    assert E.embed_chunks(df, "k", "ids", encode, 4).first()["embedding"] == [6.0]
+    assert E.embed_chunks(df, "k", "ids", encode, 4, first_only=True).first()["embedding"] == [6.0]
+    empty = spark.createDataFrame([("b", [0, 2])], "k string, ids array<int>")
+    assert E.embed_chunks(df.union(empty), "k", "ids", encode, 4).orderBy("k").collect()[1]["embedding"] is None

@@ -9,13 +9,22 @@ from docketflow.sources import seeds
 def test_list_links(one):
     page = '<ul><li><a href="/a">A</a></li>\n<LI class="x"> <A id=1 href="/b">B <i>b</i></A></li><li>none</li></ul><a href="/c">c</a>'
     got = one(H.list_links, [page])[0]
-    assert [(r["href"], r["title"]) for r in got] == [("/a", "A"), ("/b", "B <i>b</i>")]
+    assert [(r["href"], r["title"]) for r in got] == [("/a", "A"), ("/b", "B b")]
 
 
 def test_nested_list_links(one):
-    page = '<ol><li><b>1. <a href="/x">X</a></b></li><li><a href="/y">Y</a></li></ol>'
+    page = '<ul><li><b>1. <a href="/x">X</a></b></li><li><a href="/y">Y</a></li></ul>'
     got = one(lambda c: H.list_links(c, nested=True), [page])[0]
-    assert [(r["href"], r["title"]) for r in got] == [("/x", "X")]
+    assert [(r["href"], r["title"]) for r in got] == [("/x", "1. X")]
+
+
+def test_item_text_and_quoting(one):
+    """The title is the whole item, the address may be quoted in any way, and only ul items count."""
+    page = ("<ul><li><a href=\"/a&amp;b.html\">Smith v Jones</a> [2005] EWHC 7</li><li><a href='/q.html'>Q</a></li>"
+            "<li><a href=/n.html>N</a></ul><ol><li><a href=\"/o\">O</a></li></ol>")
+    got = one(H.list_links, [page])[0]
+    assert [(r["href"], r["title"]) for r in got] == [("/a&b.html", "Smith v Jones [2005] EWHC 7"), ("/q.html", "Q"), ("/n.html", "N")]
+    assert one(H.list_links, ["", None])[0] == []
 
 
 def test_canonical_link(one):

@@ -81,3 +81,19 @@ def test_materialise_and_spread(spark):
     assert back.rdd.getNumPartitions() >= 8 and back.agg(F.sum("v")).first()[0] == 9900
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide, "id") is wide
+
+
+def test_tagged_line_keeps_every_field(spark):
+    """A null field is empty and a tab or line break inside a field can't start another."""
+    df = spark.createDataFrame([("C1", "A\tv\nB", None, "l", "m")], "code string, name string, year int, link string, mention string")
+    line = df.select(S.tagged_line(F.col("code"), F.col("name"), F.col("year"), F.col("link"), F.col("mention"))).first()[0]
+    assert line.split("\t") == ["C1", "Case: A v B", "Year: ", "Link: l", "Animal: m"]
+
+
+def test_attach_policy(spark):
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    lookup = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, o int, v string")
+    got = L.attach(keys, lookup, "k", ["o"], missing="null").orderBy("k").collect()
+    assert [(r["k"], r["v"]) for r in got] == [(1, "b"), (2, None)]
+    with pytest.raises(Exception, match="no attributes for 2"):
+        L.attach(keys, lookup, "k", ["o"]).collect()

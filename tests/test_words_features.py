@@ -16,22 +16,29 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(DOCS)), "k int, text string")
 
 
-@pytest.mark.parametrize("in_plan", [100, 0])
-def test_dictionary_filter(spark, docs, in_plan):
-    words = spark.createDataFrame([("the",), ("cat",), ("CAT",), ("hat",), ("well",), ("the",), ("'",), ("it's",)], "word string")
-    exclude = spark.createDataFrame([("hat",)], "word string")
-    got = W.dictionary_filter(docs, "k", "text", words, exclude, in_plan=in_plan).orderBy("k").collect()
+@pytest.mark.parametrize("more", [0, 30_000])
+def test_dictionary_filter(spark, docs, more):
+    """The table's size, null words and repeated keys make no difference."""
+    words = spark.createDataFrame([("the",), ("cat",), ("CAT",), ("hat",), ("well",), ("the",), ("'",), ("it's",), (None,)], "word string") \
+        .union(spark.range(more).select(F.concat(F.lit("zz"), "id")))
+    exclude = spark.createDataFrame([("hat",), (None,)], "word string")
+    got = W.dictionary_filter(docs, "k", "text", words, exclude).orderBy("k").collect()
     assert [r["kept"] for r in got] == ["the cat the CAT ", "the ", "", "well cat ' ", "' "]
     none = words.filter("word = 'no'")
-    assert [r["kept"] for r in W.dictionary_filter(docs, "k", "text", none, in_plan=in_plan).orderBy("k").collect()] == [""] * 5
+    assert [r["kept"] for r in W.dictionary_filter(docs, "k", "text", none).orderBy("k").collect()] == [""] * 5
+    repeated = spark.createDataFrame([(1, "the cats sat"), (1, "a cat ran"), (2, None)], "k int, text string")
+    assert sorted((r["k"], r["kept"]) for r in W.dictionary_filter(repeated, "k", "text", words).collect()) == [(1, "cat "), (1, "the "), (2, "")]
 
 
-@pytest.mark.parametrize("in_plan", [100, 0])
-def test_lemmatize(spark, docs, in_plan):
-    table = spark.createDataFrame([("sat", "sit"), ("known", "know"), ("knew", "know"), ("xylo", "x'y")], "form string, lemma string")
-    got = W.lemmatize(docs, "k", "text", table, in_plan=in_plan).orderBy("k").collect()
+@pytest.mark.parametrize("more", [0, 30_000])
+def test_lemmatize(spark, docs, more):
+    table = spark.createDataFrame([("sat", "sit"), ("known", "know"), ("knew", "know"), ("xylo", "x'y"), (None, "x")], "form string, lemma string") \
+        .union(spark.range(more).select(F.concat(F.lit("zz"), "id"), F.lit("z")))
+    got = W.lemmatize(docs, "k", "text", table).orderBy("k").collect()
     assert [r["lemmas"] for r in got] == [
         ["the", "cat", "sit", "the", "CAT"], ["x'y", "the"], [], ["well", "know", "cat", "hat"], ["nothing", "know", "here"]]
+    repeated = spark.createDataFrame([(1, "the sat"), (1, "it knew"), (1, None)], "k int, text string")
+    assert sorted(r["lemmas"] for r in W.lemmatize(repeated, "k", "text", table).collect()) == [[], ["it", "know"], ["the", "sit"]]
 
 
 def _brute(docs, ngram, k, min_df, max_df):
