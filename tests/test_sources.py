@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docketflow import schemas
+from docketflow.operators import linking as L
 from docketflow.session import materialise, scratch_path, spread
 from docketflow.sources import tables as S
 
