@@ -37,9 +37,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], weight: str = "weight"
     for i, (name, target) in enumerate(targets.items()):
         having = cells.groupBy(name).agg(F.sum(weight).alias("_w")).filter("_w > 0").select(F.col(name).alias("_v"))
         wanted = target.select(F.col(name).alias("_t"), "target").join(having, F.col("_t").eqNullSafe(F.col("_v"))).select(
-            "_v", (F.col("target") / F.sum("target").over(total)).alias(f"_target{i}"))
+            "_v", F.try_divide("target", F.sum("target").over(total)).alias(f"_target{i}"))
         fitted = fitted.join(wanted, F.col(name).eqNullSafe(F.col("_v")), "left").drop("_v")
-    fitted = fitted.withColumn("_own", F.col(weight).cast("double") / F.sum(weight).over(total)).withColumn("_share", F.col("_own"))
+    fitted = fitted.withColumn("_own", F.coalesce(F.try_divide(F.col(weight).cast("double"), F.sum(weight).over(total)), F.lit(0.0))).withColumn("_share", F.col("_own"))
     for step in range(rounds):
         if step % ROUNDS_STORED == 0:
             fitted = materialise(fitted, "cells")

@@ -79,11 +79,11 @@ class Segmenter:
             parents.append(keys >> 8)
             edges.append(keys & 255)
             best, few = np.full(len(keys), -np.inf), np.zeros(len(keys), np.int64)
-            at, hashed, power = np.arange(len(keys)), np.zeros(len(keys), np.uint64), np.uint64(1)
+            at, hashed, power = np.arange(len(keys)), np.zeros(len(keys), np.uint64), 1
             for size in range(1, min(depth, self.longest) + 1):
-                hashed += MIXED[edges[depth - size + 1][at]] * power
+                hashed += MIXED[edges[depth - size + 1][at]] * np.uint64(power)
                 at = parents[depth - size + 1][at]
-                power *= self.BASE
+                power = power * int(self.BASE) & 0xFFFFFFFFFFFFFFFF
                 if size not in self.tables and size > 1:
                     continue
                 hashes, values = self.tables.get(size, (np.zeros(1, np.uint64), np.array([UNKNOWN])))
