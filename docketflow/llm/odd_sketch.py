@@ -29,8 +29,8 @@ BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 SIMILARITY_PERCENT = 85
-#: Shingles that a block of one comparison task holds.
-BLOCK_SHINGLES = 1 << 20
+#: Bytes of text that a block of one comparison task holds.
+BLOCK_BYTES = 8 << 20
 
 _SEEDS = np.random.default_rng(7)
 FACTORS = _SEEDS.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,28 +160,16 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, SIGNATURE.format(key=key))
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``node`` and its sorted shingle hashes ``shingles``."""
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches.bounded(rows, text, 4 << 20):
-            hashes, starts, _ = shingles_of(pc.fill_null(batch.column(text), ""))
-            values, at = sets_of(hashes, starts)
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["node", "shingles"])
-
-    return docs.select(key, text).mapInArrow(run, "node bigint, shingles array<bigint>")
-
-
 def flips_between(a: str, b: str):
     """Population count of the XOR of two sketch columns."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``u, v, left, right`` (sorted sets) whose sets are similar enough: ``u, v``."""
+    """The rows of ``u, v, left, right`` (texts) whose shingle sets are similar enough: ``u, v``."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            (a, i), (b, j) = (batches.flat_list(batch.column(c)) for c in ("left", "right"))
-            a, b = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+        for batch in batches.bounded(rows, "left", 4 << 20):
+            (a, i), (b, j) = (sets_of(*shingles_of(batch.column(c))[:2]) for c in ("left", "right"))
             keep = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
                 x, y = a[i[k] : i[k + 1]], b[j[k] : j[k + 1]]
@@ -199,10 +187,9 @@ def _links_in_block(group: pd.DataFrame, percent: int, limit: int) -> pd.DataFra
     """
     node, comp, stray = group["node"].to_numpy(), group["comp"].to_numpy(), group["stray"].to_numpy(bool)
     sketch = np.stack(group["sketch"].to_numpy()).view(np.uint64)
-    sets = group["shingles"].to_numpy()
-    sizes = np.array([len(s) for s in sets], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    _, codes = np.unique(np.concatenate(list(sets)), return_inverse=True)
+    hashes, starts = sets_of(*shingles_of(pa.array(group["text"], pa.string()))[:2])
+    sizes, starts = np.diff(starts), starts[:-1]
+    _, codes = np.unique(hashes, return_inverse=True)
     present = np.zeros(int(codes.max()) + 1, np.int64)
     comp = np.unique(comp, return_inverse=True)[1]
     out = []
@@ -246,14 +233,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("band", "pivot")
     pairs = materialise(banded.join(shared, "band").select("node", "pivot").filter("node <> pivot").distinct(), "pairs")
     named = pairs.select("node").union(pairs.select("pivot")).distinct()
-    wanted = materialise(nodes.select("node", "sketch").join(named, "node", "left_semi").join(
-        shingle_sets(source.join(named.withColumnRenamed("node", key), key, "left_semi"), key, text).dropDuplicates(["node", "shingles"]), "node"), "sets")
+    # joins that carry texts are sort-merge joins at every size: the text side is never small
+    texts = source.filter(F.col(key).isNotNull()).join(named.withColumnRenamed("node", key).hint("merge"), key, "left_semi").dropDuplicates([key, text])
     limit = most_flips(percent)
-    near = pairs.join(wanted.select("node", F.col("sketch").alias("a")), "node").join(wanted.select(F.col("node").alias("pivot"), F.col("sketch").alias("b")), "pivot")
+    sketches = nodes.select("node", "sketch")
+    near = pairs.join(sketches.withColumnRenamed("sketch", "a"), "node").join(sketches.withColumnsRenamed({"node": "pivot", "sketch": "b"}), "pivot")
     near = near.filter(flips_between("a", "b") <= limit).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    sets = wanted.select("node", "shingles")
-    with_left = near.join(sets.withColumnsRenamed({"node": "u", "shingles": "left"}), "u")
-    links = materialise(confirmed(with_left.join(sets.withColumnsRenamed({"node": "v", "shingles": "right"}), "v"), percent), "confirmed")
+    wanted = materialise(texts.select(F.col(key).alias("node"), F.col(text).alias("text")).join(sketches, "node"), "texts")
+    own = wanted.select("node", "text")
+    with_left = near.hint("merge").join(own.withColumnsRenamed({"node": "u", "text": "left"}), "u")
+    links = materialise(confirmed(with_left.hint("merge").join(own.withColumnsRenamed({"node": "v", "text": "right"}), "v"), percent), "confirmed")
     formed = materialise(components(links, "u", "v"), "formed")
 
     # per smallest text: what is outside its component is held against the whole group
@@ -272,12 +261,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def links_across(groups: DataFrame, wanted: DataFrame, percent: int, limit: int) -> DataFrame:
     """Links between components inside each pivot's group; blocks of strays meet blocks of members.
 
-    ``groups``: ``pivot, node, comp, stray``. A block holds about ``BLOCK_SHINGLES`` shingles, however large the group is.
+    ``groups``: ``pivot, node, comp, stray``. A block holds about ``BLOCK_BYTES`` of text, however large the group is.
     """
-    rows = materialise(groups.join(wanted, "node"), "groups")
+    rows = materialise(groups.hint("merge").join(wanted, "node").withColumn("_size", F.octet_length("text")), "groups")
     weight = rows.groupBy("pivot").agg(
-        F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"),
-        F.ceil(F.sum(F.when(F.col("stray"), F.size("shingles"))) / F.lit(BLOCK_SHINGLES)).cast("int").alias("stray_blocks"))
+        F.ceil(F.sum("_size") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"),
+        F.ceil(F.sum(F.when(F.col("stray"), F.col("_size"))) / F.lit(BLOCK_BYTES)).cast("int").alias("stray_blocks"))
     dealt = rows.join(weight, "pivot").withColumns({
         "x": F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"), "y": F.pmod(F.xxhash64("node", F.lit(2)), F.col("stray_blocks")).cast("int")})
     # as a member it meets every block of strays; as a stray it also meets every block of members
@@ -285,7 +274,7 @@ def links_across(groups: DataFrame, wanted: DataFrame, percent: int, limit: int)
     going = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("x"), F.col("y").alias("y")))
     places = F.when(F.col("stray"), F.array_union(meeting, going)).otherwise(meeting)
     spread = dealt.withColumn("_at", F.explode(places)).select(
-        "pivot", "_at.x", "_at.y", "node", "comp", (F.col("stray") & (F.col("y") == F.col("_at.y"))).alias("stray"), "sketch", "shingles")
+        "pivot", "_at.x", "_at.y", "node", "comp", (F.col("stray") & (F.col("y") == F.col("_at.y"))).alias("stray"), "sketch", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return _links_in_block(group, percent, limit)
