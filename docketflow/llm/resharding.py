@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from docketflow.session import materialise, scratch_path
 
 #: Rows that one block holds on average.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 #: Old and new shards a plan may have; the flow between them is solved on the driver.
 MAX_SHARDS = 2_000
 
@@ -140,7 +140,8 @@ def rewrite(spark: SparkSession, path: str, assigned: DataFrame, to: str, every:
     rows = identified(spark, path)
     clash = {"shard", "slot"} & {c.lower() for c in rows.columns}
     rows = rows.withColumnsRenamed({c: f"original_{c}" for c in rows.columns if c.lower() in clash})
-    rows.join(assigned.select("_file", "_row", "shard", "slot"), ["_file", "_row"]).drop("_file", "_row").write.partitionBy("shard").parquet(to)
+    # the side with the texts is never small: a sort-merge join at every size
+    rows.hint("merge").join(assigned.select("_file", "_row", "shard", "slot"), ["_file", "_row"]).drop("_file", "_row").write.partitionBy("shard").parquet(to)
 
 
 def reshard(spark: SparkSession, path: str, old_shard: Column, shards: int, text: str = "text", to: str | None = None) -> DataFrame:
