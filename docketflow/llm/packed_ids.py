@@ -35,7 +35,7 @@ CACHE = 400_000
 def _runs(fits: np.ndarray, count: int) -> np.ndarray:
     """Whether the ``count`` values from each place on all fit, along the last axis; places past the end fit."""
     have, out = 1, fits
-    while have < count:
+    while have < count and out.any():
         step = min(have, count - have)
         shifted = np.ones_like(out)
         shifted[:, :-step] = out[:, step:]
@@ -61,15 +61,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # the most values that one word can take from each place on; what lies past a block's end counts as zero
     best = np.full((blocks, BLOCK), ESCAPE, np.uint8)
     own = grid[:, :BLOCK]
-    least, most = int(own.min()), int(own.max())
+    widths = np.frexp(own.astype(np.float64))[1].astype(np.uint8)
+    least, most = int(widths.min()), int(widths.max())
     for selector in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[selector]
-        if most < 1 << bits:
+        if most <= bits:
             best[:] = selector
-        elif least < 1 << bits:
-            fits = own < np.uint64(1 << bits)
-            if count <= 60 or fits.mean() > 0.5 or _runs(fits, 60).any():
-                best[_runs(fits, count)] = selector
+        elif least <= bits:
+            best[_runs(widths <= bits, count)] = selector
     steps = np.array([c for c, _ in SELECTORS] + [1])
     line, place = np.arange(blocks), np.zeros(blocks, np.int64)
     lines, places, chosen = [], [], []
