@@ -260,13 +260,23 @@ def _features_of(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: c.cast("double") for k, c in transformed().items()})
 
 
+def estimates_from(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> tuple[DataFrame, DataFrame]:
+    """Fit on the rows of ``measured``, which has the columns of ``measure``, that pass the base limits."""
+    statistics = _features_of(measured.filter(~F.col("base_failed")))
+    return fit(materialise(statistics.select(*groups, *FEATURES), "quality"), list(groups), FEATURES)
+
+
 def estimates_of(docs: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> tuple[DataFrame, DataFrame]:
     """Fit on the statistics of all rows of ``docs`` that pass the base limits."""
-    statistics = _features_of(measure(docs.select(*groups, text), text).filter(~F.col("base_failed")).drop(text))
-    return fit(materialise(statistics.select(*groups, *FEATURES), "quality"), list(groups), FEATURES)
+    return estimates_from(measure(docs.select(*groups, text), text), groups)
+
+
+def verdicts(measured: DataFrame, estimates: DataFrame, used: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """``measured``, which has the columns of ``measure``, with ``distance`` and ``kept``; every row stays, repeated ones too."""
+    found = judge(_features_of(measured), estimates, used, list(groups), FEATURES)
+    return found.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier")).drop("outlier", *FEATURES)
 
 
 def quality(docs: DataFrame, estimates: DataFrame, used: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, ``distance`` and ``kept``; every row stays, repeated ones too."""
-    found = judge(_features_of(measure(docs, text)), estimates, used, list(groups), FEATURES)
-    return found.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier")).drop("outlier", *FEATURES)
+    return verdicts(measure(docs, text), estimates, used, groups)

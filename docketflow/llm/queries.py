@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketflow.llm import adaptive_scan, byte_bpe, odd_sketch, outliers, packed_ids, raking, resharding, secret_scan, toxicity, trie_counts
 from docketflow.plans.registry import Registry
+from docketflow.session import materialise
 
 query = Registry()
 
@@ -72,9 +73,11 @@ def op5_adaptive_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op6_robust_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts are measured once; the stored statistics serve the estimates and the verdicts."""
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    estimates, used = outliers.estimates_of(docs)
-    return outliers.quality(docs, estimates, used).select("doc_id", *outliers.STATISTICS, "base_failed", "kept", "distance")
+    measured = materialise(outliers.measure(docs).drop("text"), "statistics")
+    estimates, used = outliers.estimates_from(measured)
+    return outliers.verdicts(measured, estimates, used).select("doc_id", *outliers.STATISTICS, "base_failed", "kept", "distance")
 
 
 @query()
