@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions without ``spark.checkpoint.dir``, by application; the session's settings stay as they are.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def local_session(cores: int | str = 8, app: str = "docketflow") -> SparkSession:
     """A local session for tests and benches; on a cluster use the session that is there."""
     spark = (
@@ -36,8 +40,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="docketflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="docketflow-")
+        base = _LOCAL_SCRATCH[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
