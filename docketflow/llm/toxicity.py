@@ -204,10 +204,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weights = [F.when(F.col(f"n{i}") > 0, pair_d[i] * F.col(f"f{i}") / F.col(f"n{i}")).otherwise(1.0) for i in range(2)]
     neutral = float(np.log(unseen[1] / unseen[0]))
     level = words.select("word", *[p.alias(f"p{i}") for i, p in enumerate(probs)], (F.col("ordinary") + F.col("toxic")).alias("n"))
+    follow = materialise(follow, "contexts")
     gained = level.join(follow.select(F.col("before").alias("word"), *[x.alias(f"w{i}") for i, x in enumerate(weights)]), "word", "left")
     gained = gained.select("word", "p0", "p1", *[F.coalesce(f"w{i}", F.lit(1.0)).alias(f"w{i}") for i in range(2)],
                            (F.abs(F.log(F.col("p1") / F.col("p0")) - neutral) * F.col("n")).alias("gain"))
-    kept = _columns(gained, MAX_WORDS, "gain")
+    kept = _columns(materialise(gained, "word-gains"), MAX_WORDS, "gain")
 
     context = follow.select("before", "n0", "n1", *[x.alias(f"w{i}") for i, x in enumerate(weights)])
     own = pairs.filter("ordinary + toxic > 1").join(level.drop("n"), "word").join(context, "before")
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     own = own.select("before", "word", *[s.alias(f"s{i}") for i, s in enumerate(share)], *[(s + F.col(f"w{i}") * F.col(f"p{i}")).alias(f"m{i}") for i, s in enumerate(share)],
                      "p0", "p1", (F.col("ordinary") + F.col("toxic")).alias("n"))
     own = own.select("before", "word", "s0", "s1", (F.abs(F.log(F.col("m1") / F.col("m0")) - F.log(F.col("p1") / F.col("p0"))) * F.col("n")).alias("gain"))
-    bigrams = _columns(own, MAX_BIGRAMS, "gain")
+    bigrams = _columns(materialise(own, "bigram-gains"), MAX_BIGRAMS, "gain")
 
     keys = kept["word"].astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
