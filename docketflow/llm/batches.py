@@ -68,11 +68,13 @@ class Pieces:
 
     A single space that other than white space follows always begins a byte-level BPE pre-token, so what stands between
     such spaces is independent. ``learn`` maps pieces (with their leading space) to bytes, ``whole`` maps a text in which a
-    space stands before white space, at the end, or next to ``special``. ``limit``: pieces kept; then it starts anew.
+    space stands before white space, at the end, or next to ``special``. ``begin`` maps the pieces that texts begin with, which
+    have no space before them (``learn`` if not given). ``limit``: pieces kept; then it starts anew.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], special: str = "", limit: int = 500_000):
-        self.learn, self.whole, self.special, self.limit = learn, whole, special, limit
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], special: str = "", limit: int = 500_000,
+                 begin: Callable[[list[str]], list[bytes]] | None = None):
+        self.learn, self.whole, self.special, self.limit, self.begin = learn, whole, special, limit, begin or learn
         self.known: dict[str, bytes | None] = {}
 
     def _odd(self, part: str) -> bool:
@@ -90,7 +92,7 @@ class Pieces:
             part = plain[i : i + 100_000]
             known.update(zip(part, self.learn([" " + p for p in part])))
         out = []
-        first = self.learn([parts[0] if not self._odd(parts[0]) else "" for parts in split])
+        first = self.begin([parts[0] if not self._odd(parts[0]) else "" for parts in split])
         for text, parts, start in zip(texts, split, first):
             if parts[0] and self._odd(parts[0]):
                 out.append(self.whole(text))

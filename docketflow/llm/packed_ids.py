@@ -140,28 +140,29 @@ class PieceEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if len(special) > 1:
             raise ValueError("one added token at most")
-        self.model = self.tokenizer.model
+        self.model, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.words: dict[str, bytes] = {}
-        self.pieces = batches.Pieces(self.learn, self.whole, special[0] if special else "")
+        self.pieces = batches.Pieces(self.learn, self.whole, special[0] if special else "", begin=lambda parts: [self.whole(p) for p in parts])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        """An ASCII pre-token through the library's merges; its byte-level alphabet writes a space as U+0120."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.replace(" ", "\u0120"))])
-        return ids
-
     def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each begin with a space that starts a pre-token, cut by the library side by side in one text.
+
+        Each distinct pre-token goes through the library's merges once.
+        """
         if len(self.words) > CACHE:
             self.words.clear()
-        out: list[bytes] = []
-        for piece in pieces:
-            parts = batches.ascii_word(piece)
-            out.append(self.whole(piece) if parts is None else self.word(parts[0]) if len(parts) == 1 else self.word(parts[0]) + self.word(parts[1]))
-        return out
+        parts = self.pre_tokenizer.pre_tokenize_str("".join(pieces))
+        words = self.words
+        for word in {word for word, _ in parts if word not in words}:
+            words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        ids = [words[word] for word, _ in parts]
+        # a piece's pre-tokens are those that start from its first character on, up to the next piece's
+        ends = np.cumsum([len(p) for p in pieces])
+        cuts = np.searchsorted([start for _, (start, _) in parts], ends).tolist()
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip([0, *cuts], cuts)]
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text with ``end_id`` behind; texts with an added token or odd spaces go to the library whole."""
