@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,21 @@ def test_scratch_comes_from_the_session(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_scratch_of_a_local_session_without_the_setting():
+    class Bare:  # a session whose settings can't be changed
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "local[2]", "bare"
+
+    one, other = scratch_path(Bare, "x"), scratch_path(Bare, "x")
+    assert one != other and os.path.dirname(one) == os.path.dirname(other)
+    Bare.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        scratch_path(Bare, "x")
+
+
 def test_materialise_and_spread(spark):
     df = spark.range(100).coalesce(1).withColumn("v", F.col("id") * 2)
     back = materialise(df, "t-mat", "id")
