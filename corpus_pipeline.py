@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docketflow.llm import byte_bpe, odd_sketch, outliers, queries, raking, secret_scan
 from docketflow.session import scratch_path
 
+#: Share of the tokens that reach the mixing stage which it is expected to draw.
+TOKEN_BUDGET = 0.5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and are no outliers of their language and source."""
@@ -29,8 +32,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the probabilities that meet the target weights."""
-    return raking.sample(docs.withColumn("topic", raking.topic()), queries.POWERS, raking.word_count()).filter("_sampled").select(docs.columns)
+    """Documents drawn by their raked factors, about ``TOKEN_BUDGET`` of the tokens; those of rare values are all kept, none twice."""
+    return raking.sample(docs.withColumn("topic", raking.topic()), queries.POWERS, raking.word_count(), budget=TOKEN_BUDGET).filter("_sampled").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

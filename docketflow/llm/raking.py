@@ -2,7 +2,7 @@
 
 Documents are first added up to one row per cell (source, language, topic). Iterative proportional fitting works on the cells:
 each step scales them so that one marginal meets its target. A cell's calibrated share over its own share is the factor
-by which its documents are to be weighted; scaled to at most 1 it is their sampling probability. Built-in functions only.
+by which its documents are to be weighted; scaled and cut off at 1 it is their sampling probability. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -56,18 +56,37 @@ def draw(key: str, seed: int = SEED) -> Column:
     return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def sample(docs: DataFrame, targets: dict[str, float], tokens: Column, key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_tokens, _factor, _probability, _sampled``.
+def budgeted(cells: DataFrame, budget: float, weight: str = "weight") -> DataFrame:
+    """``cells`` with ``probability``: ``min(1, c * factor)``, ``c`` such that ``budget`` of all weight is expected to be drawn.
 
-    ``targets`` maps marginal columns of ``docs`` to the power of ``tempered``. The largest factor gets probability 1, so
-    every document's expected weight is in proportion to its factor. Rows with the same key share one draw; rows stay.
+    ``weight`` is an integer. A budget that the cells with a factor above 0 can't fill draws these cells whole.
+    """
+    total, upward = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("factor")
+    # with all larger factors cut off, the others share what is left of the budget; the largest such scale is the one that fits
+    left = F.lit(budget) * F.sum(weight).over(total) - (F.sum(weight).over(total) - F.sum(weight).over(upward))
+    scaled = cells.withColumn("_scale", F.try_divide(left, F.sum(F.col(weight) * F.col("factor")).over(upward)))
+    scale = F.coalesce(F.max("_scale").over(total), F.lit(1.0))
+    return scaled.withColumn("probability", F.least(F.lit(1.0), scale * F.col("factor"))).drop("_scale")
+
+
+def sample(docs: DataFrame, targets: dict[str, float], tokens: Column, key: str = "doc_id", seed: int = SEED, budget: float | None = None) -> DataFrame:
+    """``docs`` with ``_tokens, _factor, _probability, _weight, _sampled``.
+
+    ``targets`` maps marginal columns of ``docs`` to the power of ``tempered``. With ``budget``, a share of all tokens, the
+    probabilities are those of ``budgeted``, however rare a value is. Without, the largest factor gets probability 1 and one
+    rare value can leave little of the rest. ``_weight`` is factor over probability: weighted with it, the drawn documents
+    meet the targets also where a probability is cut off. Rows with the same key share one draw; rows stay.
     """
     counted = docs.withColumn("_tokens", tokens)
     cells = counted.groupBy(*targets).agg(F.sum("_tokens").alias("weight"))
     cells = materialise(cells, "cells")
     raked = rake(cells, {name: tempered(cells, name, power) for name, power in targets.items()})
-    scaled = raked.select(*[F.col(n).alias(f"_c{i}") for i, n in enumerate(targets)], F.col("factor").alias("_factor"),
-                          (F.col("factor") / F.max("factor").over(Window.partitionBy(F.lit(0)))).alias("_probability"))
+    if budget is None:
+        raked = raked.withColumn("probability", F.col("factor") / F.max("factor").over(Window.partitionBy(F.lit(0))))
+    else:
+        raked = budgeted(raked, budget)
+    scaled = raked.select(*[F.col(n).alias(f"_c{i}") for i, n in enumerate(targets)], F.col("factor").alias("_factor"), F.col("probability").alias("_probability"),
+                          F.try_divide("factor", "probability").alias("_weight"))
     scaled = materialise(scaled, "probabilities")
     same = [F.col(n).eqNullSafe(F.col(f"_c{i}")) for i, n in enumerate(targets)]
     joined = counted.join(scaled, on=same, how="inner").drop(*[f"_c{i}" for i in range(len(targets))])

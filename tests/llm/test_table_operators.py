@@ -118,6 +118,24 @@ def test_raking_meets_marginals(spark):
     assert raking.sample(docs.limit(0), {"source": 0.5}, raking.word_count()).count() == 0
 
 
+@pytest.mark.parametrize("rare", ["xx", None])
+def test_mixing_keeps_its_budget_beside_a_rare_value(spark, rare):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["w"] * rnd.randrange(100, 600)), rnd.choice(["de", "en"]), rnd.choice("st"), 0) for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (5000, " ".join(["w"] * 10), rare, "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    total = docs.agg(F.sum(raking.word_count())).first()[0]
+    out = corpus_pipeline.mixing(spark, docs, "")
+    assert out.columns == docs.columns and out.filter("doc_id = 5000").count() == 1
+    assert abs(out.agg(F.sum(raking.word_count())).first()[0] / total - corpus_pipeline.TOKEN_BUDGET) < 0.04
+    for budget in (0.5, 0.97, 1.0):
+        drawn = raking.sample(docs, {"source": 0.8, "lang": 0.8}, raking.word_count(), budget=budget).toPandas()
+        assert abs((drawn["_tokens"] * drawn["_probability"]).sum() / total - budget) < 1e-9
+        assert np.allclose(drawn["_probability"] * drawn["_weight"], drawn["_factor"])
+        below = drawn[drawn["_probability"] < 1]
+        ratio = below["_probability"] / below["_factor"]
+        assert not len(below) or ratio.max() - ratio.min() < 1e-9 and (drawn[drawn["_probability"] == 1]["_factor"] * ratio.iloc[0] >= 1 - 1e-9).all()
+
+
 def test_components(spark):
     rnd = random.Random(7)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
