@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docketflow.llm import byte_bpe, odd_sketch, outliers, queries, raking, secret_scan
 from docketflow.session import scratch_path
 
+#: Five-word shingles shared by at least this percentage make two documents one; op7's own contract is 85.
+SIMILARITY_PERCENT = 80
 #: Share of the tokens that reach the mixing stage which it is expected to draw.
 TOKEN_BUDGET = 0.5
 
@@ -19,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Rows with the same id are one document."""
-    kept = odd_sketch.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = odd_sketch.near_duplicates(docs, percent=SIMILARITY_PERCENT).filter("kept").select("doc_id").distinct()
     once = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 

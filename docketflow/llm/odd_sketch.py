@@ -7,7 +7,7 @@ whose count is out of reach for the asked similarity go; the others are confirme
 
 No bucket is turned into all its pairs. First each text is held against its buckets' smallest text only, and components are
 formed. Then, per smallest text, only texts outside the group's main component are held against the group, in blocks.
-At a similarity of 0.85 two texts share no band with a chance of 3e-7; a shared band's link is always found.
+At a similarity of 0.85 two texts share no band with a chance of 3e-7, at 0.8 of 6e-5; a shared band's link is always found.
 """
 
 from __future__ import annotations

@@ -1,14 +1,17 @@
 """Toxicity, resharding, neighbours, mixing, components and the pipeline against brute force."""
 
+import collections
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docketflow.llm import adaptive_scan, components, raking, resharding, toxicity
+from docketflow.llm import adaptive_scan, byte_bpe, components, queries, raking, resharding, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -166,6 +169,73 @@ def test_pipeline_stages(spark):
     assert kept.filter("not round_trip").count() == 0 and kept.count() > 0
 
 
+def _sets(rows):
+    words = {r["doc_id"]: r["text"].lower().split() for r in rows}
+    return {key: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for key, w in words.items()}
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """On texts with copies at similarities around 0.82 and 0.77, planted secrets and uneven sources."""
+    rnd = random.Random(9)
+    rows, at_82 = [], []
+    for i in range(120):
+        base = ["w%d" % rnd.randrange(10**6) for _ in range(104)]
+        rows.append((3 * i, base))
+        if i % 3:  # of 100 shingles a changed word takes 5
+            rows.append((3 * i + 1, ["x" if k in ((20, 60) if i % 3 == 1 else (20, 60, 80)) else w for k, w in enumerate(base)]))
+    docs = spark.createDataFrame([(key, " ".join(w), "de" if key % 4 else "en", "t" if key % 5 else "s", 0) for key, w in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    full = docs.collect()
+    sets, parent = _sets(full), {r["doc_id"]: r["doc_id"] for r in full}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        at_82 += [(a, b)] if 0.8 <= alike < 0.85 else []
+        if alike >= 0.8:
+            x, y = parent[a], parent[b]
+            parent = {k: min(x, y) if v in (x, y) else v for k, v in parent.items()}
+    assert len(at_82) == 40 and len({*parent.values()}) == 160
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({*parent.values()})
+
+    quality = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs.unionByName(docs.limit(1).selectExpr(
+        "7777L AS doc_id", "repeat('| # ', 300) AS text", "lang", "source", "n_chars")), "").collect()}
+    assert quality == {r["doc_id"] for r in full}
+
+    planted = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" token=abcdefgh12 end"))).otherwise(F.col("text")))
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.secrets(spark, planted, "").collect()}
+    for r in full:
+        text = r["text"] + " [SECRET] end"
+        assert clean[r["doc_id"]] == ((text, len(text)) if r["doc_id"] % 2 == 0 else (r["text"], 0))
+
+    cells = collections.Counter()
+    for r in full:
+        cells[r["source"], r["lang"]] += len(r["text"].split(" "))
+    total, share = sum(cells.values()), {c: n / sum(cells.values()) for c, n in cells.items()}
+    topics = {r["topic"] for r in docs.select(raking.topic().alias("topic")).distinct().collect()}
+    assert len(topics) == 1  # so two marginals are left
+    own, wanted = dict(share), []
+    for i, power in ((0, 0.8), (1, 0.8)):
+        raised = {v: sum(n for c, n in cells.items() if c[i] == v) ** power for v in {c[i] for c in cells}}
+        wanted.append({v: x / sum(raised.values()) for v, x in raised.items()})
+    for _ in range(raking.ROUNDS):
+        for i in (0, 1):
+            have = {v: sum(x for c, x in share.items() if c[i] == v) for v in wanted[i]}
+            share = {c: x * wanted[i][c[i]] / have[c[i]] for c, x in share.items()}
+    low, high = 0.0, 100.0
+    for _ in range(200):
+        scale = (low + high) / 2
+        drawn = sum(n * min(1, scale * share[c] / own[c]) for c, n in cells.items())
+        low, high = (scale, high) if drawn < corpus_pipeline.TOKEN_BUDGET * total else (low, scale)
+    draw = lambda key: int(hashlib.md5(f"{raking.SEED}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+    want = {r["doc_id"] for r in full if draw(r["doc_id"]) < min(1, scale * share[r["source"], r["lang"]] / own[r["source"], r["lang"]])}
+    assert {r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, "").collect()} == want
+
+    ranks = {t: i for i, t in enumerate(byte_bpe.read_ranks(queries.ranks_file()))}
+    encoding = tiktoken.Encoding("own", pat_str=queries.pattern(), mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in full}
+    for r in corpus_pipeline.token_ids(spark, docs, "").collect():
+        assert list(r["ids"]) == encoding.encode_ordinary(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["round_trip"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_stages_take_odd_rows(spark, n):
     """Each filtering stage on an empty table, on nulls everywhere and on a repeated row."""
