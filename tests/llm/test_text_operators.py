@@ -1,11 +1,13 @@
 """Byte-level BPE, Simple-8b, trie counts, secrets, quality and near-duplicates against brute force."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -128,6 +131,46 @@ def test_secret_edges(spark, rough):
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest() and row["spans"] == ""
 
 
+def _wrapped(raw, width=76):
+    text = base64.b64encode(raw).decode()
+    return "\n".join(text[k:k + width] for k in range(0, len(text), width))
+
+
+_NOISE = random.Random(1).randbytes(200).hex(" ").encode()
+_SECRET = b" password=abcdefgh1 "
+
+
+@pytest.mark.parametrize("inner", [
+    _wrapped(gzip.compress(_NOISE + _SECRET)), _wrapped(b"x" * 48 + _SECRET + b"y" * 60), _wrapped(b"x" * 9 + _SECRET + b"y" * 9, 16),
+    _wrapped(gzip.compress(_NOISE + _SECRET)).replace("\n", "\r\n  "),
+    "Attachment\n" + _wrapped(b"x" * 48 + _SECRET + b"y" * 60),
+    "https://x.org/f/" + base64.b64encode(_SECRET.strip()).decode(), "https://x.org/f/" + base64.b64encode(gzip.compress(_SECRET)).decode(),
+    "my-f_" + base64.urlsafe_b64encode(_SECRET).decode(), "xy" + base64.b64encode(_SECRET).decode() + "/z",
+    *[base64.b64encode(pack(b"hello ") + pack(_SECRET)).decode() for pack in (gzip.compress, zlib.compress, bz2.compress, zstandard.compress)],
+    base64.b64encode(gzip.compress(gzip.compress(b"hello ") + gzip.compress(_SECRET))).decode(),
+    "u=" + urllib.parse.quote(gzip.compress(_NOISE + _SECRET)), "u=" + urllib.parse.quote_plus(zlib.compress(_NOISE + _SECRET)),
+])
+def test_secrets_in_all_of_a_layer(inner):
+    text = "intro é " + inner + " end"
+    spans = secret_scan.scan_text(text)
+    assert len(spans) == 1 and spans[0][0] == 0 and not spans[0][3]
+    a, b = spans[0][1:3]
+    assert 8 <= a < b <= len(text) - 4
+    if inner.startswith("https"):
+        assert text[a:b] == inner[16:]
+    assert not secret_scan.scan_text(secret_scan.redacted(text, spans))
+
+
+def test_secret_windows(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW_BYTES", 5000)
+    monkeypatch.setattr(secret_scan, "OVERLAP_BYTES", 100)
+    monkeypatch.setattr(secret_scan, "PIECE_BYTES", 1000)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, zstandard.compress):
+        for at in (10, 4990, 5005, 77777):
+            text = base64.b64encode(pack(b" " * at + _SECRET + b" " * 90000)).decode()
+            assert [s[:3] for s in secret_scan.scan_text(text)] == [(0, 0, len(text))]
+
+
 def _brute_statistics(text):
     words = WORD.findall(text)
     windows = collections.Counter(zip(words, words[1:], words[2:]))
