@@ -7,8 +7,9 @@ log-likelihood is compared with the ordinary one per word: over all words, and o
 above that of a word neither class knows, since a few expressions in a long text drown in the noise of all others. A
 logistic curve, fitted on training texts that gave no counts, turns these features into a score.
 
-Counts are made by Spark over all training texts. The model that goes to the workers is pruned to a fixed number of words and
-bigrams, those that change the log-likelihood ratio most; all others take the backed-off probabilities.
+Counts are made by Spark over all training texts. The model that goes to the workers has every counted word and every bigram
+seen twice or more, each with its log-likelihood ratio alone, so it grows with the counted texts. A bigram seen once takes its
+word's ratio: such bigrams count for discounts and backoff weights, but say more of chance than of the class they were seen in.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from docketflow.llm import batches
 from docketflow.session import materialise
 
-#: Labelled rows that are learned from at most (by hash when there are more), and the pruned model's size.
+#: Labelled rows that are learned from at most (by hash when there are more).
 MAX_LABELLED = 1_000_000
-MAX_WORDS = 400_000
-MAX_BIGRAMS = 400_000
 #: One training row in so many fits the curve instead of giving counts.
 CURVE_PART = 5
 #: Rows on which the curve is fitted at most.
@@ -71,18 +70,18 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Pruned log-probabilities of both classes (column 0 ordinary, 1 toxic), by hash.
+    """Log-likelihood ratios, toxic to ordinary, by hash.
 
-    ``words``: sorted hashes, word probabilities and backoff weights; ``pairs``: sorted keys and the discounted share of
-    bigrams; ``unseen``: backoff weights of the word level, whose ratio all other words get. ``curve``: slopes and
-    offset of the score over the features. ``base``: score of a text without words.
+    ``word_keys``: sorted hashes, ``word_ratios`` those of the word level; ``pair_keys``: sorted keys of bigrams, ``pair_ratios``
+    those of the bigram level with what it backs off to. ``unseen``: backoff weights of the word level, ordinary and toxic,
+    whose ratio all other words get. ``curve``: slopes and offset of the score over the features. ``base``: score of a
+    text without words.
     """
 
     word_keys: np.ndarray
-    word_probs: np.ndarray
-    backoff: np.ndarray
+    word_ratios: np.ndarray
     pair_keys: np.ndarray
-    pair_shares: np.ndarray
+    pair_ratios: np.ndarray
     unseen: np.ndarray
     curve: tuple[np.ndarray, float] = (np.zeros(len(FEATURES)), 0.0)
     base: float = 0.0
@@ -90,21 +89,12 @@ class Model:
     def features(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One row of ``FEATURES`` per text."""
         ratios = np.full(len(words), np.log(self.unseen[1] / self.unseen[0]))
-        if len(words) and len(self.word_keys):
-            at = np.minimum(np.searchsorted(self.word_keys, words), len(self.word_keys) - 1)
-            known = self.word_keys[at] == words
-            before = contexts_of(words, starts)
-            # a context's weight counts where a bigram with it was seen, else the word level stands alone
-            probs = self.word_probs[at]
-            ratios[known] = np.log(probs[known, 1] / probs[known, 0])
-            if len(self.pair_keys):
-                keys = pair_keys(before, words)
-                place = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-                both = np.flatnonzero(known & (self.pair_keys[place] == keys))
-                context = np.minimum(np.searchsorted(self.word_keys, before[both]), len(self.word_keys) - 1)
-                weight = np.where((self.word_keys[context] == before[both])[:, None], self.backoff[context], 1.0)
-                mixed = self.pair_shares[place[both]] + weight * probs[both]
-                ratios[both] = np.log(mixed[:, 1] / mixed[:, 0])
+        # a context's weight counts where a bigram with it was seen, else the word level stands alone
+        for known, values, keys in ((self.word_keys, self.word_ratios, words), (self.pair_keys, self.pair_ratios, pair_keys(contexts_of(words, starts), words))):
+            if len(words) and len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                found = known[at] == keys
+                ratios[found] = values[at[found]]
         ratios -= np.log(self.unseen[1] / self.unseen[0])
         sizes = np.maximum(np.diff(starts), 1)
 
@@ -157,20 +147,9 @@ def _discounts(ones: float, twos: float) -> float:
     return ones / (ones + 2 * twos) if ones and twos else 0.5
 
 
-def _columns(rows: DataFrame, limit: int, gain: str) -> dict[str, np.ndarray]:
-    """At most ``limit`` rows of largest ``gain`` on the driver: cut at a step of a histogram of the gain's logarithm."""
-    step = F.floor(F.log2(F.col(gain)) * 8).cast("int")
-    counts = sorted(((r.s, r.n) for r in rows.filter(F.col(gain) > 0).groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, total = None, 0
-    for s, n in counts:
-        if total + n > limit:
-            break
-        least, total = s, total + n
-    names = [c for c in rows.columns if c != gain]
-    if least is None:
-        return {c: np.zeros(0) for c in names}
-    table = rows.filter((F.col(gain) > 0) & (step >= least)).select(*names).toArrow()
-    return {c: table[c].to_numpy() for c in names}
+def _sorted(keys: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], ratios[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -189,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                   one("ordinary", 1).alias("a0"), one("ordinary", 2).alias("b0"), one("toxic", 1).alias("a1"), one("toxic", 2).alias("b1"),
                   F.count(F.when(F.col("ordinary") > 0, 1)).alias("t0"), F.count(F.when(F.col("toxic") > 0, 1)).alias("t1")).first()
     if not w.n0 or not w.n1:
-        return Model(np.zeros(0, np.uint64), np.zeros((0, 2)), np.zeros((0, 2)), np.zeros(0, np.uint64), np.zeros((0, 2)), np.ones(2), base=0.5)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), np.ones(2), base=0.5)
     b = pairs.agg(one("ordinary", 1).alias("a0"), one("ordinary", 2).alias("b0"), one("toxic", 1).alias("a1"), one("toxic", 2).alias("b1")).first()
     word_d = [_discounts(w.a0, w.b0), _discounts(w.a1, w.b1)]
     pair_d = [_discounts(b.a0, b.b0), _discounts(b.a1, b.b1)]
@@ -202,28 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     follow = pairs.groupBy("before").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(f"f{i}") for i, c in enumerate(classes)],
                                          *[F.sum(c).alias(f"n{i}") for i, c in enumerate(classes)])
     weights = [F.when(F.col(f"n{i}") > 0, pair_d[i] * F.col(f"f{i}") / F.col(f"n{i}")).otherwise(1.0) for i in range(2)]
-    neutral = float(np.log(unseen[1] / unseen[0]))
-    level = words.select("word", *[p.alias(f"p{i}") for i, p in enumerate(probs)], (F.col("ordinary") + F.col("toxic")).alias("n"))
-    follow = materialise(follow, "contexts")
-    gained = level.join(follow.select(F.col("before").alias("word"), *[x.alias(f"w{i}") for i, x in enumerate(weights)]), "word", "left")
-    gained = gained.select("word", "p0", "p1", *[F.coalesce(f"w{i}", F.lit(1.0)).alias(f"w{i}") for i in range(2)],
-                           (F.abs(F.log(F.col("p1") / F.col("p0")) - neutral) * F.col("n")).alias("gain"))
-    kept = _columns(materialise(gained, "word-gains"), MAX_WORDS, "gain")
-
+    level = words.select("word", *[p.alias(f"p{i}") for i, p in enumerate(probs)])
     context = follow.select("before", "n0", "n1", *[x.alias(f"w{i}") for i, x in enumerate(weights)])
-    own = pairs.filter("ordinary + toxic > 1").join(level.drop("n"), "word").join(context, "before")
     share = [F.when(F.col(f"n{i}") > 0, F.greatest(F.col(c) - pair_d[i], F.lit(0.0)) / F.col(f"n{i}")).otherwise(0.0) for i, c in enumerate(classes)]
-    own = own.select("before", "word", *[s.alias(f"s{i}") for i, s in enumerate(share)], *[(s + F.col(f"w{i}") * F.col(f"p{i}")).alias(f"m{i}") for i, s in enumerate(share)],
-                     "p0", "p1", (F.col("ordinary") + F.col("toxic")).alias("n"))
-    own = own.select("before", "word", "s0", "s1", (F.abs(F.log(F.col("m1") / F.col("m0")) - F.log(F.col("p1") / F.col("p0"))) * F.col("n")).alias("gain"))
-    bigrams = _columns(materialise(own, "bigram-gains"), MAX_BIGRAMS, "gain")
-
-    keys = kept["word"].astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    twos = pair_keys(bigrams["before"].astype(np.int64).view(np.uint64), bigrams["word"].astype(np.int64).view(np.uint64))
-    turn = np.argsort(twos)
-    model = Model(keys[order], np.stack([kept["p0"], kept["p1"]], axis=1)[order], np.stack([kept["w0"], kept["w1"]], axis=1)[order],
-                  twos[turn], np.stack([bigrams["s0"], bigrams["s1"]], axis=1)[turn], unseen)
+    mixed = [share[i] + F.col(f"w{i}") * F.col(f"p{i}") for i in range(2)]
+    ratio = lambda a, b: F.log(b / a).cast("float").alias("ratio")
+    ones = level.select("word", ratio(F.col("p0"), F.col("p1"))).toArrow()
+    twos = pairs.filter("ordinary + toxic > 1").join(level, "word").join(context, "before").select("before", "word", ratio(*mixed)).toArrow()
+    hashes = lambda table, column: table[column].to_numpy().view(np.uint64)
+    model = Model(*_sorted(hashes(ones, "word"), ones["ratio"].to_numpy()),
+                  *_sorted(pair_keys(hashes(twos, "before"), hashes(twos, "word")), twos["ratio"].to_numpy()), unseen)
 
     held = _applied(rows.filter(part), model, text, ["_toxic"], "_toxic int, words bigint, " + ", ".join(f"{f} double" for f in FEATURES), lambda own, words, starts: list(own.features(words, starts).T))
     share = min(1.0, CURVE_ROWS / max(1, marked.count() / CURVE_PART))

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -39,6 +40,51 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.5}
 
 
+def test_toxicity_model_is_whole(spark):
+    """Every word and every bigram seen twice has the ratio of plain interpolated Kneser-Ney counts; more than 400,000 stay too."""
+    rnd = random.Random(11)
+    texts = [(i, " ".join("w%d" % int(rnd.paretovariate(0.7)) for _ in range(rnd.randrange(2, 60))), int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, toxic int")
+    part = {r["doc_id"] for r in docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(toxicity.CURVE_PART)) != 0).collect()}
+    pairs = [collections.Counter(), collections.Counter()]
+    for key, text, toxic in texts:
+        if key in part:
+            words = text.split()
+            pairs[toxic].update(zip(["", *words], words))
+    words = [collections.Counter(), collections.Counter()]
+    for c in (0, 1):
+        for (_, w), n in pairs[c].items():
+            words[c][w] += n
+    every = set(pairs[0]) | set(pairs[1])
+    contexts = collections.Counter(w for _, w in every)
+
+    def discount(counts):
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def word(c, w):
+        d, total = discount(words[c]), sum(words[c].values())
+        return max(words[c][w] - d, 0) / total + d * len(words[c]) / total * contexts[w] / len(every)
+
+    def pair(c, v, w):
+        d, total, kinds = discount(pairs[c]), sum(n for (a, _), n in pairs[c].items() if a == v), sum(a == v for a, _ in pairs[c])
+        return max(pairs[c][v, w] - d, 0) / total + d * kinds / total * word(c, w) if total else word(c, w)
+
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    twice = sorted(p for p in every if pairs[0][p] + pairs[1][p] > 1)
+    assert len(model.word_keys) == len(contexts) and len(model.pair_keys) == len(twice)
+    for w in rnd.sample(sorted(contexts), 40):
+        hashed = toxicity.tokens_of(pa.array([w]))[0][0]
+        assert abs(model.word_ratios[np.searchsorted(model.word_keys, hashed)] - np.log(word(1, w) / word(0, w))) < 1e-4
+    for v, w in rnd.sample(twice, 40):
+        tokens, starts = toxicity.tokens_of(pa.array([f"{v} {w}"]))
+        key = toxicity.pair_keys(toxicity.contexts_of(tokens, starts), tokens)[-1]
+        assert abs(model.pair_ratios[np.searchsorted(model.pair_keys, key)] - np.log(pair(1, v, w) / pair(0, v, w))) < 1e-4
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 300), k -> concat('t', id div 2, 'x', k)), ' ')").alias("text"))
+    large = toxicity.fit(many, many.select("doc_id", (F.col("doc_id") % 10 < 2).cast("int").alias("toxic")))
+    assert len(large.word_keys) > 650_000 and len(large.pair_keys) > 420_000
+
+
 def test_fewest_bytes_move():
     """Against trying every way to move whole units."""
     rnd = random.Random(2)
