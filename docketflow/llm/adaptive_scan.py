@@ -34,15 +34,15 @@ SEED = 5
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """``key, vector`` (doubles) of the rows that take part.
 
-    Out are null keys, null and zero vectors, those with null or non-finite components, and those of another length than the longest.
+    Out are null keys, null and zero vectors, those with null or non-finite components, and of the others those of another length
+    than most have (the longer one of two lengths that are as frequent).
     """
     rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).filter("vec_id is not null")
-    size = rows.agg(F.max(F.size("vector")).alias("d")).first().d
-    if size is None or size <= 0:
-        return rows.limit(0)
     # a sum over the components is null, not finite or zero exactly where a vector is out
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x))
-    return rows.filter((F.size("vector") == size) & (total > 0) & (total < float("inf")))
+    valid = rows.filter((total > 0) & (total < float("inf")))
+    size = valid.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).agg(F.max_by("d", F.struct("n", "d")).alias("d")).first().d
+    return valid.filter(F.size("vector") == size) if size else rows.limit(0)
 
 
 def rotation(size: int) -> np.ndarray:

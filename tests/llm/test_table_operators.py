@@ -148,6 +148,14 @@ def test_neighbours_recall(spark):
     assert {(r["query_id"], r["vec_id"]) for r in few} == {(0, 1), (0, 2)}
 
 
+def test_neighbours_beside_overlong_rows(spark):
+    rows = [(i, [1.0 + i, 2.0, 3.0]) for i in range(60)]
+    df = spark.createDataFrame([*rows, (100, [1.0] * 4), (101, [None] * 9), (102, [float("nan")] * 8)], "vec_id bigint, embedding array<float>")
+    assert {r["vec_id"] for r in adaptive_scan.usable(df, "vec_id", "embedding").collect()} == set(range(60))
+    got = adaptive_scan.search(df).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in (0, 20, 40) for k in range(1, 21)]
+
+
 def test_raking_meets_marginals(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice(["a", "b", "c", None]), rnd.choice(["x", "y"]), rnd.choice("pqr"), " ".join(["w"] * rnd.randrange(1, 50))) for i in range(3000)]
