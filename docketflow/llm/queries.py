@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketflow.llm import adaptive_scan, byte_bpe, odd_sketch, outliers, packed_ids, raking, resharding, secret_scan, toxicity, trie_counts
+from docketflow.llm import adaptive_scan, best_fit, byte_bpe, odd_sketch, outliers, packed_ids, raking, resharding, secret_scan, toxicity, trie_counts
 from docketflow.plans.registry import Registry
 from docketflow.session import materialise
 
@@ -13,6 +13,7 @@ query = Registry()
 SHARDS = 24
 OLD_SHARDS = 20
 END_ID = 2
+END_OF_PIECE = 0
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 TOXIC_FROM = 0.7
 
@@ -131,3 +132,11 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@query()
+def op13_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents' pieces in sequences of 2,048 tokens."""
+    import public_tokenizers
+
+    return best_fit.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_PIECE)
