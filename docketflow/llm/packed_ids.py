@@ -10,7 +10,6 @@ document), ``words`` and ``starts`` (first word of each block), both as little-e
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from docketflow.llm import batches
+from docketflow.llm import batches, library_ids
 from docketflow.session import scratch_path
 
 #: (values, bits) by selector 0 to 14; 15 is the escape. Fixed values of the format.
@@ -28,8 +27,6 @@ SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 ESCAPE = 15
 BLOCK = 512
 PAGE_IDS = 1 << 20
-#: Pre-tokens that a worker keeps encoded; then it starts anew.
-CACHE = 400_000
 
 
 def _runs(fits: np.ndarray, count: int) -> np.ndarray:
@@ -127,51 +124,6 @@ def unpack(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct pre-token once."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tokenizer.normalizer is not None:
-            raise ValueError("a byte-level tokenizer without normaliser is asked for")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if len(special) > 1:
-            raise ValueError("one added token at most")
-        self.model, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        self.words: dict[str, bytes] = {}
-        self.pieces = batches.Pieces(self.learn, self.whole, special[0] if special else "", begin=lambda parts: [self.whole(p) for p in parts])
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each begin with a space that starts a pre-token, cut by the library side by side in one text.
-
-        Each distinct pre-token goes through the library's merges once.
-        """
-        if len(self.words) > CACHE:
-            self.words.clear()
-        parts = self.pre_tokenizer.pre_tokenize_str("".join(pieces))
-        words = self.words
-        for word in {word for word, _ in parts if word not in words}:
-            words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-        ids = [words[word] for word, _ in parts]
-        # a piece's pre-tokens are those that start from its first character on, up to the next piece's
-        ends = np.cumsum([len(p) for p in pieces])
-        cuts = np.searchsorted([start for _, (start, _) in parts], ends).tolist()
-        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip([0, *cuts], cuts)]
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Ids of each text with ``end_id`` behind; texts with an added token or odd spaces go to the library whole."""
-        end = np.array(end_id, "<u4").tobytes()
-        return [ids + end for ids in self.pieces.texts(texts)]
-
-
-_ENCODERS: dict[str, PieceEncoder] = {}
-
 PAGE = "file int, page int, keys array<bigint>, sizes array<bigint>, words binary, starts binary"
 LISTING = "file int, page int, place int, {key} bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -194,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
         from pyspark import TaskContext
 
         file = TaskContext.get().partitionId()
-        own = _ENCODERS.get(tokenizer_file) or _ENCODERS.setdefault(tokenizer_file, PieceEncoder(tokenizer_file))
+        own = library_ids.encoder(tokenizer_file)
         page, keys, sizes, ids, held = 0, [], [], [], 0
 
         def full() -> pa.RecordBatch:
@@ -205,16 +157,17 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
                 ["file", "page", "keys", "sizes", "words", "starts"])
 
         for batch in batches.bounded(parts, "_text", 3 << 20):
-            found = own.encode(batches.texts_of(batch, "_text"), end_id)
+            found, lengths = library_ids.with_end(*own.encode(batch.column("_text")), end_id)
             keys.append(batch.column("_key").to_pylist())
-            sizes.append(np.array([len(x) // 4 for x in found], np.int64))
-            ids.append(np.frombuffer(b"".join(found), "<u4"))
+            sizes.append(lengths)
+            ids.append(found)
             held += len(ids[-1])
             if held >= PAGE_IDS:
                 yield full()
                 page, keys, sizes, ids, held = page + 1, [], [], [], 0
         if held:
             yield full()
+        own.known.clear()
 
     ordered.mapInArrow(run, PAGE).write.option("compression", "none").parquet(path)
 
