@@ -148,8 +148,8 @@ def skip_leading_sentences(parts: Column, min_words: int = V.SKIP_WORDS) -> Colu
     return let(parts, cut)
 
 
-def short_sentences(parts: Column, max_chars: int | None = None) -> Column:
-    """Sentences of fewer than ``max_chars`` characters; all without a limit."""
+def short_sentences(parts: Column, max_chars: int | None = V.MAX_SENTENCE_CHARS) -> Column:
+    """Sentences of fewer than ``max_chars`` characters; all of them for None."""
     return parts if max_chars is None else F.filter(parts, lambda s: F.length(s) < max_chars)
 
 

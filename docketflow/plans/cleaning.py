@@ -144,7 +144,7 @@ def sentence_select(spark, sf):
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, sentence
     FROM drawn WHERE r <= {CAP}""")
 def sentence_cap(spark, sf):
-    kept = X.sentences_to_encode(F.col("text"), F.col("doc_id"), cap=CAP)
+    kept = X.sentences_to_encode(F.col("text"), F.col("doc_id"), max_chars=V.MAX_SENTENCE_CHARS, cap=CAP)
     return texts(spark, sf).select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
 
 
