@@ -72,9 +72,9 @@ def chunk_tokens(ids: Column, max_len: int = V.MAX_CHUNK_TOKENS, first_only: boo
 
 
 def pad_batches(df: DataFrame, order: list[str], batch: int = V.ENCODER_BATCH, pad_id: int = V.PAD_TOKEN,
-                pad_mask: int = V.PAD_ATTENTION, **rank) -> DataFrame:
+                pad_mask: int = V.PAD_ATTENTION) -> DataFrame:
     """Batches of ``batch`` rows in the given order, padded to the longest row of each batch."""
-    numbered = exact_rank(df, [], order, "_n", **rank).withColumn(
+    numbered = exact_rank(df, [], order, "_n").withColumn(
         "batch", F.floor((F.col("_n") - 1) / batch)).drop("_n")
     longest = numbered.withColumn("_max", F.max(F.size("input_ids")).over(W.partitionBy("batch")))
     gap = F.col("_max") - F.size("input_ids")

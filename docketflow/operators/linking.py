@@ -58,9 +58,9 @@ def links_missed(found: DataFrame, other: DataFrame, key: str = "link") -> DataF
     return found.select(key).distinct().join(other.select(key).distinct(), key, "left_anti").orderBy(key)
 
 
-def court_codes(cases: DataFrame, order: list[str], court: str = "court", **rank) -> DataFrame:
+def court_codes(cases: DataFrame, order: list[str], court: str = "court") -> DataFrame:
     """Running code per court, from 1."""
-    return exact_rank(cases, [court], order, "_n", **rank) \
+    return exact_rank(cases, [court], order, "_n") \
         .withColumn("personal_code", F.concat(F.col(court), F.col("_n").cast("string"))).drop("_n")
 
 

@@ -38,10 +38,9 @@ def mention_summary(df: DataFrame, found: Column) -> DataFrame:
     return counted.withColumn("percent", F.round(100 * F.col("mentions") / F.col("checked"), 2))
 
 
-def labelling_sheet(mentions: DataFrame, order: list[str], n: int = V.FIRST_SAMPLE, seed: int = V.SEED,
-                    **rank) -> DataFrame:
+def labelling_sheet(mentions: DataFrame, order: list[str], n: int = V.FIRST_SAMPLE, seed: int = V.SEED) -> DataFrame:
     """Index, blank label columns, and a flag on the rows drawn for labelling."""
-    numbered = exact_rank(mentions, [], order, "idx", **rank) \
+    numbered = exact_rank(mentions, [], order, "idx") \
         .withColumn("classification", F.lit(None).cast("int")).withColumn("explanation", F.lit(" "))
     return flag_sample(numbered, "idx", n, seed)
 

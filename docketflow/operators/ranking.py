@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from docketflow.session import materialise
 
-# Up to here one window task does the job faster than a second pass over the rows.
-ONE_TASK_ROWS = 100_000
-SAMPLE_PER_BUCKET = 30
 # A table of at most this many rows may be held by the driver and broadcast.
 SMALL_ROWS = 50_000
 
@@ -31,52 +28,39 @@ def local_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return small_table(df.sparkSession, rows, df.schema) if len(rows) <= max_rows else df
 
 
-def _range_bounds(df: DataFrame, order: list[str], rows: int, buckets: int) -> list:
-    """At most ``buckets`` cut points of the order key, from a row sample of bounded size."""
-    share = min(1.0, buckets * SAMPLE_PER_BUCKET / rows)
-    seen = df.select(*order).sample(fraction=share, seed=7).sort(*order).limit(4 * buckets * SAMPLE_PER_BUCKET)
-    keys = [tuple(r) for r in seen.collect()]
-    step = max(1, len(keys) // buckets)
-    return list(dict.fromkeys(keys[step::step]))[:buckets]
-
-
-def _bucket_of(df: DataFrame, order: list[str], bounds: list) -> Column:
-    """How many cut points lie at or below the row's key; grows with the key."""
-    if not bounds:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cuts = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, b)]) for b in bounds])
-    key = F.struct(*[F.col(c) for c in order])
-    return F.size(F.filter(cuts, lambda cut: cut <= key))
-
-
-def exact_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank", bucket: Column | None = None,
-               buckets: int = 256, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def exact_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank", total: str | None = None) -> DataFrame:
     """``row_number`` over (``by`` ordered by ``order``), spread over many tasks however large one group is.
 
-    Rows are put in buckets that follow the order; a window numbers each (group, bucket) and the rows
-    in earlier buckets of the group are added from a small count table. ``order`` has to be unique
-    inside a group. ``bucket`` is any expression that never falls while the order rises; without it the
-    cut points come from a sample of the rows, which are stored first: they are read several times and
-    every reading has to see the same ones.
+    Rows are sorted by group and order in range partitions, which hold about the same number of rows whatever the groups' sizes, and stored
+    with their running number. A row's rank is its distance from the first row of its group in its partition, plus the group's
+    rows in earlier partitions: a running sum over one row per (group, partition). ``order`` has to be unique inside a group;
+    rows alike in all of it are numbered in any order. ``total`` names a column for the group's number of rows.
     """
-    if bucket is None:
-        df = materialise(df, "to-rank")
-        rows = df.count()
-        if rows <= one_task_rows:
-            return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
-        bucket = _bucket_of(df, order, _range_bounds(df, order, rows, buckets))
-    marked = df.withColumn("_bucket", bucket)
-    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")) \
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    numbered = marked.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order)))
-    left, right = numbered.alias("l"), local_if_small(offsets).alias("r")
-    same = F.col("l._bucket").eqNullSafe(F.col("r._bucket"))
+    at, part, first, n, before = _free_names([*df.columns, out, *[total] * bool(total)], "_at", "_part", "_first", "_n", "_before")
+    keys = [F.col(c) for c in [*by, *order]]
+    ordered = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ranked") \
+        .withColumn(part, F.shiftright(at, 33))
+    counts = ordered.groupBy(*by, part).agg(F.min(at).alias(first), F.count("*").alias(n))
+    earlier = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    whole = [F.sum(F.col(n)).over(W.partitionBy(*by)).alias(total)] if total else []
+    left, right = ordered.alias("l"), counts.select("*", *whole).alias("r")
+    same = F.col(f"l.{part}") == F.col(f"r.{part}")
     for c in by:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        same = same & F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
     return left.join(right, same).select(
-        *[F.col(f"l.{c}") for c in df.columns], (F.col("l._in") + F.col("r._before")).alias(out))
+        *[F.col(f"l.`{c}`") for c in df.columns], (F.col(f"l.{at}") - F.col(f"r.{first}") + F.col(f"r.{before}") + 1).alias(out),
+        *[F.col(f"r.`{total}`")] * bool(total))
+
+
+def _free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until none of ``columns`` has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def seeded_hash(key: Column, seed: int) -> Column:

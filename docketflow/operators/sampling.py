@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from docketflow import fixed_values as V
-from docketflow.operators.ranking import exact_rank, seeded_hash, small_table
+from docketflow.operators.ranking import exact_rank, local_if_small, seeded_hash
+from docketflow.session import materialise
 
 
 def draw(df: DataFrame, key: str, n: int, seed: int = V.SEED) -> DataFrame:
@@ -24,78 +25,20 @@ def stratified_split(df: DataFrame, key: str = "link", label: str = "label", tes
                      seed: int = V.SEED, out: str = "split") -> DataFrame:
     """``train``/``test`` with exactly ``round(test_share * n)`` test rows in every class.
 
-    The order is a hash of the key. The hash at which each class's test set ends is found from counts
-    over its leading digits, so no class is ever sorted and ``df`` itself is passed once, unshuffled.
-    ``key`` has to be unique.
+    The order is a hash of the key. Keys and hashes are ranked per class to find the hash at which its test set ends;
+    ``df`` itself is passed once, unshuffled. ``key`` has to be unique.
     """
-    slim = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"),
-                     seeded_hash(F.col(key), seed).alias("_h"))
-    cuts = _test_cuts(slim, test_share)
+    slim = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"), seeded_hash(F.col(key), seed).alias("_h"))
+    ranked = exact_rank(slim, ["_label"], ["_h", "_key"], "_rank", total="_rows")
+    last = ranked.filter(F.col("_rank") == F.floor(F.lit(test_share) * F.col("_rows") + 0.5))
+    cuts = local_if_small(last.select("_label", F.col("_h").alias("_cut_h"), F.col("_key").alias("_cut_key")))
     marked = df.withColumn("_h", seeded_hash(F.col(key), seed))
     before = (F.col("_h") < F.col("_cut_h")) | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
     return marked.join(cuts, marked[label].eqNullSafe(cuts["_label"]), "left") \
         .withColumn(out, F.when(before, "test").otherwise("train")).drop("_h", "_label", "_cut_h", "_cut_key")
 
 
-# Rows of one class that may be looked at on the driver to find the exact cut.
-CUT_ROWS = 1000
-
-
-def _test_cuts(slim: DataFrame, share: float) -> DataFrame:
-    """The last (hash, key) of each class's test set, as a small table.
-
-    Each round counts rows by three more hash digits and keeps the bucket the cut falls into, until
-    that bucket is small enough to read. One bucket per class is read, and a class is one row.
-    """
-    spark, types = slim.sparkSession, {f.name: f.dataType for f in slim.schema.fields}
-    schema = T.StructType([T.StructField("_label", types["_label"]), T.StructField("_p", T.StringType()),
-                           T.StructField("_need", T.LongType())])
-    digits, open_cuts, ready = 3, None, []
-    while open_cuts is None or open_cuts:
-        found = slim if open_cuts is None else _in_buckets(slim, small_table(spark, open_cuts, schema), digits - 3)
-        counts = found.groupBy("_label", F.substring("_h", 1, digits).alias("_p")).agg(F.count("*").alias("n"))
-        per_class = counts.groupBy("_label").agg(
-            F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("_p", "n"))).alias("parts"))
-        left = {} if open_cuts is None else {c[0]: c[2] for c in open_cuts}
-        open_cuts = []
-        for r in _bounded(per_class.select("_label", "total", "parts")):
-            need = left[r["_label"]] if left else int(share * r["total"] + 0.5)
-            for part in r["parts"]:
-                if need <= part["n"]:
-                    break
-                need -= part["n"]
-            if need:
-                (ready if part["n"] <= CUT_ROWS or digits >= 32 else open_cuts).append((r["_label"], part["_p"], need))
-        digits += 3
-    cut_schema = T.StructType([T.StructField("_label", types["_label"]), T.StructField("_cut_h", T.StringType()),
-                               T.StructField("_cut_key", types["_key"])])
-    cuts = []
-    for length in {len(p) for _, p, _ in ready}:
-        some = [c for c in ready if len(c[1]) == length]
-        ordered = _in_buckets(slim, small_table(spark, some, schema), length).withColumn(
-            "_n", F.row_number().over(W.partitionBy("_label").orderBy("_h", "_key"))).filter("_n = _need")
-        cuts += [(r["_label"], r["_h"], r["_key"]) for r in ordered.collect()]
-    return small_table(spark, cuts, cut_schema)
-
-
-# Classes may be held by the driver up to this number.
-MAX_CLASSES = 10_000
-
-
-def _bounded(per_class: DataFrame) -> list:
-    rows = per_class.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"a stratified split is meant for up to {MAX_CLASSES} classes")
-    return rows
-
-
-def _in_buckets(slim: DataFrame, cuts: DataFrame, digits: int) -> DataFrame:
-    c = cuts.withColumnRenamed("_label", "_of")
-    return slim.join(c, slim["_label"].eqNullSafe(c["_of"]) & (F.substring("_h", 1, digits) == c["_p"])).drop("_of", "_p")
-
-
-def stratified_folds(df: DataFrame, key: str = "link", label: str = "label", folds: int = V.FOLDS,
-                     out: str = "fold", **rank) -> DataFrame:
+def stratified_folds(df: DataFrame, key: str = "link", label: str = "label", folds: int = V.FOLDS, out: str = "fold") -> DataFrame:
     """Unshuffled stratified folds: contiguous blocks of each class in key order.
 
     Classes are laid end to end in order of first appearance and dealt to the folds in turn, which
@@ -103,28 +46,20 @@ def stratified_folds(df: DataFrame, key: str = "link", label: str = "label", fol
     ranked, to find where each fold ends; ``df`` itself is passed once, unshuffled.
     """
     slim = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"))
-    sizes = sorted(_bounded(slim.groupBy("_label").agg(F.count("*").alias("n"), F.min("_key").alias("first"))),
-                   key=lambda r: r["first"])
-    ends, start = [], 0
-    for r in sizes:
-        upto = 0
-        for j in range(folds - 1):
-            upto += _dealt(start, r["n"], j, folds)
-            ends.append((r["_label"], j, upto))
-        start += r["n"]
-    types = {f.name: f.dataType for f in slim.schema.fields}
-    wanted = small_table(df.sparkSession, ends, T.StructType([
-        T.StructField("_of", types["_label"]), T.StructField("_fold", T.IntegerType()), T.StructField("_upto", T.LongType())]))
-    ranked = exact_rank(slim, ["_label"], ["_key"], "_rank", **rank)
-    last = ranked.join(wanted, ranked["_label"].eqNullSafe(wanted["_of"]) & (ranked["_rank"] == wanted["_upto"]))
-    last_key = {(r["_of"], r["_fold"]): r["_key"] for r in last.select("_of", "_fold", "_key").collect()}
-    rows = [(r["_label"], [last_key.get((r["_label"], j)) for j in range(folds - 1)]) for r in sizes]
-    table = small_table(df.sparkSession, rows, T.StructType([
-        T.StructField("_label", types["_label"]), T.StructField("_ends", T.ArrayType(types["_key"]))]))
+    ranked = materialise(exact_rank(slim, ["_label"], ["_key"], "_rank", total="_rows"), "folds")
+    # one row per class from here on
+    classes = ranked.filter("_rank = 1").withColumn("_start", F.sum("_rows").over(W.orderBy("_key")) - F.col("_rows"))
+    dealt = classes.select("_label", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(folds - 1)), lambda j: _dealt(F.col("_start"), F.col("_rows"), j, folds))).alias("_fold", "_size"))
+    ends = dealt.select("_label", "_fold", F.sum("_size").over(W.partitionBy("_label").orderBy("_fold")).alias("_upto")).filter(F.col("_fold") < folds - 1).alias("e")
+    last = ends.join(ranked.alias("r"), F.col("e._label").eqNullSafe(F.col("r._label")) & (F.col("_upto") == F.col("_rank")), "left")
+    fold_ends = F.transform(F.array_sort(F.collect_list(F.struct("_fold", "_key"))), lambda e: e["_key"])
+    table = local_if_small(last.select("e._label", "_fold", "_key").groupBy("_label").agg(fold_ends.alias("_ends")))
+    # a fold without an end has no row before it
     passed = F.aggregate("_ends", F.lit(0), lambda n, e: n + F.when(e.isNull() | (F.col(key) > e), 1).otherwise(0))
     return df.join(table, df[label].eqNullSafe(table["_label"])).withColumn(out, passed).drop("_label", "_ends")
 
 
-def _dealt(start: int, size: int, fold: int, folds: int) -> int:
+def _dealt(start, size, fold, folds: int):
     """How many of ``size`` places from ``start`` on fall to ``fold`` when places are dealt in turn."""
-    return (start + size - 1 - fold) // folds - (start - 1 - fold) // folds
+    return F.floor((start + size - 1 - fold) / folds) - F.floor((start - 1 - fold) / folds)

@@ -15,7 +15,7 @@ from docketflow.session import materialise
 
 
 def harvest(index_pages: DataFrame, judgment_pages: DataFrame, host: str = V.HOST, keywords=V.KEYWORDS,
-            html: bool = True, **rank) -> DataFrame:
+            html: bool = True) -> DataFrame:
     """Index pages ``(court, year, url, html)`` and judgments ``(link, html)`` to coded, tagged cases.
 
     Each court lists a link once, where it first appears. A link marked as broken, or without a page,
@@ -32,7 +32,7 @@ def harvest(index_pages: DataFrame, judgment_pages: DataFrame, host: str = V.HOS
     listed = first.select("case_key.*", "year", "url", "pos", "case_name", "case_year") \
         .join(tags, "link", "left").withColumn("mention", F.when(
             F.contains("link", F.lit(V.BROKEN_LINK_MARK)) | F.col("mention").isNull(), V.NO_JUDGMENT).otherwise(F.col("mention")))
-    return L.court_codes(listed, ["year", "url", "pos"], **rank).select(
+    return L.court_codes(listed, ["year", "url", "pos"]).select(
         "court", "personal_code", "case_name", F.col("case_year").alias("year"), "link", "mention")
 
 

@@ -26,11 +26,10 @@ def test_chunk_tokens(one, n):
     assert [r["input_ids"] for r in first] == expected[:1]
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_pad_batches(spark, one_task):
+def test_pad_batches(spark):
     rows = [(i, list(range(n)), [1] * n) for i, n in enumerate([3, 1, 2, 2, 5])]
     df = spark.createDataFrame(rows, "k int, input_ids array<int>, attention_mask array<int>")
-    got = {r["k"]: r for r in E.pad_batches(df, ["k"], one_task_rows=one_task).collect()}
+    got = {r["k"]: r for r in E.pad_batches(df, ["k"]).collect()}
     assert [got[i]["batch"] for i in range(5)] == [0, 0, 1, 1, 2]
     assert got[1]["input_ids"] == [0, V.PAD_TOKEN, V.PAD_TOKEN] and got[1]["attention_mask"] == [1, 0, 0]
     assert got[0]["input_ids"] == [0, 1, 2] and got[4]["input_ids"] == [0, 1, 2, 3, 4]

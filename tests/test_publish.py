@@ -48,10 +48,9 @@ def test_mention_summary(spark):
     assert (r["checked"], r["mentions"], r["percent"]) == (55202, 1637, pytest.approx(2.97))
 
 
-@pytest.mark.parametrize("one_task", [0, 100_000])
-def test_sheet_and_second_round(spark, one_task):
+def test_sheet_and_second_round(spark):
     found = spark.createDataFrame([(f"c{i}", 2000, f"l{i:04d}") for i in range(1637)], "case_name string, year int, link string")
-    sheet = P.labelling_sheet(found, ["link"], one_task_rows=one_task)
+    sheet = P.labelling_sheet(found, ["link"])
     rows = sheet.collect()
     assert sorted(r["idx"] for r in rows) == list(range(1, 1638))
     assert all(r["link"] == f"l{r['idx'] - 1:04d}" for r in rows)

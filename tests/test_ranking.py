@@ -17,32 +17,54 @@ def _expected(rows, by, order):
     return out
 
 
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """Range partitions as they were cut, and put together when they are small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_exact_rank(spark, by, one_task):
+def test_exact_rank(spark, by, coalesced):
     rng = random.Random(3)
     # one group holds most rows
     rows = [{"g": "hot" if rng.random() < 0.7 else f"g{rng.randrange(5)}", "h": rng.randrange(2), "a": i // 7, "b": f"x{i % 7}"}
             for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, h int, a int, b string")
-    got = exact_rank(df, by, ["a", "b"], "n", buckets=16, one_task_rows=one_task)
-    assert got.columns == df.columns + ["n"]
-    assert {(r["a"], r["b"], *[r[c] for c in by]): r["n"] for r in got.collect()} == _expected(rows, by, ["a", "b"])
-
-
-def test_exact_rank_with_given_bucket_and_null_group(spark):
-    df = spark.range(500).withColumn("g", F.when(F.col("id") % 3 > 0, "x"))
-    got = exact_rank(df, ["g"], ["id"], "n", bucket=F.floor(F.col("id") / 50))
+    got = exact_rank(df, by, ["a", "b"], "n", total="all")
+    assert got.columns == df.columns + ["n", "all"]
+    got = got.collect()
+    assert {(r["a"], r["b"], *[r[c] for c in by]): r["n"] for r in got} == _expected(rows, by, ["a", "b"])
+    sizes = {}
+    for r in rows:
+        k = tuple(r[c] for c in by)
+        sizes[k] = sizes.get(k, 0) + 1
+    assert all(r["all"] == sizes[tuple(r[c] for c in by)] for r in got)
+
+
+def test_exact_rank_with_null_groups_ties_and_taken_names(spark, coalesced):
+    df = spark.range(500).withColumn("g", F.when(F.col("id") % 3 > 0, "x")).withColumn("_at", F.lit(1)).withColumn("_n", F.lit("y"))
+    got = exact_rank(df, ["g"], ["id"], "n").collect()
+    assert {tuple(r[c] for c in ("_at", "_n")) for r in got} == {(1, "y")}
     for g, rows in (("x", [i for i in range(500) if i % 3]), (None, [i for i in range(500) if i % 3 == 0])):
-        ours = {r["id"]: r["n"] for r in got.filter(F.col("g").eqNullSafe(F.lit(g))).collect()}
-        assert ours == {i: n + 1 for n, i in enumerate(rows)}
+        assert {r["id"]: r["n"] for r in got if r["g"] == g} == {i: n + 1 for n, i in enumerate(rows)}
+    alike = exact_rank(spark.range(300).select(F.lit(None).cast("string").alias("g"), F.lit(1).alias("o")), ["g"], ["o"], "n").collect()
+    assert sorted(r["n"] for r in alike) == list(range(1, 301))
+    assert exact_rank(df.limit(0), ["g"], ["id"]).collect() == []
 
 
-def test_ranked_windows_are_split(spark):
-    """The hot group is cut into buckets: the window's key has more than the group in it."""
-    df = spark.range(5000).withColumn("g", F.lit("hot"))
-    plan = exact_rank(df, ["g"], ["id"], "n", one_task_rows=0)._jdf.queryExecution().toString()
-    assert "_bucket" in plan
+def test_hot_group_is_cut_into_ranges(spark):
+    """No window has the rows in it: only one count per group and partition is added up."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(80_000).withColumn("g", F.lit("hot"))
+        ranked = exact_rank(df, ["g"], ["id"], "n")
+        assert max(r["count"] for r in ranked.groupBy(F.floor(F.col("n") / 1)).count().collect()) == 1
+        parts = [r["count"] for r in df.repartitionByRange("g", "id").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) == 8 and max(parts) < 80_000 / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_local_if_small(spark):
@@ -61,9 +83,7 @@ def test_draw_and_flag(spark):
 
 
 @pytest.mark.parametrize("sizes", [(1, 5, 83, 417), (3, 2500), (2, 2)])
-@pytest.mark.parametrize("read_rows", [1000, 0])
-def test_split_counts_are_exact(spark, sizes, read_rows, monkeypatch):
-    monkeypatch.setattr(S, "CUT_ROWS", read_rows)
+def test_split_counts_are_exact(spark, sizes):
     rows = [(f"k{c}-{i}", c) for c, n in enumerate(sizes) for i in range(n)]
     df = spark.createDataFrame(rows, "link string, label int")
     split = S.stratified_split(df).collect()
@@ -96,13 +116,12 @@ def _folds(labels, k=5):
     return out
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_folds_of_400(spark, one_task):
+def test_folds_of_400(spark, coalesced):
     rng = random.Random(1)
     labels = [1] * 66 + [0] * 334
     rng.shuffle(labels)
     df = spark.createDataFrame(list(enumerate(labels)), "link int, label int")
-    got = S.stratified_folds(df, one_task_rows=one_task, buckets=8).orderBy("link").collect()
+    got = S.stratified_folds(df).orderBy("link").collect()
     assert [r["fold"] for r in got] == _folds(labels)
     per_fold = sorted(sum(r["label"] for r in got if r["fold"] == f) for f in range(5))
     assert per_fold == [13, 13, 13, 13, 14] and all(sum(r["fold"] == f for r in got) == 80 for f in range(5))
