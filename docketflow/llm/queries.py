@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docketflow.llm import adaptive_scan, best_fit, byte_bpe, odd_sketch, outliers, packed_ids, raking, resharding, secret_scan, toxicity, trie_counts
+from docketflow.llm import adaptive_scan, best_fit, byte_bpe, merkle, odd_sketch, outliers, packed_ids, permuterm, raking, resharding, secret_scan, toxicity, trie_counts
 from docketflow.plans.registry import Registry
 from docketflow.session import materialise
 
@@ -14,6 +14,7 @@ SHARDS = 24
 OLD_SHARDS = 20
 END_ID = 2
 END_OF_PIECE = 0
+MISSPELT_ONE_IN = 97
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 TOXIC_FROM = 0.7
 
@@ -134,6 +135,33 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf, "documents").select("doc_id", "text")))
 
 
+def _misspelt(key: str, word: str) -> Column:
+    """The word, without one code point where 97 divides the checksum of key and word; a null key is the empty text."""
+    draw = F.crc32(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.col(word)))
+    at = F.pmod(draw, F.char_length(word)).cast("int")
+    shorter = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))
+    return F.when(F.pmod(draw, F.lit(MISSPELT_ONE_IN)) == 0, shorter).otherwise(F.col(word))
+
+
+@query()
+def op11_permuterm(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents, some with a code point taken out, and the forms and roots of all of them."""
+    runs = permuterm.runs(_table(spark, sf, "documents").select("doc_id", "text"))
+    return permuterm.grouped(permuterm.vocabulary(runs.select(_misspelt("doc_id", "word").alias("word"))))
+
+
+@query()
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves and proofs of all documents, then held against the root after a seventh of the rows were tampered with; a null id is never tampered with."""
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    other = F.when(tampered, merkle.leaf("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    proofs = merkle.manifest(_table(spark, sf, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], carried={"tampered": other})
+    tested = merkle.verified(proofs.withColumn("tested", F.coalesce("tampered", "leaf")), leaf="tested")
+    digests = {name: F.lower(F.hex(column)).alias(name) for name, column in
+               {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof_sha256": "siblings_digest", "folded_root": "folded_root"}.items()}
+    return tested.select("doc_id", *digests.values(), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 @query()
 def op13_best_fit(spark: SparkSession, sf: str) -> DataFrame:
     """All documents' pieces in sequences of 2,048 tokens."""
