@@ -19,11 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docketflow.llm import batches, library_ids
+from docketflow.llm import batches, library_ids, pieces as P
 from docketflow.session import materialise
 
 SEQUENCE = 2048
-TEXT_BYTES = 3 << 20
 #: Ranks within one length stay below this.
 MOST_RANKS = 1 << 48
 
@@ -116,8 +115,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int = SEQUEN
         from pyspark import TaskContext
 
         file, own, seen = TaskContext.get().partitionId(), library_ids.encoder(tokenizer_file), np.zeros(size + 1, np.int64)
-        for batch in batches.bounded(rows, text, TEXT_BYTES):
-            ids, sizes = library_ids.with_end(*own.encode(batch.column(text)), end_id)
+        for batch in batches.bounded(rows, text, P.TEXT_BYTES):
+            ids, sizes = P.with_end(*own.encode(batch.column(text)), end_id)
             number = -(-sizes // size)
             doc = np.repeat(np.arange(len(sizes)), number)
             piece = batches.gather(np.zeros(len(sizes), np.int64), number)
@@ -136,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int = SEQUEN
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32", "_file", "_rank", *["ids"] * with_ids])
-        own.known.clear()
+        own.pool.clear()
 
     source = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias(text))
     return source.mapInArrow(run, PIECE.format(key=key) + (", ids array<int>" if with_ids else ""))

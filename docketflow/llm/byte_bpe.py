@@ -14,14 +14,15 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
-from docketflow.llm import batches
+from docketflow.llm import batches, pieces
 
-#: Pre-tokens that a worker keeps encoded; then it starts anew.
-CACHE = 500_000
+#: Pieces of text that don't stand alone.
+STRANGE = pieces.strange_pattern([])
 #: Where the 256 bytes go: characters that sentencepiece passes through unchanged.
 FIRST_CHARACTER = 0x4E00
 
@@ -71,46 +72,38 @@ def model_bytes(vocabulary: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes texts; one per worker. Ids are little-endian unsigned 32-bit integers in bytes."""
+    """Encodes and decodes texts; one per worker."""
 
     def __init__(self, vocabulary: list[bytes], pattern: str):
         self.vocabulary = vocabulary
-        self.ranks = {token: rank.to_bytes(4, "little") for rank, token in enumerate(vocabulary)}
+        self.ranks = {token: [rank] for rank, token in enumerate(vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(vocabulary))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.pieces = batches.Pieces(self.learn, lambda text: self.joined(self.split(text)))
-
-    def joined(self, pre_tokens: list[str]) -> bytes:
-        self.add(pre_tokens)
-        return b"".join([self.known[p] for p in pre_tokens])
-
-    def add(self, pre_tokens: list[str]) -> None:
-        """Encode the pre-tokens that are not known yet: whole vocabulary entries by look-up, others by the model."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(pre_tokens) if p not in self.known]
-        raws = [p.encode() for p in new]
-        found = dict(zip(new, map(self.ranks.get, raws)))
-        rest = [(p, raw) for p, raw in zip(new, raws) if found[p] is None]
+        self.pool = pieces.Pool(self.ask)
+
+    def pre_tokens(self, wanted: list[str]) -> dict[str, list[int]]:
+        """Ids of distinct pre-tokens: whole vocabulary entries by look-up, others by the model."""
+        raws = [p.encode() for p in wanted]
+        found = dict(zip(wanted, map(self.ranks.get, raws)))
+        rest = [(p, raw) for p, raw in zip(wanted, raws) if found[p] is None]
         if rest:
             mapped, ends = as_characters(b"".join([raw for _, raw in rest])), list(accumulate(len(raw) for _, raw in rest))
-            ids = self.model.encode([mapped[a:b] for a, b in zip([0, *ends], ends)], num_threads=1)
-            flat, stops = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), list(accumulate(map(len, ids)))
-            found.update((p, flat[4 * a : 4 * b]) for (p, _), a, b in zip(rest, [0, *stops], stops))
-        self.known.update(found)
+            found.update(zip([p for p, _ in rest], self.model.encode([mapped[a:b] for a, b in zip([0, *ends], ends)], num_threads=1)))
+        return found
+
+    def ask(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return pieces.flat(self.lists([batches.ascii_word(piece) or self.split(piece) for piece in wanted]))
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        cut = [batches.ascii_word(piece) or self.split(piece) for piece in pieces]
-        self.add([p for parts in cut for p in parts])
-        known = self.known
-        return [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for parts in cut]
+    def lists(self, cut: list[list[str]]) -> list[list[int]]:
+        known = self.pre_tokens(list(dict.fromkeys(chain.from_iterable(cut))))
+        return [known[parts[0]] if len(parts) == 1 else list(chain.from_iterable([known[p] for p in parts])) for parts in cut]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.pieces.texts(texts)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and each text's number of ids; null is empty."""
+        return pieces.spaced(self.pool, pc.fill_null(texts, ""), STRANGE, lambda odd: self.lists([self.split(t) for t in odd]))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join([self.vocabulary[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.vocabulary[i] for i in ids.tolist()])
 
 
 _CODECS: dict = {}
@@ -134,21 +127,27 @@ def _free(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the input already has {sorted(taken)}: choose other names for the output")
 
 
-def encode(docs: DataFrame, vocabulary_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary_file: str, pattern: str, text: str = "text", ids: str = "ids", same: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text``; a null or empty text gives an empty list.
 
-    ``vocabulary_file`` is a path that every machine has. Rows, order and other columns stay; ``ids`` must be a new name.
+    ``same`` names a column that says whether the ids decode to the text, null being empty. ``vocabulary_file`` is a path that every
+    machine has. Rows, order and other columns stay; ``ids`` and ``same`` must be new names.
     """
-    _free(docs, ids)
+    _free(docs, ids, *[same] * bool(same))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_file, pattern)
-        for batch in batches.bounded(rows, text):
-            found = own.encode(batches.texts_of(batch, text))
-            starts = np.cumsum([0, *map(len, found)]) // 4
-            yield _with(batch, **{ids: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))})
+        for batch in batches.bounded(rows, text, pieces.TEXT_BYTES):
+            flat, sizes = own.encode(batch.column(text))
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            added = {ids: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat.astype("<i4")))}
+            if same:
+                raws = pc.fill_null(batch.column(text), "").cast(pa.binary())
+                added[same] = pa.array([own.decode(flat[a:b]) == raw.as_py() for a, b, raw in zip(starts, starts[1:], raws)], pa.bool_())
+            yield _with(batch, **added)
+        own.pool.clear()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(same, T.BooleanType())] * bool(same)]))
 
 
 def decode(tokens: DataFrame, vocabulary_file: str, pattern: str, ids: str = "ids", raw: str = "decoded") -> DataFrame:
@@ -160,7 +159,7 @@ def decode(tokens: DataFrame, vocabulary_file: str, pattern: str, ids: str = "id
         for batch in rows:
             for start in range(0, batch.num_rows, 2_000):
                 part = batch.slice(start, 2_000)
-                yield _with(part, **{raw: pa.array([own.decode(np.array(x or [], "<u4").tobytes()) for x in part.column(ids).to_pylist()], pa.binary())})
+                yield _with(part, **{raw: pa.array([own.decode(np.array(x or [], "<u4")) for x in part.column(ids).to_pylist()], pa.binary())})
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(raw, T.BinaryType())]))
 
@@ -175,13 +174,15 @@ def round_trip(docs: DataFrame, vocabulary_file: str, pattern: str, key: str = "
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_file, pattern)
-        for batch in batches.bounded(rows, text):
-            found = own.encode(batches.texts_of(batch, text))
+        for batch in batches.bounded(rows, text, pieces.TEXT_BYTES):
+            flat, sizes = own.encode(batch.column(text))
+            ends = np.cumsum(sizes)
+            each = [flat[a:b] for a, b in zip(ends - sizes, ends)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(key), pa.array([len(x) // 4 for x in found], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in found]),
-                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in found]),
+                batch.column(key), pa.array(sizes), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in each], pa.string()),
+                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in each], pa.string()),
             ], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.pool.clear()
 
     return source.mapInArrow(run, T.StructType([
         T.StructField(key, kind), T.StructField("n_tokens", T.LongType()),

@@ -1,29 +1,15 @@
-"""Token ids by the tokenizers library, each distinct piece of a batch of texts worked out once.
-
-Texts are cut at spaces side by side, pieces are turned into codes, and only pieces that the worker doesn't know yet go to the
-library, many in one call. The ids of whole texts are then gathered from the pieces' ids without touching single tokens.
-"""
+"""Token ids by the tokenizers library, which sees each distinct piece of a worker's texts once."""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from docketflow.llm import batches
-
-#: Bytes that a worker keeps of pieces and their ids; then it starts anew.
-KEPT_BYTES = 64 << 20
-#: What Python needs for a dictionary entry and its string beside the characters.
-ENTRY_BYTES = 160
-#: Pieces that one call to the library has.
-AT_ONCE = 20_000
-
+from docketflow.llm import batches, pieces as P
 
 #: Words of Latin letters with at most one full stop or comma: a pre-token of letters and one of the mark.
 PLAIN = "( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)"
@@ -38,11 +24,8 @@ def byte_characters() -> str:
     return "".join(chr(b) if b in printable else next(others) for b in range(256))
 
 
-class Known:
-    """Pieces that the library has seen, and their ids one after the other.
-
-    Plain words are cut here and go straight to the library's merges; the rest goes through the whole tokenizer.
-    """
+class Library:
+    """Ids of pieces. Plain words are cut here and go straight to the library's merges; the rest goes through the whole tokenizer."""
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
@@ -51,7 +34,6 @@ class Known:
         self.characters = byte_characters()
         self.lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AÉ") == "aé"
         self.cuts = self._cuts()
-        self.clear()
 
     def written(self, pre_token: str) -> str:
         """Pre-tokens as the library's merges want them."""
@@ -70,64 +52,42 @@ class Known:
                 return False
         return True
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.starts, self.held = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
-
-    def find(self, pieces: list[str]) -> np.ndarray:
-        """Each piece's place; unknown ones are learned. Places hold until ``clear``."""
-        index = self.index
-        new = [p for p in dict.fromkeys(pieces) if p not in index]
-        if new:
-            flat, sizes = self.ask(new)
-            index.update(zip(new, range(len(index), len(index) + len(new))))
-            self.ids = np.concatenate([self.ids, flat])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.held += 4 * len(flat) + sum(map(len, new)) + ENTRY_BYTES * len(new)
-        return np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-
     def ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces by the library: flat, and how many each piece has."""
         lines = ["" if "\n" in p else p for p in pieces]
         cut = PLAIN_LINES("\n".join(lines)) if self.cuts else [("", "")] * len(pieces)
         words = {word: i for i, word in enumerate(dict.fromkeys(word for word, _ in cut if word))}
-        merged = list(map(self.model.tokenize, self.written("\n".join(words)).split(self.written("\n")) if words else []))
-        marks = [self.model.tokenize(mark) for mark in MARKS]
+        written = [*(self.written("\n".join(words)).split(self.written("\n")) if words else []), *MARKS]
         other = [p for p, (word, _) in zip(pieces, cut) if not word]
-        whole = list(self.whole(other))
-        # all parts in one pool: words, marks, what went whole; a piece is two parts
-        lists = [*([t.id for t in part] for part in [*merged, *marks]), *whole, []]
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-        flat = np.fromiter(chain.from_iterable(lists), "<u4", int(starts[-1]))
+        # words, marks, what went whole, nothing; a piece is two of them
+        lists = [*([t.id for t in self.model.tokenize(word)] for word in written), *self.whole(other), []]
+        flat, each = P.flat(lists)
+        starts = np.cumsum(each) - each
         parts = np.full((len(pieces), 2), len(lists) - 1)
         plain = np.fromiter((word != "" for word, _ in cut), bool, len(pieces))
         parts[plain, 0] = [words[word] for word, _ in cut if word]
         mark = np.array([MARKS.find(mark) if mark else -1 for word, mark in cut if word], np.int64)
         parts[plain, 1] = np.where(mark < 0, len(lists) - 1, len(words) + mark)
         parts[~plain, 0] = len(words) + len(MARKS) + np.arange(len(other))
-        sizes = np.diff(starts)[parts]
-        return flat[batches.gather(starts[:-1][parts].ravel(), sizes.ravel())], sizes.sum(axis=1)
+        sizes = each[parts]
+        return flat[batches.gather(starts[parts].ravel(), sizes.ravel())], sizes.sum(axis=1)
 
-    def whole(self, pieces: list[str]) -> Iterator[list[int]]:
+    def whole(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece by the whole tokenizer. Where it can, one call has many, an added token, which nothing crosses, between them."""
         mark = self.mark
-        for i in range(0, len(pieces), AT_ONCE):
-            part = pieces[i : i + AT_ONCE]
-            joined = mark and mark.join([*part, ""])
-            if mark and joined.count(mark) == len(part):
-                ids = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-                ends = np.flatnonzero(np.array(ids) == self.mark_id).tolist()
-                yield from (ids[a + 1 : b] for a, b in zip([-1, *ends], ends))
-            else:
-                yield from (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))
+        joined = mark and mark.join([*pieces, ""])
+        if mark and joined.count(mark) == len(pieces):
+            ids = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(np.array(ids) == self.mark_id).tolist()
+            return [ids[a + 1 : b] for a, b in zip([-1, *ends], ends)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
 class TextIds:
     """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     Two kinds of tokenizers are taken: byte-level ones without a normaliser, for which a single space that other than white
-    space follows begins a pre-token, so a piece is what stands between such spaces and texts with other white space beside
-    a space go to the library whole; and those that drop white space, for which all pieces between white space stand alone.
+    space follows begins a pre-token; and those that drop white space, for which all pieces between white space stand alone.
     """
 
     def __init__(self, path: str):
@@ -141,79 +101,28 @@ class TextIds:
             raise ValueError("a tokenizer that drops white space or a byte-level one without normaliser is asked for")
         if any(ch.isspace() for t in added for ch in t):
             raise ValueError("added tokens must be free of white space")
-        spaces = "".join(f"\\x{{{ord(c):X}}}" for c in sorted(batches.SPACES))
-        special = "".join("|" + "".join(f"\\x{{{ord(c):X}}}" for c in t) for t in added)
-        #: Pieces that don't stand alone: none, or white space, right behind a space; an added token.
-        self.strange = rf"\A(?:[{spaces}]|\z){special}"
-        self.known = Known(self.tokenizer)
+        self.strange = P.strange_pattern(added)
+        self.library = Library(self.tokenizer)
+        self.pool = P.Pool(self.library.ask)
 
     def _drops_space(self) -> bool:
         def ids(text: str) -> list[int]:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-        words = ["it's", "e", "́a", "12", "--", "中"]
+        words = ["it's", "e", "\u0301a", "12", "--", "中"]
         return all(ids(f"{space}{a}{space}{b}{space}") == ids(a) + ids(b) for a in words for b in words for space in (" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c"))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and each text's number of ids; null is empty."""
-        if self.known.held > KEPT_BYTES:
-            self.known.clear()
         texts = pc.fill_null(texts, "")
-        return self._apart(texts) if self.drops_space else self._spaced(texts)
-
-    def _gathered(self, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = self.known.starts[places]
-        sizes = self.known.starts[places + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self.known.ids[batches.gather(begin, sizes)], np.diff(ends[starts])
-
-    def _apart(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        codes, starts, distinct = batches.words(texts)
-        places = self.known.find(distinct.to_pylist())
-        return self._gathered(places[codes] if len(codes) else np.zeros(0, np.int64), starts)
-
-    def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        flat, starts = batches.flat_list(pc.split_pattern(texts, " "))
-        coded = flat.dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        strange = pc.match_substring_regex(distinct, self.strange).to_numpy(zero_copy_only=False)[codes] if len(distinct) else np.zeros(0, bool)
-        begins = np.zeros(len(codes), bool)
-        begins[starts[:-1]] = True
-        # the piece that a text begins with has no space before it and may be empty
-        strange[begins] &= pc.not_equal(flat.filter(pa.array(begins)), "").to_numpy(zero_copy_only=False)
-        odd = np.logical_or.reduceat(strange, starts[:-1]) if len(codes) else np.zeros(0, bool)
-        kept = np.repeat(~odd, np.diff(starts))
-        first, rest = begins[kept], codes[kept]
-        begin = np.concatenate([[0], np.cumsum(np.diff(starts)[~odd])])
-        places = np.empty(len(rest), np.int64)
-        places[first] = self.known.find(flat.filter(pa.array(begins & kept)).to_pylist())
-        needed = np.unique(rest[~first])
-        learned = np.empty(len(distinct), np.int64)
-        learned[needed] = self.known.find([" " + p for p in distinct.take(pa.array(needed)).to_pylist()])
-        places[~first] = learned[rest[~first]]
-        ids, sizes = self._gathered(places, begin)
-        if not odd.any():
-            return ids, sizes
-        whole = [e.ids for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
-        both = np.concatenate([ids, np.fromiter(chain.from_iterable(whole), "<u4")])
-        all_sizes = np.zeros(len(texts), np.int64)
-        all_sizes[~odd], all_sizes[odd] = sizes, [len(x) for x in whole]
-        begin = np.zeros(len(texts), np.int64)
-        begin[~odd] = np.cumsum(sizes) - sizes
-        begin[odd] = len(ids) + np.cumsum(all_sizes[odd]) - all_sizes[odd]
-        return both[batches.gather(begin, all_sizes)], all_sizes
-
-
-def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids with ``end_id`` behind each text's."""
-    return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+        return P.apart(self.pool, texts) if self.drops_space else P.spaced(self.pool, texts, self.strange, self.library.whole)
 
 
 _ENCODERS: dict[str, TextIds] = {}
 
 
 def encoder(path: str) -> TextIds:
-    """The worker's encoder for a tokenizer file; what it knows of texts is to be cleared when a task ends."""
+    """The worker's encoder for a tokenizer file; its pool is to be cleared when a task ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TextIds(path)
     return _ENCODERS[path]

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from docketflow.llm import batches, library_ids
+from docketflow.llm import batches, library_ids, pieces
 from docketflow.session import scratch_path
 
 #: (values, bits) by selector 0 to 14; 15 is the escape. Fixed values of the format.
@@ -156,8 +156,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
                 pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([words.astype("<u8").tobytes()]), pa.array([starts.astype("<i8").tobytes()])],
                 ["file", "page", "keys", "sizes", "words", "starts"])
 
-        for batch in batches.bounded(parts, "_text", 3 << 20):
-            found, lengths = library_ids.with_end(*own.encode(batch.column("_text")), end_id)
+        for batch in batches.bounded(parts, "_text", pieces.TEXT_BYTES):
+            found, lengths = pieces.with_end(*own.encode(batch.column("_text")), end_id)
             keys.append(batch.column("_key").to_pylist())
             sizes.append(lengths)
             ids.append(found)
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
                 page, keys, sizes, ids, held = page + 1, [], [], [], 0
         if held:
             yield full()
-        own.known.clear()
+        own.pool.clear()
 
     ordered.mapInArrow(run, PAGE).write.option("compression", "none").parquet(path)
 

@@ -24,12 +24,12 @@ def _texts(n, seed=3):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_equal_the_library(name):
     own, plain = library_ids.TextIds(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
-    assert own.known.cuts
+    assert own.library.cuts
     texts = _texts(3000)
     want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
     for cuts in (True, False):
-        own.known.cuts = cuts
-        own.known.clear()
+        own.library.cuts = cuts
+        own.pool.clear()
         ids, sizes = own.encode(pa.array([*texts, None]))
         ends = np.cumsum(sizes)
         assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == [*want, []]
