@@ -40,10 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents' ids, checked by decoding: ``doc_id, lang, source, n_tokens, ids, round_trip``."""
-    encoded = byte_bpe.encode(docs, queries.ranks_file(), queries.pattern())
-    decoded = byte_bpe.decode(encoded, queries.ranks_file(), queries.pattern())
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), queries.ranks_file(), queries.pattern(), same="round_trip")
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("secret_scans", secrets), ("mixing", mixing), ("byte_bpe", token_ids)]
