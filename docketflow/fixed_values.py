@@ -74,6 +74,8 @@ TFIDF_GRID = {
 }
 SVM_TFIDF_C = (0.1, 1, 2, 5)
 SVM_EMBEDDING_C = (0.1, 1, 2, 5, 10)
+# Endings of verbs and what stands in their place, from the public rules of English morphology that dictionaries look words up by.
+VERB_ENDINGS = (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""))
 SVM_LOSSES = ("hinge", "squared_hinge")
 MLP_GRID = {
     "epochs": (10, 20, 50, 100),

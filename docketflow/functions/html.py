@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from docketflow import fixed_values as V
 from docketflow.functions.text import let
 
-LIST = r"(?is)<ul\b[^>]*>(.*?)</ul\s*>"
-ITEM = r"(?is)<li\b[^>]*>(.*?)(?=<li\b|</li\s*>|\z)"
+# Tags that lists are made of; comments hide theirs.
+LIST_TAG = r"(?is)<!--.*?(?:-->|\z)|</?(?:ul|ol|li)\b[^>]*>"
 _HREF = r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 ITEM_LINK = r"(?is)\A\s*" + _HREF
 # The link sits one level deeper: the second node inside the item's first child.
@@ -25,21 +26,74 @@ def has_next_page(html: Column) -> Column:
     return F.contains(html, F.lit(V.NEXT_PAGE_MARK))
 
 
+def item_spans(tags: str) -> list[int]:
+    """Items of a page from its list tags, one character each: first and last tag of every item, one after the other.
+
+    ``u`` and ``o`` begin a list, ``U`` and ``O`` end one, ``i`` and ``I`` begin and end an item; others are passed over. An item
+    ends at its end tag, at the next item of its own list, at its list's end or with the page, whichever comes first, and
+    holds the lists within it. An end tag without a list of its kind is passed over. Only items somewhere inside a ``u`` list
+    count; they come in page order.
+    """
+    lists, opened, out = {"u": 0, "o": 0}, {}, []
+
+    def end(at: int) -> None:
+        item = opened.pop(lists["u"] + lists["o"], None)
+        if item is not None:
+            out[item + 1] = at
+
+    for at, tag in enumerate(tags):
+        if tag in lists:
+            lists[tag] += 1
+        elif tag in "UO":
+            if lists[tag.lower()]:
+                end(at)
+                lists[tag.lower()] -= 1
+        elif tag in "iI":
+            end(at)
+            if tag == "i" and lists["u"]:
+                opened[lists["u"] + lists["o"]] = len(out)
+                out += [at, len(tags)]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _spans(tags: pd.Series) -> pd.Series:
+    return tags.map(lambda t: item_spans(t or ""))
+
+
+def list_items(html: Column) -> Column:
+    """What stands between each list item's tags, items of nested lists too, in page order; a tag in between is ``<li>`` whatever it was.
+
+    Tags are found and texts are cut in the JVM; only one character per list tag goes to Python, where a depth count finds the items' ends.
+    """
+    def code(tag: Column) -> Column:
+        name = F.lower(F.regexp_extract(tag, r"(?i)\A</?(ul|ol|li)\b", 1))
+        mark = F.when(name == "li", "i").otherwise(F.substring(name, 1, 1))
+        return F.when(name == "", "-").when(F.startswith(tag, F.lit("</")), F.upper(mark)).otherwise(mark)
+
+    tags = F.array_join(F.transform(F.regexp_extract_all(html, F.lit(LIST_TAG), F.lit(0)), code), "")
+
+    def cut(parts: Column, spans: Column) -> Column:
+        starts = F.filter(spans, lambda _, k: k % 2 == 0)
+        return F.transform(starts, lambda first, k: F.array_join(
+            F.slice(parts, first + 2, F.get(spans, 2 * k + 1) - first), "<li>"))
+
+    return let(F.struct(F.split(html, LIST_TAG, -1).alias("parts"), _spans(tags).alias("spans")), lambda s: cut(s["parts"], s["spans"]))
+
+
 def list_links(html: Column, nested: bool = False) -> Column:
-    """``array<struct<href, title>>`` for the items of ``ul`` lists that begin with a link, in page order.
+    """``array<struct<href, title>>`` for the items of ``ul`` lists, at any depth, that begin with a link, in page order.
 
-    The title is the text of the whole item, what stands behind the link included; character references in
+    The title is the text of the whole item: what stands behind the link and in lists within the item too. Character references in
     the address are decoded, and its quotes may be double, single or missing.
     """
     pattern = F.lit(NESTED_ITEM_LINK if nested else ITEM_LINK)
-    items = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(LIST), F.lit(1)),
-                                  lambda u: F.regexp_extract_all(u, F.lit(ITEM), F.lit(1))))
 
     def link(item):
         href = F.concat(*[F.regexp_extract(item, NESTED_ITEM_LINK if nested else ITEM_LINK, k) for k in (1, 2, 3)])
         return F.struct(decode_entities(href).alias("href"), F.trim(page_text(item)).alias("title"))
 
-    return F.transform(F.filter(items, lambda i: F.regexp_like(i, pattern)), link)
+    return F.transform(F.filter(list_items(html), lambda i: F.regexp_like(i, pattern)), link)
 
 
 def canonical_link(href: Column, host: str = V.HOST, redirect: str = V.REDIRECT_PREFIX) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from docketflow import fixed_values as V
 from docketflow.functions.text import blank_separated, let, sentences_to_encode
@@ -38,6 +40,19 @@ def hashing_encoder(hex_digits: int = 2) -> Encoder:
     return encode
 
 
+def batch_encoder(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 64) -> Encoder:
+    """A sentence encoder from a model that lives on the workers.
+
+    ``load`` is called once per worker task and returns a function from an array of sentences to an array of as many vectors. Sentences are
+    sorted by length within their partition first, so those of one batch need little padding.
+    """
+    encoded = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+
+    def encode(df: DataFrame) -> DataFrame:
+        return df.sortWithinPartitions(F.length("sentence")).withColumn("vector", encoded("sentence"))
+    return encode
+
+
 def embed_documents(df: DataFrame, key: str, text: str, encode: Encoder, min_words: int = V.SKIP_WORDS,
                     max_chars: int | None = None, cap: int | None = None,
                     seed: int = V.SEED) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketflow.functions.text import feature_words, ngrams, term_runs
+from docketflow.functions.text import feature_words, let, ngrams, term_runs
 
 # A vocabulary lives on the driver and in every task, so its size is a checked parameter.
 MAX_VOCABULARY = 1_000_000
@@ -74,8 +74,23 @@ def fit_tfidf(df: DataFrame, terms: str, max_features: int, min_df: int = 1, max
     return Tfidf([r["term"] for r in rows], [smooth_idf(r["df"], n) for r in rows])
 
 
+def constant_array(values: list, kind: str) -> Column:
+    """A list as one literal of the plan, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def cells(features: Column) -> Column:
+    """``array<struct<at, value>>``: a vector's stored values and their places; a sparse one's zeros don't appear."""
+    vector = F.unwrap_udt(features)
+
+    def places(v):
+        dense = F.when(v["size"].isNull() & (F.size(v["values"]) > 0), F.sequence(F.lit(0), F.size(v["values"]) - 1))
+        return F.coalesce(v["indices"], dense, F.array().cast("array<int>"))
+
+    return let(vector, lambda v: F.zip_with(places(v), v["values"], lambda i, x: F.struct(i.alias("at"), x.alias("value"))))
+
+
 def weights_long(df: DataFrame, key: str, model: Tfidf, features: str = "features") -> DataFrame:
-    """``(key, term, weight)`` for the non-zero weights."""
-    cells = F.arrays_zip(F.array(*[F.lit(t) for t in model.terms]).alias("term"),
-                         vector_to_array(features).alias("weight"))
-    return df.select(key, F.explode(cells).alias("c")).select(key, "c.term", "c.weight").filter("weight <> 0")
+    """``(key, term, weight)`` for the non-zero weights; a row's work is its own terms, not the vocabulary's."""
+    return df.select(key, F.explode(cells(F.col(features))).alias("c")).filter("c.value <> 0").select(
+        key, F.get(constant_array(model.terms, "string"), F.col("c.at")).alias("term"), F.col("c.value").alias("weight"))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import ElementwiseProduct
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docketflow.operators.features import cells, constant_array
 from docketflow.operators.training import (
-    View, column, dense_blocks, gradient_batch, summed_gradients)
+    View, column, dense_blocks, gradient_batch, passes_for, summed_gradients)
 
-# The hinge's corner is rounded over this margin, which changes the objective by at most C * n * width / 2.
-HINGE_CORNER = 0.02
-MEMORY = 8
+# The hinge's corner is rounded over this margin at first, which changes the objective by at most C * n * width / 2.
+HINGE_CORNER = 0.5
+# It shrinks by this factor when the rounded problem is solved up to this share of what the bound still lacks.
+SHRINK, SOLVED = 0.5, 0.5
+MEMORY = 20
+# A model is done when its objective is known to be this close to the best one, as a share of it.
+GAP = 1e-3
+MAX_PASSES = 500
 
 
 @dataclass(frozen=True)
@@ -31,43 +35,47 @@ class LinearModel:
     weights: list[float]
     intercept: float
     setting: dict = field(default_factory=dict)
+    report: dict = field(default_factory=dict)      # primal, dual, gap, passes, stopped
 
     def decision(self, df: DataFrame, features: str = "features", out: str = "score") -> DataFrame:
-        """Weighted sum inside the JVM."""
-        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.weights), inputCol=features, outputCol="_w")
-        return weighted.transform(df).withColumn(out, F.aggregate(
-            vector_to_array("_w"), F.lit(float(self.intercept)), lambda a, x: a + x)).drop("_w")
+        """Weighted sum inside the JVM, over a row's stored values only."""
+        weights = constant_array(list(map(float, self.weights)), "double")
+        return df.withColumn(out, F.aggregate(
+            cells(F.col(features)), F.lit(float(self.intercept)), lambda a, c: a + c["value"] * F.get(weights, c["at"])))
 
     def predict(self, df: DataFrame, features: str = "features", out: str = "prediction") -> DataFrame:
         return self.decision(df, features, "_score").withColumn(out, (F.col("_score") > 0).cast("int")).drop("_score")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(self.weights, self.intercept, {k: str(v) for k, v in self.setting.items()})]
-        spark.createDataFrame(rows, "weights array<double>, intercept double, setting map<string,string>") \
+        rows = [(self.weights, self.intercept, {k: str(v) for k, v in self.setting.items()}, self.report)]
+        spark.createDataFrame(rows, "weights array<double>, intercept double, setting map<string,string>, report map<string,double>") \
             .write.parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LinearModel:
         r = spark.read.parquet(path).first()
-        return LinearModel(list(r["weights"]), r["intercept"], dict(r["setting"]))
+        return LinearModel(list(r["weights"]), r["intercept"], dict(r["setting"]), dict(r["report"]))
 
 
-def _loss(kind: str, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Loss and its slope at ``gap = 1 - y * score``."""
+def _loss(kind: str, gap: np.ndarray, corner: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss with its corner rounded, its slope, and the loss itself, at ``gap = 1 - y * score``."""
     over = np.maximum(gap, 0)
     if kind == "squared_hinge":
-        return over * over, 2 * over
-    corner = over < HINGE_CORNER
-    return (np.where(corner, over * over / (2 * HINGE_CORNER), over - HINGE_CORNER / 2),
-            np.where(corner, over / HINGE_CORNER, 1.0))
+        return over * over, 2 * over, over * over
+    inside = over < corner
+    return (np.where(inside, over * over / (2 * corner), over - corner / 2), np.where(inside, over / corner, 1.0), over)
 
 
-def _svm_task(settings: list[tuple[int, SvmSetting]], views: list[View], weights: np.ndarray):
+# What a pass adds up beside the gradient: the loss itself, the dual variables and their squares.
+_SUMS = 3
+
+
+def _svm_task(settings: list[tuple[int, SvmSetting]], views: list[View], weights: np.ndarray, corners: np.ndarray):
     """Gradient sums over one task's rows. Weight rows follow ``settings``; the last column is the intercept."""
     width = weights.shape[1]
 
     def run(batches):
-        loss, gradient, seen = np.zeros(len(settings)), np.zeros_like(weights), False
+        loss, gradient, seen = np.zeros(len(settings)), np.zeros((len(settings), width + _SUMS)), False
         by_view: dict[int, list[int]] = {}
         for i, (_, s) in enumerate(settings):
             by_view.setdefault(s.view, []).append(i)
@@ -82,65 +90,117 @@ def _svm_task(settings: list[tuple[int, SvmSetting]], views: list[View], weights
                     slope = np.zeros_like(score)
                     for j, i in enumerate(members):
                         s = settings[i][1]
-                        value, step = _loss(s.loss, 1 - sign * score[:, j])
+                        value, step, own = _loss(s.loss, 1 - sign * score[:, j], corners[i])
                         used = np.ones(len(fold), bool) if s.holdout is None else fold != s.holdout
+                        dual = np.where(used, s.C * step, 0)
                         loss[i] += s.C * value[used].sum()
-                        slope[:, j] = np.where(used, -s.C * sign * step, 0)
-                    gradient[members] += slope.T @ x
+                        gradient[i, width:] += s.C * own[used].sum(), dual.sum(), (dual * dual).sum()
+                        slope[:, j] = -sign * dual
+                    gradient[members, :width] += slope.T @ x
         if seen:
             yield gradient_batch([m for m, _ in settings], loss, gradient)
 
     return run
 
 
+@dataclass
+class Objective:
+    """A pass's sums at some weights, one entry per model.
+
+    A row's dual variable is ``C`` times the slope of its loss, which always lies within the dual's limits. So every pass gives a lower bound
+    of the best objective, whatever the weights: ``sum(a) - |sum(a y x)|^2 / 2``, less ``sum(a^2) / 4C`` for squared hinge.
+    """
+
+    value: np.ndarray       # with the corner rounded
+    slope: np.ndarray
+    primal: np.ndarray      # the objective itself
+    dual: np.ndarray
+    rounded_dual: np.ndarray
+
+
+def objective(rows: DataFrame, settings: list[SvmSetting], weights: np.ndarray, views: list[View] | None = None,
+              corners: np.ndarray | None = None, models: np.ndarray | None = None) -> Objective:
+    """One pass over ``rows`` for the models at ``weights``, whose last column is the intercept."""
+    chosen = np.arange(len(settings)) if models is None else models
+    corners = np.full(len(settings), HINGE_CORNER) if corners is None else corners
+    width = weights.shape[1]
+    loss, sums = np.zeros(len(chosen)), np.zeros((len(chosen), width + _SUMS))
+    # as many models in one pass as their gradients may take room
+    for some in np.array_split(np.arange(len(chosen)), passes_for(len(chosen), width)):
+        task = _svm_task([(int(k), settings[chosen[k]]) for k in some], views or [View()], weights[some], corners[chosen[some]])
+        part = summed_gradients(rows, task, width + _SUMS, len(chosen))
+        loss, sums = loss + part[0], sums + part[1]
+    gradient, own, total, squares = sums[:, :width], *sums[:, width:].T
+    size = 0.5 * (weights * weights).sum(axis=1)
+    linear = total - 0.5 * (gradient * gradient).sum(axis=1)
+    squared = np.array([settings[i].loss == "squared_hinge" for i in chosen], bool)
+    c = np.array([settings[i].C for i in chosen])
+    rounded = linear - np.where(squared, 1 / (4 * c), corners[chosen] / (2 * c)) * squares
+    return Objective(loss + size, gradient + weights, own + size, np.where(squared, rounded, linear), rounded)
+
+
 def fit_svms(rows: DataFrame, settings: list[SvmSetting], width: int, views: list[View] | None = None,
-             max_passes: int = 60, tolerance: float = 1e-3) -> list[LinearModel]:
+             max_passes: int = MAX_PASSES, tolerance: float = 1e-3, gap: float = GAP) -> list[LinearModel]:
     """Fit all settings together by limited-memory BFGS; one pass over ``rows`` serves all of them.
 
     The objective is ``|w|^2 / 2 + C * sum(loss)`` with the intercept as one more (penalised) weight.
-    Each model has its own line search, so in one pass some take a new step while others shorten theirs.
+    Each model has its own line search, so in one pass some take a new step while others shorten theirs. A model is done when the best objective found is within ``gap``, relatively, of the best lower
+    bound found, with squared hinge also when its gradient has fallen to ``tolerance`` of the first one. For hinge loss that needs the rounded corner to be small: it shrinks, model by model, until the bound holds. What was
+    reached is in ``LinearModel.report``; a warning tells of models that ``max_passes`` has stopped.
     """
-    views = views or [View()]
-    total = len(settings)
-    w = np.zeros((total, width + 1))
-
-    def evaluate(active: np.ndarray, trial: np.ndarray):
-        chosen = [(int(i), settings[i]) for i in active]
-        loss, gradient = summed_gradients(rows, _svm_task(chosen, views, trial), width + 1, total)
-        return loss[active] + 0.5 * (trial * trial).sum(axis=1), gradient[active] + trial
-
-    every = np.arange(total)
-    value, slope = evaluate(every, w)
-    goal = tolerance * np.linalg.norm(slope, axis=1)
-    moves, changes = np.zeros((total, MEMORY, width + 1)), np.zeros((total, MEMORY, width + 1))
-    inverse = np.zeros((total, MEMORY))
-    direction = -slope
-    step = 1 / np.maximum(np.linalg.norm(slope, axis=1), 1.0)
-    running = np.linalg.norm(slope, axis=1) > goal
-    for _ in range(max_passes - 1):
+    total, every = len(settings), np.arange(len(settings))
+    w, corners = np.zeros((total, width + 1)), np.full(total, HINGE_CORNER)
+    best, primal, dual, passes = w.copy(), np.full(total, np.inf), np.full(total, -np.inf), np.zeros(total, int)
+    value, slope = np.full(total, np.inf), np.zeros_like(w)
+    goal = np.full(total, np.inf)
+    moves, changes, inverse = np.zeros((total, MEMORY, width + 1)), np.zeros((total, MEMORY, width + 1)), np.zeros((total, MEMORY))
+    direction, step = np.zeros_like(w), np.zeros(total)
+    running, first = np.ones(total, bool), True
+    for _ in range(max_passes):
         active = every[running]
         if not len(active):
             break
         trial = w[active] + step[active, None] * direction[active]
-        new_value, new_slope = evaluate(active, trial)
+        found = objective(rows, settings, trial, views, corners, active)
         expected = (slope[active] * direction[active]).sum(axis=1)
-        good = new_value <= value[active] + 1e-4 * step[active] * expected
+        passes[active] += 1
         for k, i in enumerate(active):
-            if not good[k]:
+            dual[i] = max(dual[i], found.dual[k])
+            if found.primal[k] < primal[i]:
+                primal[i], best[i] = found.primal[k], trial[k]
+            if not found.value[k] <= value[i] + 1e-4 * step[i] * expected[k]:
                 step[i] *= 0.4
-                running[i] = step[i] > 1e-8
+                if step[i] < 1e-10:  # no way down from here: rounding errors, or a worn-out estimate of the curve
+                    running[i] = inverse[i, -1] > 0
+                    inverse[i], direction[i], step[i] = 0, -slope[i], 1 / max(np.linalg.norm(slope[i]), 1.0)
                 continue
-            moved, changed = trial[k] - w[i], new_slope[k] - slope[i]
+            moved, changed = trial[k] - w[i], found.slope[k] - slope[i]
             curve = moved @ changed
-            if curve > 1e-12:
+            if curve > 1e-12 and np.isfinite(value[i]):
                 moves[i], changes[i] = np.roll(moves[i], -1, 0), np.roll(changes[i], -1, 0)
                 inverse[i] = np.roll(inverse[i], -1)
                 moves[i, -1], changes[i, -1], inverse[i, -1] = moved, changed, 1 / curve
-            w[i], value[i], slope[i] = trial[k], new_value[k], new_slope[k]
-            step[i] = 1.0
-            running[i] = np.linalg.norm(slope[i]) > goal[i]
+            w[i], value[i], slope[i] = trial[k], found.value[k], found.slope[k]
+            size = np.linalg.norm(slope[i])
+            if first:
+                goal[i] = tolerance * size
             direction[i] = -_inverse_times(slope[i], moves[i], changes[i], inverse[i])
-    return [LinearModel(list(map(float, w[i, :-1])), float(w[i, -1]), vars(settings[i]).copy())
+            step[i] = 1.0 if inverse[i, -1] else 1 / max(size, 1.0)
+            wide = primal[i] - dual[i] > gap * primal[i]
+            if not wide and (size <= goal[i] or settings[i].loss == "hinge"):
+                running[i] = False
+            elif settings[i].loss == "hinge" and wide and value[i] - found.rounded_dual[k] < SOLVED * (primal[i] - dual[i]):
+                # the rounded problem is nearly solved, so its corner is what keeps the bound away
+                corners[i] *= SHRINK
+                value[i], direction[i], step[i] = np.inf, 0, 0
+            elif wide and size <= goal[i]:
+                goal[i] *= 0.1
+        first = False
+    left = (primal - dual) / np.where(primal > 0, primal, 1)
+    if running.any():
+        warnings.warn(f"{int(running.sum())} of {total} models were stopped after {max_passes} passes; the widest gap is {left[running].max():.2g}", stacklevel=2)
+    return [LinearModel(list(map(float, best[i, :-1])), float(best[i, -1]), vars(settings[i]).copy(),
+                        {"primal": float(primal[i]), "dual": float(dual[i]), "gap": float(left[i]), "passes": float(passes[i]), "stopped": float(running[i])})
             for i in range(total)]
 
 

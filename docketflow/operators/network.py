@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from docketflow.operators.training import (
-    View, column, dense_blocks, gradient_batch, summed_gradients)
+    View, column, dense_blocks, gradient_batch, passes_for, summed_gradients)
+from docketflow.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -54,9 +55,24 @@ def _probability(x: np.ndarray, flat: np.ndarray, units: int) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.maximum(x @ w1 + b1, 0) @ w2 + b2, -500, 500)))
 
 
+def _hashed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def kept_inputs(rows: np.ndarray, count: int, seed: int, step: int, layer: int, keep: float) -> np.ndarray:
+    """Which of ``count`` inputs each row keeps in a step: a hash of the row's number, the input, seed, step and layer.
+
+    A row draws the same whatever block, task or attempt it is read in.
+    """
+    salt = np.uint64(((seed * 1_000_003 + step) * 2 + layer) & 0xFFFFFFFFFFFFFFFF)
+    places = _hashed(_hashed(np.arange(1, count + 1, dtype=np.uint64)) + salt)
+    return (_hashed(rows[:, None] ^ places[None, :]) >> np.uint64(11)) * 2.0**-53 < keep
+
+
 def _network_task(settings, views, weights, width, step):
-    """Gradient sums of one step. Dropout masks depend on the step and the rows only, so a repeated task
-    draws them again."""
+    """Gradient sums of one step."""
     longest = max(len(f) for f in weights)
 
     def run(batches):
@@ -66,19 +82,18 @@ def _network_task(settings, views, weights, width, step):
             for block, rows in dense_blocks(batch, width):
                 seen = True
                 y, fold = column(batch, "label", rows).astype(float), column(batch, "fold", rows)
-                mark = int(column(batch, "row", rows)[0]) & 0x7FFFFFFFFFFFFFFF
+                numbers = column(batch, "row", rows).astype(np.int64).view(np.uint64)
                 for i, (_, s) in enumerate(settings):
                     used = np.ones(len(fold), bool) if s.holdout is None else fold != s.holdout
                     x, t = views[s.view](block)[used], y[used]
                     if not len(t):
                         continue
                     w1, b1, w2, b2 = _parts(weights[i], width, s.units)
-                    rng = np.random.default_rng([s.seed, step, mark])
-                    keep = 1 - s.dropout
+                    keep, mine = 1 - s.dropout, numbers[used]
                     if s.dropout:
-                        x = x * (rng.random(x.shape) < keep) / keep
+                        x = x * kept_inputs(mine, width, s.seed, step, 0, keep) / keep
                     pre = x @ w1 + b1
-                    mask = (rng.random(pre.shape) < keep) / keep if s.dropout else 1.0
+                    mask = kept_inputs(mine, s.units, s.seed, step, 1, keep) / keep if s.dropout else 1.0
                     hidden = np.maximum(pre, 0) * mask
                     p = 1 / (1 + np.exp(-np.clip(hidden @ w2 + b2, -500, 500)))
                     safe = np.clip(p, 1e-7, 1 - 1e-7)
@@ -132,27 +147,50 @@ class MlpModel:
         return MlpModel(list(r["flat"]), r["width"], r["units"], dict(r["setting"]), View(scale, r["unit"]))
 
 
+def batch_parts(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """The rows dealt by their number into parts of about the same size, stored part by part.
+
+    A step then reads its own part's files and nothing else, so an epoch reads the table once.
+    """
+    if parts == 1:
+        return [rows]
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "batches")
+    rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(parts)).cast("int")) \
+        .repartitionByRange("part", "row").write.partitionBy("part").parquet(path)
+    stored = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])).parquet(path)
+    return [stored.filter(F.col("part") == p).drop("part") for p in range(parts)]
+
+
+def gradient_of(rows: DataFrame, settings: list[MlpSetting], flats: list[np.ndarray], width: int, views: list[View] | None = None,
+                step: int = 0) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sums over ``rows`` at the given weights: each network's loss, its gradient and its number of rows."""
+    loss, gradients, counts = np.zeros(len(settings)), [], np.zeros(len(settings))
+    longest = max(len(f) for f in flats)
+    for some in np.array_split(np.arange(len(settings)), passes_for(len(settings), longest)):
+        task, numbers = _network_task([(int(k), settings[k]) for k in some], views or [View()], [flats[k] for k in some], width, step)
+        found, sums = summed_gradients(rows, task, numbers, len(settings))
+        loss[some], counts[some] = found[some], sums[some, -1]
+        gradients += [sums[k, : len(flats[k])] for k in some]
+    return loss, gradients, counts
+
+
 def fit_networks(rows: DataFrame, settings: list[MlpSetting], width: int, views: list[View] | None = None,
                  steps_per_epoch: int = 1) -> list[MlpModel]:
-    """Fit all settings together. An epoch reads the rows once, in ``steps_per_epoch`` parts chosen by key
-    hash, and every part is one Adam step for every model still training."""
+    """Fit all settings together. An epoch reads the rows once, in ``steps_per_epoch`` parts chosen by the rows' numbers,
+    and every part is one Adam step for every model still training. The parts come in another order each epoch."""
     views = views or [View()]
     flats = [_start(s, width) for s in settings]
     first, second = [np.zeros_like(f) for f in flats], [np.zeros_like(f) for f in flats]
-    taken = 0
+    parts, taken = batch_parts(rows, steps_per_epoch), 0
     for epoch in range(max(s.epochs for s in settings)):
-        active = [(i, s) for i, s in enumerate(settings) if s.epochs > epoch]
-        for part in range(steps_per_epoch):
+        active = [i for i, s in enumerate(settings) if s.epochs > epoch]
+        for part in np.random.default_rng(epoch).permutation(steps_per_epoch):
             taken += 1
-            some = rows if steps_per_epoch == 1 else rows.filter(
-                F.pmod(F.xxhash64("row"), F.lit(steps_per_epoch)) == part)
-            task, longest = _network_task(active, views, [flats[i] for i, _ in active], width, taken)
-            _, total = summed_gradients(some, task, longest, len(settings))
-            for i, s in active:
-                seen = total[i, -1]
+            _, gradients, counts = gradient_of(parts[part], [settings[i] for i in active], [flats[i] for i in active], width, views, taken)
+            for i, gradient, seen in zip(active, gradients, counts):
                 if not seen:
                     continue
-                g = total[i, :len(flats[i])] / seen
+                g, s = gradient / seen, settings[i]
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 rate = s.learning_rate * np.sqrt(1 - 0.999 ** taken) / (1 - 0.9 ** taken)

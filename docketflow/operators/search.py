@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from docketflow import fixed_values as V
 from docketflow.functions.text import term_runs
 from docketflow.operators.features import Tfidf, smooth_idf
-from docketflow.operators.linear import LinearModel, SvmSetting, fit_svms, holdout_counts
+from docketflow.operators.linear import MAX_PASSES, LinearModel, SvmSetting, fit_svms, holdout_counts
 from docketflow.operators.network import MlpModel, MlpSetting, fit_networks, network_counts
 from docketflow.operators.training import View, training_rows
 from docketflow.session import materialise
@@ -39,12 +39,22 @@ class SearchOutcome:
     tfidf: Tfidf | None = None
     analyser: tuple | None = None
 
+    def save(self, spark, path: str) -> None:
+        """Scores and parameters of every setting, the best one marked, as JSON lines."""
+        place = self.results.index(self.best)
+        self.table(spark).withColumn("best", F.col("setting") == place).write.json(path)
+
     def table(self, spark) -> DataFrame:
         rows = [(i, {k: str(v) for k, v in r.setting.items()}, r.fold_scores, r.mean) for i, r in enumerate(self.results)]
         return spark.createDataFrame(
             rows, "setting int, params map<string,string>, fold_scores array<double>, mean_score double")
 
 
+def read_results(spark, path: str) -> DataFrame:
+    """What ``SearchOutcome.save`` wrote: ``setting, params, fold_scores, mean_score, best``."""
+    return spark.read.schema("setting int, params map<string,string>, fold_scores array<double>, mean_score double, best boolean").json(path)
+
+
 def macro_f1(counts: np.ndarray) -> np.ndarray:
     """Macro-F1 from rows of ``tp, fp, fn, tn``; an empty class scores 0."""
     tp, fp, fn, tn = counts.T
@@ -65,7 +75,7 @@ def _cross_validate(params: list[dict], folds: int, make: Callable, fit: Callabl
 
 
 def search_svm(df: DataFrame, width: int, key: str, features: str = "features", cs=V.SVM_EMBEDDING_C, losses=V.SVM_LOSSES,
-               folds: int = V.FOLDS, max_passes: int = 60) -> SearchOutcome:
+               folds: int = V.FOLDS, max_passes: int = MAX_PASSES) -> SearchOutcome:
     """Grid search on given vectors; ``df`` has the vectors, ``label`` and ``fold``."""
     rows = materialise(training_rows(df, features, key=key), "svm-rows", "row")
     params = [{"C": c, "loss": loss} for c, loss in product(cs, losses)]
@@ -195,7 +205,7 @@ def _own_terms(model_weights: np.ndarray, names: list[str], tfidf: Tfidf) -> lis
 
 def search_tfidf_svm(df: DataFrame, key: str, analysers: dict[tuple, Column], grid: dict | None = None,
                      cs=V.SVM_TFIDF_C, losses=V.SVM_LOSSES, folds: int = V.FOLDS,
-                     max_passes: int = 60) -> SearchOutcome:
+                     max_passes: int = MAX_PASSES) -> SearchOutcome:
     """Vectoriser x SVM grid. ``analysers`` maps ``(lemmas, ngrams)`` to a column of terms; ``df`` has
     ``label`` and ``fold``. Each analyser is one batch: all its vocabularies, C values, losses and folds
     share the passes."""

@@ -16,10 +16,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-# Rows turned into one dense block at a time inside a task.
-BLOCK_ROWS = 2048
-# All weights together, in numbers; beyond this a search has to be run in parts.
-MAX_WEIGHTS = 50_000_000
+# Numbers of one dense block inside a task: wide rows make short blocks.
+BLOCK_NUMBERS = 4_000_000
+# Weights of the models that one pass serves, in numbers; more models take more passes.
+PASS_WEIGHTS = 20_000_000
 # Gradients of all tasks together, in numbers, that the driver may take in one pass.
 DRIVER_NUMBERS = 2_000_000
 
@@ -56,8 +56,9 @@ def dense_blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray
     column = batch.column(batch.schema.get_field_index("features"))
     kind = np.asarray(column.field("type"))
     values, indices = column.field("values"), column.field("indices")
-    for start in range(0, batch.num_rows, BLOCK_ROWS):
-        rows = slice(start, min(start + BLOCK_ROWS, batch.num_rows))
+    block_rows = max(1, BLOCK_NUMBERS // max(width, 1))
+    for start in range(0, batch.num_rows, block_rows):
+        rows = slice(start, min(start + block_rows, batch.num_rows))
         block = np.zeros((rows.stop - rows.start, width))
         part_values = values.slice(start, rows.stop - rows.start)
         part_indices = indices.slice(start, rows.stop - rows.start)
@@ -86,16 +87,20 @@ def gradient_batch(models, losses: np.ndarray, gradients: np.ndarray) -> pa.Reco
         [pa.array(models, pa.int32()), pa.array(losses, pa.float64()), listed], names=["model", "loss", "gradient"])
 
 
+def passes_for(models: int, width: int) -> int:
+    """How many passes ``models`` of ``width`` weights each are dealt over."""
+    return max(1, min(models, -(-models * width // PASS_WEIGHTS)))
+
+
 def summed_gradients(rows: DataFrame, task: Callable, width: int, models: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run ``task`` over the rows and add its output up per model; ``models`` rows come back."""
-    if width * models > MAX_WEIGHTS:
-        raise ValueError("too many weights for one pass; search fewer settings at a time")
+    """Run ``task`` over the rows and add its output up per model.
+
+    What few tasks give is added up by the driver, which saves a shuffle in every pass; more than ``DRIVER_NUMBERS`` is added up in Spark first.
+    """
     parts = rows.mapInArrow(task, GRADIENT_SCHEMA)
     if rows.rdd.getNumPartitions() * width * models > DRIVER_NUMBERS:
-        # too many numbers for the driver to add up, so Spark does
         parts = parts.groupBy("model").agg(
-            F.sum("loss").alias("loss"),
-            vector_to_array(Summarizer.sum(array_to_vector("gradient"))).alias("gradient"))
+            F.sum("loss").alias("loss"), vector_to_array(Summarizer.sum(array_to_vector("gradient"))).alias("gradient"))
     loss, gradient = np.zeros(models), np.zeros((models, width))
     for batch in parts.toArrow().to_batches():
         model, values = np.asarray(batch.column(0)), np.asarray(batch.column(2).flatten())

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
 from docketflow.functions import text as X
-from docketflow.operators import embedding as E, vocabulary as W
+from docketflow.operators import embedding as E, sentences as N, vocabulary as W
 from docketflow.plans import common as C
 from docketflow.plans.common import dictionary, lemma_table, table, texts
 from docketflow.plans.registry import Registry
+from docketflow.session import materialise
 
 query = Registry()
 # Phrases that occur in this corpus.
@@ -107,6 +109,29 @@ def lemmatize(spark, sf):
         .select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
 
+_SQL_RULES = ", ".join(f"('{old}', '{new}')" for old, new in V.VERB_ENDINGS)
+# Forms of the lexicon that follow no rule here.
+_SQL_IRREGULAR = "irregular AS (SELECT word AS form, 'the' AS lemma FROM dictionary WHERE regexp_matches(word, '^th..'))"
+
+
+@query(f"""WITH RECURSIVE {C.SQL_DICTIONARY}, {_SQL_IRREGULAR}, rules AS (SELECT * FROM (VALUES {_SQL_RULES}) r(old, new)),
+    forms AS (SELECT DISTINCT unnest({C.sql_tokens('text')}) AS form FROM documents),
+    made AS (SELECT form, form AS word, 0 AS depth FROM forms WHERE form NOT IN (SELECT form FROM irregular)
+      UNION SELECT form, word[:len(word) - len(old)] || new, depth + 1 FROM made JOIN rules ON ends_with(word, old) AND len(word) > len(old)),
+    candidates AS (SELECT form, word, greatest(depth, 1) AS depth FROM made
+      UNION SELECT form, lemma, 1 FROM irregular UNION SELECT form, form, 1 FROM irregular),
+    hits AS (SELECT form, word, depth FROM candidates SEMI JOIN dictionary USING (word)),
+    nearest AS (SELECT form, min(depth) AS depth FROM hits GROUP BY form),
+    lemmas AS (SELECT form, arg_min(word, (len(word), word)) AS lemma FROM hits JOIN nearest USING (form, depth) GROUP BY form)
+    SELECT form, lemma FROM lemmas JOIN forms USING (form) WHERE form <> lemma""")
+def rule_lemmas(spark, sf):
+    """Lemmas of all words of the documents by endings, a lexicon and a list of exceptions."""
+    words = dictionary(spark, sf)
+    forms = texts(spark, sf).select(F.explode(X.tokens(F.col("text"))).alias("form"))
+    irregular = words.filter(F.col("word").rlike("^th..")).select(F.col("word").alias("form"), F.lit("the").alias("lemma"))
+    return W.rule_lemmas(forms, words, irregular)
+
+
 @query(f"""WITH w AS (SELECT doc_id, {C.sql_words('text')} AS l FROM documents)
     SELECT doc_id, array_to_string(l || [l[i] || ' ' || l[i + 1] FOR i IN range(1, greatest(len(l), 1))], '|') AS grams
     FROM w""")
@@ -124,6 +149,47 @@ def sentence_split(spark, sf):
         "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+# The corpus has no abbreviations, so two of its words become some.
+_ABBREVIATED = {" the ": " v. ", " of ": " No. ", " in ": " J. "}
+
+
+def _abbreviated(spark, sf):
+    text = F.col("text")
+    for word, short in _ABBREVIATED.items():
+        text = F.replace(text, F.lit(word), F.lit(short))
+    return texts(spark, sf).select("doc_id", text.alias("text"))
+
+
+_SQL_ABBREVIATED = "SELECT doc_id, " + "replace(" * len(_ABBREVIATED) + "text" + "".join(f", '{a}', '{b}')" for a, b in _ABBREVIATED.items()) + " AS text FROM documents"
+_SQL_BARE = r"lower(regexp_replace({0}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g'))"
+_SQL_MODEL = f"""short AS ({_SQL_ABBREVIATED}),
+    toks AS (SELECT {_SQL_BARE.format('t')} AS t FROM (SELECT unnest(regexp_extract_all(text, '[^{C.SPACE}]+')) AS t FROM short)),
+    counted AS (SELECT CASE WHEN ends_with(t, '.') THEN left(t, len(t) - 1) ELSE t END AS word, count(*) AS n, count(*) FILTER (ends_with(t, '.')) AS k FROM toks
+      WHERE regexp_matches(t, '\\p{{L}}') GROUP BY 1),
+    rated AS (SELECT *, least(greatest(sum(k) OVER () / sum(n) OVER (), 1e-9), 1 - 1e-9) AS p, len(word) - len(replace(word, '.', '')) AS inner_stops FROM counted),
+    scored AS (SELECT word, n, k AS with_stop, 2 * (k * ln({N.WITH_STOP}) + (n - k) * ln(1 - {N.WITH_STOP}) - k * ln(p) - (n - k) * ln(1 - p))
+      * exp(-(len(word) - inner_stops)) * (inner_stops + 1) * pow((len(word) - inner_stops)::DOUBLE, -(n - k)) AS score FROM rated WHERE k > 0),
+    model AS (SELECT * FROM scored WHERE score >= {N.LEAST_SCORE})"""
+
+
+@query(f"WITH {_SQL_MODEL} SELECT word, n, with_stop, round(score, 6) AS score FROM model")
+def sentence_model(spark, sf):
+    """Abbreviations learned from all documents."""
+    return N.abbreviations(_abbreviated(spark, sf), "text").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_SQL_MODEL}, parts AS (SELECT doc_id, unnest(s) AS part, unnest(range(len(s))) AS pos FROM (SELECT doc_id, {C.sql_sentences('text')} AS s FROM short)),
+    ends AS (SELECT *, {_SQL_BARE.format(f"regexp_extract(part, '[^{C.SPACE}]+$')")} AS t FROM parts),
+    goes AS (SELECT doc_id, pos, part, ends_with(t, '.') AND (left(t, len(t) - 1) IN (SELECT word FROM model) OR regexp_matches(t, '^\\p{{L}}\\.$')) AS goes_on FROM ends),
+    numbered AS (SELECT *, coalesce(sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM goes)
+    SELECT doc_id, s::INT AS pos, string_agg(part, ' ' ORDER BY pos) AS sentence FROM numbered GROUP BY doc_id, s""")
+def sentence_split_trained(spark, sf):
+    """Sentences of all documents, not split behind learned abbreviations and initials."""
+    docs = _abbreviated(spark, sf)
+    model = materialise(N.abbreviations(docs, "text").select("word"), "abbreviations")
+    return N.split_sentences(docs, "text", model).select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+
+
 _SQL_AFTER = f"""{_SQL_SENTENCES}, counted_s AS (SELECT *, coalesce(sum(len(regexp_extract_all(sentence, '[^{C.SPACE}]+')))
     OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sents),
     after AS (SELECT * FROM counted_s WHERE before >= {V.SKIP_WORDS})"""
@@ -231,3 +297,29 @@ def embed_documents(spark, sf):
     long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("dim", "weight"))
     return long.filter("dim IS NULL OR weight <> 0").select(
         "doc_id", F.coalesce("dim", F.lit(-1)).alias("dim"), F.coalesce(F.round("weight", 6), F.lit(0.0)).alias("weight"))
+
+
+# A small model: counts of three letters against weights, one output cut off below.
+_LETTERS, _WEIGHTS = "eta", ((1.0, -2.0, 0.5), (0.25, 0.5, -1.0))
+
+
+def _load_model():
+    weights = np.array(_WEIGHTS)
+
+    def predict(sentences):
+        counts = np.array([[s.count(c) for c in _LETTERS] for s in sentences], float).reshape(-1, len(_LETTERS))
+        return np.maximum(counts @ weights.T, 0)
+
+    return predict
+
+
+_SQL_COUNTS = ", ".join(f"len(sentence) - len(replace(sentence, '{c}', '')) AS n{i}" for i, c in enumerate(_LETTERS))
+_SQL_OUTPUTS = ", ".join("round(avg(greatest(" + " + ".join(f"{w} * n{i}" for i, w in enumerate(row)) + f", 0)), 6) AS out{k}" for k, row in enumerate(_WEIGHTS))
+
+
+@query(f"""WITH {_SQL_AFTER}, counts AS (SELECT doc_id, {_SQL_COUNTS} FROM after), pooled AS (SELECT doc_id, {_SQL_OUTPUTS} FROM counts GROUP BY doc_id)
+    SELECT doc_id, out0, out1 FROM documents LEFT JOIN pooled USING (doc_id)""")
+def embed_batches(spark, sf):
+    """Sentence vectors of a model that the workers load, averaged per document."""
+    vectors = E.embed_documents(texts(spark, sf), "doc_id", "text", E.batch_encoder(_load_model))
+    return vectors.select("doc_id", *[F.round(F.col("embedding")[k], 6).alias(f"out{k}") for k in range(len(_WEIGHTS))])

@@ -9,6 +9,7 @@ from docketflow.operators import evaluation as E, features as T, sampling as S,
 from docketflow.plans import common as C
 from docketflow.plans.common import expert, table, texts
 from docketflow.plans.registry import Registry
+from docketflow.session import materialise
 
 query = Registry()
 K, MIN_DF, MAX_DF = 500, 2, 0.8
@@ -22,15 +23,15 @@ def _docs(spark, sf, ngram=1):
     return _terms(texts(spark, sf), ngram)
 
 
-def _sql_tf(source: str, key: str) -> str:
+def sql_tf(source: str, key: str) -> str:
     return f"""occ AS (SELECT {key}, unnest({C.sql_words('text')}) AS term FROM {source}),
     tf AS (SELECT {key}, term, count(*) AS tf FROM occ GROUP BY ALL)"""
 
 
-_SQL_STATS = "stats AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM tf GROUP BY term)"
+SQL_STATS = "stats AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM tf GROUP BY term)"
 
 
-def _sql_vocabulary(n: str, source: str = "stats") -> str:
+def sql_vocabulary(n: str, source: str = "stats") -> str:
     return f"""vocab AS (SELECT term, cf, df FROM {source} WHERE df >= {MIN_DF} AND df <= {MAX_DF} * {n}
     ORDER BY cf DESC, term LIMIT {K})"""
 
@@ -40,12 +41,12 @@ def _sql_weights(key: str, n: str, tf: str = "tf") -> str:
     weights AS (SELECT {key}, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY {key})), 6) AS weight FROM raw)"""
 
 
-@query(f"WITH {_sql_tf('documents', 'doc_id')} SELECT doc_id, term, CAST(tf AS INTEGER) AS tf FROM tf")
+@query(f"WITH {sql_tf('documents', 'doc_id')} SELECT doc_id, term, CAST(tf AS INTEGER) AS tf FROM tf")
 def term_frequencies(spark, sf):
     return T.term_frequencies(_docs(spark, sf), "doc_id", "terms")
 
 
-@query(f"WITH {_sql_tf('documents', 'doc_id')}, {_SQL_STATS} SELECT term, cf, df FROM stats")
+@query(f"WITH {sql_tf('documents', 'doc_id')}, {SQL_STATS} SELECT term, cf, df FROM stats")
 def term_stats(spark, sf):
     return T.term_stats(_docs(spark, sf), "terms")
 
@@ -55,13 +56,13 @@ _SQL_BIGRAMS = f"""w AS (SELECT doc_id, {C.sql_words('text')} AS l FROM document
     tf AS (SELECT doc_id, term, count(*) AS tf FROM occ GROUP BY ALL)"""
 
 
-@query(f"WITH {_SQL_BIGRAMS}, {_SQL_STATS}, {_sql_vocabulary('(SELECT count(*) FROM documents)')} SELECT term, cf, df FROM vocab")
+@query(f"WITH {_SQL_BIGRAMS}, {SQL_STATS}, {sql_vocabulary('(SELECT count(*) FROM documents)')} SELECT term, cf, df FROM vocab")
 def vocabulary(spark, sf):
     docs = _docs(spark, sf, 2)
     return T.vocabulary(T.term_stats(docs, "terms"), docs.count(), K, MIN_DF, MAX_DF)
 
 
-@query(f"""WITH {_sql_tf('documents', 'doc_id')}, {_SQL_STATS}, {_sql_vocabulary('(SELECT count(*) FROM documents)')},
+@query(f"""WITH {sql_tf('documents', 'doc_id')}, {SQL_STATS}, {sql_vocabulary('(SELECT count(*) FROM documents)')},
     {_sql_weights('doc_id', '(SELECT count(*) FROM documents)')} SELECT doc_id, term, weight FROM weights""")
 def tfidf(spark, sf):
     docs = _docs(spark, sf)
@@ -71,9 +72,9 @@ def tfidf(spark, sf):
 
 @query(f"""WITH {C.SQL_EXPERT}, {C.sql_split('expert', 'link', 'label')},
     sided AS (SELECT e.link, e.text, s.split FROM expert e JOIN split_of s ON s.link = e.link),
-    {_sql_tf("sided", "link, split")}, train_tf AS (SELECT * FROM tf WHERE split = 'train'),
+    {sql_tf("sided", "link, split")}, train_tf AS (SELECT * FROM tf WHERE split = 'train'),
     stats AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM train_tf GROUP BY term),
-    {_sql_vocabulary("(SELECT count(*) FROM sided WHERE split = 'train')")},
+    {sql_vocabulary("(SELECT count(*) FROM sided WHERE split = 'train')")},
     test_tf AS (SELECT link, term, tf FROM tf WHERE split = 'test'),
     {_sql_weights('link', "(SELECT count(*) FROM sided WHERE split = 'train')", 'test_tf')}
     SELECT link, term, weight FROM weights""")
@@ -189,8 +190,10 @@ def threshold_scores(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", E.threshold(score).alias("prediction"))
 
 
-PERMUTATIONS = 1000
-PAIRS = [("base", "the"), ("base", "able"), ("und", "able"), ("que", "the")]
+# Every baseline and rule against others, as many pairs as the reference compares.
+PAIRS = [("base", "the"), ("base", "able"), ("base", "und"), ("base", "que"), ("und", "able"), ("que", "able"), ("the", "able"),
+         ("und", "the"), ("que", "the"), ("que", "und"), ("able", "the"), ("und", "que")]
+PERMUTATIONS = V.PERMUTATIONS
 
 
 def _sql_permutation() -> str:
@@ -203,7 +206,8 @@ def _sql_permutation() -> str:
 
     return f"""WITH {C.SQL_RULES_CORRECT}, paired AS ({pairs}),
     base AS (SELECT worse, better, sum(label) AS n1, sum(1 - label) AS n0, sum(w * label) AS w1, sum(w * (1 - label)) AS w0,
-      sum(b * label) AS b1, sum(b * (1 - label)) AS b0 FROM paired GROUP BY ALL),
+      sum(b * label) AS b1, sum(b * (1 - label)) AS b0, count(*) FILTER (w <> b AND label = 1) AS k1, count(*) FILTER (w <> b AND label = 0) AS k0,
+      count(*) FILTER (w > b AND label = 1) AS d1, count(*) FILTER (w > b AND label = 0) AS d0 FROM paired GROUP BY ALL),
     hashed AS (SELECT worse, better, label, b - w AS move, block, CAST('0x' || md5('{C.SEED}:' || worse || '|' || better || ':' ||
       block || ':' || link)[1:15] AS BIGINT) AS h FROM paired, range({-(-PERMUTATIONS // G.COINS)}) t(block) WHERE w <> b),
     tossed AS (SELECT worse, better, label, block * {G.COINS} + j AS perm, move * ((h >> j) & 1) AS m
@@ -213,12 +217,21 @@ def _sql_permutation() -> str:
     stats AS (SELECT m.worse, m.better, {f1('(b1 - m1)', '(b0 - m0)')} - {f1('(w1 + m1)', '(w0 + m0)')} AS stat,
       {f1('b1', 'b0')} - {f1('w1', 'w0')} AS observed FROM moved m JOIN base USING (worse, better)),
     tested AS (SELECT worse, better, any_value(observed) AS observed, (1 + count(*) FILTER (stat >= observed)) / ({PERMUTATIONS} + 1) AS p
-      FROM stats GROUP BY ALL)
-    SELECT worse, better, round(observed, 9) AS observed, round(p, 9) AS p_value, p < {V.SIGNIFICANCE} AS significant FROM tested"""
+      FROM stats GROUP BY ALL),
+    swaps AS (SELECT *, unnest(range(k1::BIGINT + 1)) AS h1 FROM base), grid AS (SELECT *, unnest(range(k0::BIGINT + 1)) AS h0 FROM swaps),
+    chances AS (SELECT worse, better, {f1('b1', 'b0')} - {f1('w1', 'w0')} AS observed,
+      {f1('(b1 - h1 + d1)', '(b0 - h0 + d0)')} - {f1('(w1 + h1 - d1)', '(w0 + h0 - d0)')} AS stat,
+      exp(lgamma(k1 + 1) - lgamma(h1 + 1) - lgamma(k1 - h1 + 1) + lgamma(k0 + 1) - lgamma(h0 + 1) - lgamma(k0 - h0 + 1) - (k1 + k0) * ln(2)) AS chance FROM grid),
+    exact AS (SELECT worse, better, sum(chance) FILTER (stat >= observed - 1e-12) AS p_exact FROM chances GROUP BY ALL)
+    SELECT worse, better, round(observed, 9) AS observed, round(p, 9) AS p_value, p < {V.SIGNIFICANCE} AS significant, round(p_exact, 8) AS p_exact
+    FROM tested JOIN exact USING (worse, better)"""
 
 
 @query(_sql_permutation())
 def permutation_test(spark, sf):
-    tested = G.permutation_test(C.rules_correct(expert(spark, sf)), PAIRS, "link", permutations=PERMUTATIONS, seed=C.SEED)
-    return tested.select("worse", "better", F.round("observed", 9).alias("observed"),
-                         F.round("p_value", 9).alias("p_value"), "significant")
+    """All pairs with the sampled p-value and, beside it, the one that all permutations together give."""
+    correct = materialise(C.rules_correct(expert(spark, sf)), "correct")
+    tested = G.permutation_test(correct, PAIRS, "link", permutations=PERMUTATIONS, seed=C.SEED)
+    exact = G.exact_test(correct, PAIRS).select("worse", "better", F.round("p_value", 8).alias("p_exact"))
+    return tested.join(exact, ["worse", "better"]).select(
+        "worse", "better", F.round("observed", 9).alias("observed"), F.round("p_value", 9).alias("p_value"), "significant", "p_exact")

@@ -124,34 +124,46 @@ def embedding_scan(spark, sf):
         F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last_value"))
 
 
-# Lists as a court's index writes them: by page the address is in double, single or no quotes, and a year in brackets and a
-# character reference stand behind the link.
+# Lists as a court's index writes them: by page the address is in double, single or no quotes, a year in brackets and a
+# character reference stand behind the link, or items hold lists of their own and end without an end tag.
 _ITEM = '<li><a href="([^"]*)">(.*?)</a></li>'
-_WRITTEN = {1: "<li><a href='{0}?a&amp;b'>{1}</a> [1999] x</li>", 2: "<li><a href={0}>{1}</a> v &lt;J&gt; [2005]</li>"}
+_WRITTEN = {1: "<li><a href='{0}?a&amp;b'>{1}</a> [1999] x</li>", 2: "<li><a href={0}>{1}</a> v &lt;J&gt; [2005]</li>",
+            4: '<li><a href="{0}">{1}</a> <ul><li><a href="{0}/part">Part &amp; {1}</a></ul> [2001]</li>',
+            5: '<li><a href="{0}">{1}</a><!-- <li> --><ol><li><a href="{0}/1">One</a> of<LI>none<li><a href="{0}/2">Two</a></ol>'}
+_KINDS = 6
 
 
 def _sql_pages() -> str:
-    cases = " ".join(f"WHEN page_id % 4 = {k} THEN regexp_replace(html, '{_ITEM}', '{form.format(chr(92) + '1', chr(92) + '2').replace(chr(39), chr(39) * 2)}', 'g')"
+    cases = " ".join(f"WHEN page_id % {_KINDS} = {k} THEN regexp_replace(html, '{_ITEM}', '{form.format(chr(92) + '1', chr(92) + '2').replace(chr(39), chr(39) * 2)}', 'g')"
                      for k, form in _WRITTEN.items())
-    return f"written AS (SELECT page_id, CASE {cases} WHEN page_id % 4 = 3 THEN replace(replace(html, '<ul>', '<ol>'), '</ul>', '</ol>') ELSE html END AS html FROM pages)"
-
-
-# The rule: of each ul, each item, up to its end; the address is decoded and the title is the item's text.
-_SQL_LINKS = _sql_pages() + r""", listed_items AS (SELECT page_id, [i FOR i IN flatten(
-      [string_split(l, '</li>') FOR l IN regexp_extract_all(html, '(?is)<ul>(.*?)</ul>', 1)]) IF i <> ''] AS items FROM written),
-    numbered AS (SELECT page_id, unnest(items) AS item, unnest(range(len(items))) AS pos FROM listed_items),
+    return f"written AS (SELECT page_id, CASE {cases} WHEN page_id % {_KINDS} = 3 THEN replace(replace(html, '<ul>', '<ol>'), '</ul>', '</ol>') ELSE html END AS html FROM pages)"
+
+
+# The rule by depths: an item's level is the number of lists around it. It ends at the next item or item's end of its level, or at the
+# end tag of its list, which counts to the level that it ends; so at whatever comes next on its level.
+_TAGS = r"(?is)<!--.*?-->|</?(?:ul|ol|li)\b[^>]*>"
+_SQL_LINKS = _sql_pages() + rf""", tagged AS (SELECT page_id, regexp_extract_all(html, '{_TAGS}') AS tags, string_split_regex(html, '{_TAGS}') AS parts FROM written),
+    each_tag AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS k FROM tagged),
+    kinds AS (SELECT page_id, k, lower(regexp_extract(tag, '^</?([a-zA-Z]+)', 1)) AS name, starts_with(tag, '</') AS closing FROM each_tag),
+    steps AS (SELECT *, CASE WHEN name NOT IN ('ul', 'ol') THEN 0 WHEN closing THEN -1 ELSE 1 END AS step FROM kinds WHERE name <> ''),
+    depths AS (SELECT *, sum(step) OVER w - least(step, 0) AS level, sum(CASE WHEN name = 'ul' THEN step ELSE 0 END) OVER w AS lists
+      FROM steps WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+    ends AS (SELECT *, lead(k) OVER (PARTITION BY page_id, level ORDER BY k) AS stop FROM depths WHERE step < 1),
+    listed_items AS (SELECT page_id, k, array_to_string(parts[k + 2 : coalesce(stop, len(tags)) + 1], '<li>') AS item
+      FROM ends JOIN tagged USING (page_id) WHERE name = 'li' AND NOT closing AND lists > 0),
+    numbered AS (SELECT page_id, item, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM listed_items WHERE starts_with(item, '<a ')),
     linked AS (SELECT page_id, pos, regexp_extract(item, '<a href=["'']?([^"''>]*)', 1) AS href,
-      regexp_replace(item, '<[^>]*>', '', 'g') AS title FROM numbered),
+      regexp_replace(regexp_replace(item, '<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS title FROM numbered),
     links AS (SELECT page_id, pos, replace(href, '&amp;', '&') AS href,
       trim(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM linked)"""
 
 
 def _written(spark, sf):
-    html, kind = F.col("html"), F.col("page_id") % 4
+    html, kind = F.col("html"), F.col("page_id") % _KINDS
     pages = texts(spark, sf, "pages", "page_id", "html")
     written = F.when(kind == 3, F.replace(F.replace(html, F.lit("<ul>"), F.lit("<ol>")), F.lit("</ul>"), F.lit("</ol>"))).otherwise(html)
-    for k in (1, 2):
-        written = F.when(kind == k, F.regexp_replace(html, _ITEM, _WRITTEN[k].format("$1", "$2"))).otherwise(written)
+    for k, form in _WRITTEN.items():
+        written = F.when(kind == k, F.regexp_replace(html, _ITEM, form.format("$1", "$2"))).otherwise(written)
     return pages.withColumn("html", written)
 
 

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V, workflows
 from docketflow.functions import text as X
 from docketflow.operators import features as T, publish as P, search as R, vocabulary as W
-from docketflow.operators.linear import LinearModel, SvmSetting, fit_svms
-from docketflow.operators.network import MlpSetting, fit_networks
+from docketflow.operators.linear import GAP, HINGE_CORNER, LinearModel, SvmSetting, fit_svms, holdout_counts, objective
+from docketflow.operators.network import MlpSetting, fit_networks, gradient_of
 from docketflow.operators.sampling import stratified_folds, stratified_split
 from docketflow.operators.training import training_rows
 from docketflow.plans import common as C
 from docketflow.plans.common import dictionary, expert, judgments, lemma_table, table, texts
+from docketflow.plans.evaluate import SQL_STATS, sql_tf, sql_vocabulary
 from docketflow.plans.registry import Registry
 from docketflow.session import materialise, scratch_path
 from docketflow.streaming import flow
 
 query = Registry()
 K, MIN_DF, MAX_DF = 500, 2, 0.8
+# Length of the vectors in the embeddings table.
+WIDTH = 64
 
 
 def _cleaned(df, spark, sf):
@@ -33,10 +39,11 @@ def _split_terms(spark, sf):
     return sided.withColumn("terms", T.analyse(F.col("text"))).drop("text")
 
 
-def _fit_svm(train, loss="squared_hinge", c=1.0):
+def _fit_svm(train, loss="squared_hinge", c=5.0):
+    """Fitted until the gap to the best objective is within the library's bound."""
     model = T.fit_tfidf(train, "terms", K, MIN_DF, MAX_DF)
     rows = materialise(training_rows(model.transform(train).withColumn("fold", F.lit(0))), "svm-rows")
-    return model, fit_svms(rows, [SvmSetting(c, loss)], len(model.terms), max_passes=25)[0]
+    return model, fit_svms(rows, [SvmSetting(c, loss)], len(model.terms))[0]
 
 
 @query()
@@ -53,11 +60,115 @@ def mlp_predict(spark, sf):
     train = sided.filter("split = 'train'")
     vectoriser = T.fit_tfidf(train, "terms", K, MIN_DF, MAX_DF)
     rows = materialise(training_rows(vectoriser.transform(train).withColumn("fold", F.lit(0)), key="link"), "mlp-rows")
-    net = fit_networks(rows, [MlpSetting(units=25, learning_rate=0.01, dropout=0.2, epochs=20)], len(vectoriser.terms))[0]
+    net = fit_networks(rows, [MlpSetting(units=31, learning_rate=0.1, dropout=0.2, epochs=10)], len(vectoriser.terms), steps_per_epoch=8)[0]
     test = vectoriser.transform(sided.filter("split = 'test'")).select("link", "label", "features")
     return net.predict(test).select("link", "label", F.round("probability", 6).alias("probability"), "prediction")
 
 
+# --- what a pass adds up, at weights that SQL can write down -----------------------------------
+
+_SIDE = "CASE WHEN label = 0 THEN 1 ELSE -1 END"
+_FEW_C = (0.1, 2.0)
+
+
+def _vectors(spark, sf):
+    """The embeddings, one class against the others, as training rows."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"), F.lit(0).alias("fold"))
+    return training_rows(vectors, "embedding", key="vec_id")
+
+
+@query(f"""WITH n AS (SELECT max(len(embedding)) AS width FROM embeddings),
+    w AS (SELECT j, CASE WHEN j = (SELECT width FROM n) THEN -0.1 ELSE ((j * 7) % 11 - 5) / 10 END AS w FROM range((SELECT width FROM n) + 1) t(j)),
+    x AS (SELECT vec_id, {_SIDE} AS y, unnest(list_append(embedding::DOUBLE[], 1.0)) AS x, unnest(range(len(embedding) + 1)) AS j FROM embeddings),
+    s AS (SELECT vec_id, greatest(0, 1 - any_value(y) * sum(x * w)) AS short FROM x JOIN w USING (j) GROUP BY vec_id),
+    settings AS (SELECT c::DOUBLE AS c, loss FROM (VALUES {", ".join(f"({c})" for c in _FEW_C)}) a(c), (VALUES ('hinge'), ('squared_hinge')) b(loss)),
+    a AS (SELECT vec_id, c, loss, short, c * CASE loss WHEN 'hinge' THEN least(1, short / {HINGE_CORNER}) ELSE 2 * short END AS a FROM s, settings),
+    g AS (SELECT c, loss, j, sum(a * y * x) AS g FROM a JOIN x USING (vec_id) GROUP BY ALL),
+    norms AS (SELECT c, loss, sum(g * g) AS gg FROM g GROUP BY ALL),
+    sums AS (SELECT c, loss, c * sum(CASE loss WHEN 'hinge' THEN short ELSE short * short END) AS losses, sum(a) AS a, sum(a * a) AS aa FROM a GROUP BY c, loss)
+    SELECT c, loss, round(losses + (SELECT sum(w * w) FROM w) / 2, 6) AS primal,
+      round(a - gg / 2 - CASE loss WHEN 'hinge' THEN 0 ELSE aa / (4 * c) END, 6) AS dual FROM sums JOIN norms USING (c, loss)""")
+def svm_objective(spark, sf):
+    """Objective and lower bound that one training pass gives for four SVMs at weights of a formula."""
+    rows, width = _vectors(spark, sf), WIDTH
+    settings = [SvmSetting(c, loss) for c in _FEW_C for loss in V.SVM_LOSSES]
+    weights = np.array([[*(((j * 7) % 11 - 5) / 10 for j in range(width)), -0.1]] * len(settings))
+    found = objective(rows, settings, weights)
+    return spark.createDataFrame([(s.C, s.loss, round(float(p), 6), round(float(d), 6)) for s, p, d in zip(settings, found.primal, found.dual)],
+                                 "c double, loss string, primal double, dual double")
+
+
+@query()
+def svm_gap(spark, sf):
+    """Every SVM of the embedding grid fitted to its end: objective, lower bound, passes, and how many vectors it calls positive."""
+    rows = materialise(_vectors(spark, sf), "svm-rows")
+    settings = [SvmSetting(c, loss) for c in V.SVM_EMBEDDING_C for loss in V.SVM_LOSSES]
+    models = fit_svms(rows, settings, WIDTH)
+    counts = holdout_counts(rows, models, settings, WIDTH)
+    return spark.createDataFrame(
+        [(s.C, s.loss, m.report["primal"], m.report["dual"], m.report["gap"] <= GAP, int(m.report["passes"]), int(c[0] + c[1]))
+         for s, m, c in zip(settings, models, counts)],
+        "c double, loss string, primal double, dual double, certified boolean, passes int, positives bigint")
+
+
+_UNITS = 2
+
+
+@query(f"""WITH x AS (SELECT vec_id, label = 0 AS t, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS j FROM embeddings),
+    pre AS (SELECT vec_id, u, any_value(t)::INT AS t, sum(x * ((j * 5 + u * 3) % 7 - 3) / 10) + (2 * u - 1) / 10 AS z, (5 - 9 * u) / 10 AS v
+      FROM x, range({_UNITS}) r(u) GROUP BY vec_id, u),
+    errors AS (SELECT vec_id, 1 / (1 + exp(-(sum(greatest(z, 0) * v) + 0.05))) - any_value(t) AS e FROM pre GROUP BY vec_id),
+    back AS (SELECT vec_id, u, greatest(z, 0) * e AS hidden, CASE WHEN z > 0 THEN e * v ELSE 0 END AS d, e FROM pre JOIN errors USING (vec_id))
+    SELECT 'weight' AS part, j::INT AS input, u::INT AS unit, round(sum(x * d), 6) AS slope FROM back JOIN x USING (vec_id) GROUP BY j, u
+    UNION ALL SELECT 'bias', NULL, u::INT, round(sum(d), 6) FROM back GROUP BY u
+    UNION ALL SELECT 'output', NULL, u::INT, round(sum(hidden), 6) FROM back GROUP BY u
+    UNION ALL SELECT 'output bias', NULL, NULL, round(sum(e), 6) FROM errors""")
+def mlp_gradient(spark, sf):
+    """The gradient that one training pass gives for a network at weights of a formula."""
+    width = WIDTH
+    places = [("weight", j, u, ((j * 5 + u * 3) % 7 - 3) / 10) for j in range(width) for u in range(_UNITS)]
+    places += [("bias", None, u, (2 * u - 1) / 10) for u in range(_UNITS)] + [("output", None, u, (5 - 9 * u) / 10) for u in range(_UNITS)]
+    places.append(("output bias", None, None, 0.05))
+    _, gradients, _ = gradient_of(_vectors(spark, sf), [MlpSetting(units=_UNITS)], [np.array([p[-1] for p in places])], width)
+    return spark.createDataFrame([(*p[:3], round(float(g), 6)) for p, g in zip(places, gradients[0])], "part string, input int, unit int, slope double")
+
+
+_SQL_FORMULA = "('0x' || md5(term)[1:4])::INT / 32768 - 1"
+
+
+def _formula_model(spark, sf):
+    """The vocabulary of all documents with a coefficient per term that SQL can write down."""
+    docs = texts(spark, sf).withColumn("terms", T.analyse(F.col("text"))).drop("text")
+    vectoriser = T.fit_tfidf(docs, "terms", K, MIN_DF, MAX_DF)
+    weights = [int(hashlib.md5(t.encode()).hexdigest()[:4], 16) / 32768 - 1 for t in vectoriser.terms]
+    return docs, vectoriser, LinearModel(weights, -0.05)
+
+
+_SQL_VOCABULARY = f"{sql_tf('documents', 'doc_id')}, {SQL_STATS}, {sql_vocabulary('(SELECT count(*) FROM documents)')}"
+
+
+@query(f"""WITH {_SQL_VOCABULARY},
+    raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
+    scored AS (SELECT doc_id, sum(w * ({_SQL_FORMULA})) / sqrt(sum(w * w)) AS s FROM raw GROUP BY doc_id)
+    SELECT doc_id, round(coalesce(s, 0) - 0.05, 6) AS score, (coalesce(s, 0) - 0.05 > 0)::INT AS prediction FROM documents LEFT JOIN scored USING (doc_id)""")
+def linear_scores(spark, sf):
+    """Every document scored by a linear model with a coefficient per term."""
+    docs, vectoriser, model = _formula_model(spark, sf)
+    scored = model.predict(model.decision(vectoriser.transform(docs)))
+    return scored.select("doc_id", F.round("score", 6).alias("score"), "prediction")
+
+
+@query(f"""WITH {_SQL_VOCABULARY}, coefs AS (SELECT term AS feature, {_SQL_FORMULA} AS value FROM vocab),
+    ends AS ((SELECT *, 'low' AS "end" FROM coefs ORDER BY value, feature DESC LIMIT {V.TOP_FEATURES})
+      UNION ALL (SELECT *, 'high' FROM coefs ORDER BY value DESC, feature LIMIT {V.TOP_FEATURES}))
+    SELECT feature, value, "end", abs(value) AS abs_value, CASE WHEN value > {V.POSITIVE_ABOVE} THEN 'positive' ELSE 'negative' END AS sign,
+      (row_number() OVER (ORDER BY "end" DESC, value, feature DESC))::INT AS position FROM ends""")
+def coefficient_report(spark, sf):
+    """Both ends of the coefficients of a model with a coefficient per term."""
+    _, vectoriser, model = _formula_model(spark, sf)
+    return R.top_features(spark, vectoriser, model)
+
+
 def _folded(spark, sf):
     folded = stratified_folds(expert(spark, sf).select("link", "label", "text"))
     return materialise(folded, "folded", "link")
@@ -70,10 +181,10 @@ def search_results(spark, sf):
     df = W.lemmatize(lowered, "link", "lowered", lemma_table(spark, sf)).drop("lowered")
     analysers = {(True, 1): T.analyse(F.col("text"), 1, F.col("lemmas")), (False, 2): T.analyse(F.col("text"), 2)}
     grid = {"max_df": (0.6, 0.8), "min_df": (1, 3), "max_features": (500,)}
-    found = R.search_tfidf_svm(df, "link", analysers, grid, cs=(0.1, 1), max_passes=12)
+    found = R.search_tfidf_svm(df, "link", analysers, grid, cs=(1, 5))
     path = scratch_path(spark, "search")
-    found.table(spark).write.json(path)
-    return spark.read.schema("setting int, params map<string,string>, mean_score double").json(path).select(
+    found.save(spark, path)
+    return R.read_results(spark, path).select(
         "setting", F.col("params")["analyser"].alias("analyser"), F.col("params")["limits"].alias("limits"),
         F.col("params")["C"].alias("c"), F.col("params")["loss"].alias("loss"), F.round("mean_score", 6).alias("mean_score"))
 
@@ -83,14 +194,23 @@ def embedding_search(spark, sf):
     """SVM and network searches on given vectors: one vector class against the others."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"))
     folded = stratified_folds(vectors, "vec_id")
-    svm = R.search_svm(folded, 64, "vec_id", "embedding", cs=V.SVM_EMBEDDING_C, max_passes=12)
-    net = R.search_mlp(folded, 64, "vec_id", "embedding", {"epochs": (10,), "learning_rate": (0.1, 0.01), "dropout": (0.2, 0)},
+    svm = R.search_svm(folded, WIDTH, "vec_id", "embedding", cs=V.SVM_EMBEDDING_C)
+    net = R.search_mlp(folded, WIDTH, "vec_id", "embedding", {"epochs": (10,), "learning_rate": (0.1, 0.01), "dropout": (0.2, 0)},
                        unit_shares=(4,))
     tables = [o.table(spark).withColumn("family", F.lit(n)) for n, o in (("svm", svm), ("mlp", net))]
     return tables[0].unionByName(tables[1]).select(
         "family", "setting", F.to_json("params").alias("params"), F.round("mean_score", 6).alias("mean_score"))
 
 
+@query()
+def mlp_search_tfidf(spark, sf):
+    """Vectoriser x network search in mini-batches."""
+    df = _folded(spark, sf)
+    found = R.search_tfidf_mlp(df, "link", {(False, 1): T.analyse(F.col("text"))}, {"max_df": (0.8,), "min_df": (1, 3), "max_features": (500,)},
+                               {"epochs": (10,), "learning_rate": (0.1, 0.01), "dropout": (0.2, 0)}, unit_shares=(20,), steps_per_epoch=4)
+    return found.table(spark).select("setting", F.to_json("params").alias("params"), F.round("mean_score", 6).alias("mean_score"))
+
+
 @query()
 def top_features(spark, sf):
     sided = materialise(_split_terms(spark, sf), "split-terms", "link")
@@ -141,7 +261,7 @@ def publish_scored(spark, sf):
     fixes = P.corrections_table(spark, {"0": 1}).withColumn("link", F.col("link").cast("bigint"))
     analysers = {(False, 1): T.analyse(F.col("clean_text"))}
     grid = {"max_df": (0.8,), "min_df": (1, 3), "max_features": (500,)}
-    trained = workflows.train(labelled.select("link", "label", "clean_text"), fixes, analysers, grid, (1,), max_passes=15)
+    trained = workflows.train(labelled.select("link", "label", "clean_text"), fixes, analysers, grid, (1, 5))
     return workflows.score_and_publish(trained, labelled, rest, fixes)
 
 
@@ -151,7 +271,7 @@ def evaluate_trained(spark, sf):
     labelled = expert(spark, sf).select("link", "label", F.lower("text").alias("clean_text"))
     trained = workflows.train(labelled, P.corrections_table(spark, {"0": 1}).withColumn("link", F.col("link").cast("bigint")),
                               {(False, 1): T.analyse(F.col("clean_text"))},
-                              {"max_df": (0.8,), "min_df": (2,), "max_features": (500,)}, (1, 5), max_passes=15)
+                              {"max_df": (0.8,), "min_df": (2,), "max_features": (500,)}, (1, 5))
     return workflows.evaluate(trained.test)
 
 

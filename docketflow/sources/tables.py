@@ -14,9 +14,21 @@ CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""',
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """CSV with header. Quoted line breaks make a file unsplittable, so files are kept small instead."""
-    df.write.options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
+# Bytes that a CSV file has on average at most, and the share of rows whose widths are looked at for it.
+FILE_BYTES, WIDTH_SHARE = 64 << 20, 0.01
+
+
+def row_width(df: DataFrame) -> float | None:
+    """Mean bytes of a row as CSV, from a sample of the rows; from all of them where the sample is empty, None without any."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 1 for c in df.columns), F.lit(0))
+    return next((mean for share in (WIDTH_SHARE, None) if (mean := (df if share is None else df.sample(share, 7)).agg(F.avg(width)).first()[0])), None)
+
+
+def write_csv(df: DataFrame, path: str, bytes_per_file: int = FILE_BYTES) -> None:
+    """CSV with header. Quoted line breaks make a file unsplittable, so a reader has as many tasks as files: wide rows come in
+    files of few rows, whatever a task has to write."""
+    rows = max(1, int(bytes_per_file / (row_width(df) or 1)))
+    df.write.options(**CSV_OPTIONS).option("maxRecordsPerFile", rows).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

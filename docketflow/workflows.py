@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docketflow import fixed_values as V
 from docketflow.functions import html as H, text as X
 from docketflow.operators import evaluation as E, features as T, linking as L, publish as P, search as R, vocabulary as W
-from docketflow.operators.linear import LinearModel
+from docketflow.operators.linear import MAX_PASSES, LinearModel
 from docketflow.operators.sampling import stratified_folds, stratified_split
 from docketflow.session import materialise
 
@@ -58,7 +58,7 @@ class Trained:
 
 
 def train(labelled: DataFrame, corrections: DataFrame, analysers: dict, grid: dict | None = None, cs=V.SVM_TFIDF_C,
-          losses=V.SVM_LOSSES, max_passes: int = 60) -> Trained:
+          losses=V.SVM_LOSSES, max_passes: int = MAX_PASSES) -> Trained:
     """Correct labels, split, search vectoriser and SVM on the training side, predict the test side.
 
     ``labelled`` has ``link, label, clean_text``. Labels are corrected before the split.

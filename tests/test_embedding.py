@@ -1,6 +1,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,20 @@ def test_embed_chunks_averages_all_chunks(spark):
     assert E.embed_chunks(df, "k", "ids", encode, 4, first_only=True).first()["embedding"] == [6.0]
     empty = spark.createDataFrame([("b", [0, 2])], "k string, ids array<int>")
     assert E.embed_chunks(df.union(empty), "k", "ids", encode, 4).orderBy("k").collect()[1]["embedding"] is None
+
+
+def test_batch_encoder_loads_once_and_sorts(spark):
+    def load():
+        state = {"calls": 0}
+
+        def predict(sentences):
+            state["calls"] += 1
+            return np.array([[len(s), state["calls"], len({len(x) for x in sentences})] for s in sentences], float)
+        return predict
+
+    df = spark.createDataFrame([(i, "x" * (i % 40)) for i in range(400)], "k int, sentence string").coalesce(1)
+    got = E.batch_encoder(load, 50)(df).collect()
+    assert all(r["vector"][0] == len(r["sentence"]) for r in got) and len(got) == 400
+    # one model saw all eight batches, and each batch had few lengths
+    assert max(r["vector"][1] for r in got) == 8 and max(r["vector"][2] for r in got) <= 7
+    assert E.batch_encoder(load)(df.limit(0)).collect() == []

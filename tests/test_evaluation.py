@@ -129,5 +129,38 @@ def test_all_twelve_published_comparisons(spark, published):
     assert all(r["significant"] for (w, _), r in got.items() if w == "base_pred")
 
 
+@pytest.mark.parametrize("ties", ["count", "strict"])
+def test_exact_p_value(spark, ties):
+    """Against every one of the possible swaps, and near the sampled value on the published counts."""
+    import itertools
+    import random
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = [{"row_id": i, "label": int(rng.random() < 0.4), "a": rng.randrange(2), "b": rng.randrange(2), "c": 1} for i in range(11)]
+        for r in G.exact_test(spark.createDataFrame(rows), [("a", "b"), ("b", "c"), ("c", "c")], ties=ties).collect():
+            cells = [(x["label"], x[r["worse"]], x[r["better"]]) for x in rows]
+            n1 = sum(y for y, _, _ in cells)
+
+            def stat(coins):
+                sides = [(y, *((b, w) if coin else (w, b))) for (y, w, b), coin in zip(cells, coins)]
+                score = [_f1(sum(p[i] for p in sides if p[0]), n1, sum(p[i] for p in sides if not p[0]), len(rows) - n1) for i in (1, 2)]
+                return score[1] - score[0]
+
+            observed = stat([0] * len(rows))
+            hits = [stat(coins) > observed + 1e-12 if ties == "strict" else stat(coins) >= observed - 1e-12 for coins in itertools.product((0, 1), repeat=len(rows))]
+            assert r["observed"] == pytest.approx(observed) and r["p_value"] == pytest.approx(sum(hits) / len(hits))
+
+
+def test_exact_p_value_of_many_rows(spark, published):
+    pairs = [("USE_sk_pred", "tfidf_pred"), ("tfidf_pred", "USE_sk_pred")]
+    sampled = {r["worse"]: r["p_value"] for r in G.permutation_test(spark.createDataFrame(published), pairs, permutations=3000).collect()}
+    for r in G.exact_test(spark.createDataFrame(published), pairs).collect():
+        assert r["p_value"] == pytest.approx(sampled[r["worse"]], abs=0.04)
+    many = spark.range(400_000).select((F.col("id") % 5 == 0).cast("int").alias("label"), (F.col("id") % 3 > 0).cast("int").alias("a"),
+                                       (F.col("id") % 7 > 1).cast("int").alias("b"), F.lit(1).alias("c"))
+    got = {(r["worse"], r["better"]): r["p_value"] for r in G.exact_test(many, [("a", "b"), ("b", "a"), ("a", "a")]).collect()}
+    assert got["a", "b"] < 1e-6 and got["b", "a"] > 1 - 1e-6 and got["a", "a"] == pytest.approx(1)
+
+
 def test_threshold(one):
     assert one(lambda c: E.threshold(c), [0.5, 0.51, 0.2], "double") == [0, 1, 0]

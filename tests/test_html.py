@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
@@ -27,6 +29,51 @@ def test_item_text_and_quoting(one):
     assert one(H.list_links, ["", None])[0] == []
 
 
+def _random_list(rnd, depth, listed, out):
+    """Markup of a list and its text, with end tags of items left out at random; items inside a ``ul`` go to ``out`` in page order."""
+    kind = rnd.choice(["ul", "ol", "UL"])
+    listed = listed or kind.lower() == "ul"
+    markup, text = f"<{kind} class='x'>", ""
+    for _ in range(rnd.randrange(4)):
+        name, place = f"n{rnd.randrange(10**6)}", len(out)
+        linked = rnd.random() < 0.8
+        if listed and linked:
+            out.append(None)
+        body, own = (f'<a href="/{name}">{name}</a>', name) if linked else ("plain", "plain")
+        for _ in range(rnd.randrange(3) if depth else 0):
+            inner, inner_text = _random_list(rnd, depth - 1, listed, out)
+            body, own = body + inner + " z ", own + inner_text + " z "
+        if rnd.random() < 0.2:
+            body += "<!-- </li><li><ul> -->"
+        if listed and linked:
+            out[place] = ("/" + name, own.strip(" "))
+        markup, text = markup + f"<li>{body}" + rnd.choice(["</li>", "", "</LI >"]), text + own
+    return markup + f"</{kind}>", text
+
+
+def test_lists_within_lists_and_open_items(one):
+    """Against the tree that the markup was written from."""
+    rnd = random.Random(5)
+    pages, wanted = [], []
+    for _ in range(120):
+        markup, out = "</ul></li><li>stray", []
+        for _ in range(rnd.randrange(4)):
+            inner, _ = _random_list(rnd, 3, False, out)
+            markup += rnd.choice(["", "<p>", "</ol>"]) + inner
+        pages.append(markup)
+        wanted.append(out)
+    got = one(H.list_links, pages)
+    assert [[(r["href"], r["title"]) for r in row] for row in got] == wanted
+    assert sum(map(len, wanted)) > 300
+    page = "<ul><li><a href=a>A<ul><li><a href=b>B</a></li></ul></li><li><a href=c>C"
+    assert [(r["href"], r["title"]) for r in one(H.list_links, [page])[0]] == [("a", "AB"), ("b", "B"), ("c", "C")]
+
+
+def test_many_items_take_linear_time(one):
+    page = "<ul>" + "<li><a href=/x>x</a>" * 30_000 + "</ul>" + "<ul><li>" * 500
+    assert len(one(H.list_links, [page])[0]) == 30_000
+
+
 def test_canonical_link(one):
     got = one(lambda c: H.canonical_link(c, "https://h"), ["/a", "/cgi-bin/redirect.cgi?path=/uk/x", "x"])
     assert got == ["https://h/a", "https://h/uk/x", "https://hx"]

@@ -83,19 +83,75 @@ def test_holdout_counts(spark):
                               (used & ~hit & (y == 1)).sum(), (used & ~hit & (y == 0)).sum()]
 
 
+def test_models_are_dealt_over_passes(spark, monkeypatch):
+    x, y, fold = _data(60)
+    rows = D.training_rows(_frame(spark, x, y, fold)).cache()
+    settings = [L.SvmSetting(), L.SvmSetting(loss="hinge"), L.SvmSetting(C=3, holdout=2)]
+    weights = np.random.default_rng(1).normal(size=(3, 6))
+    at_once = L.objective(rows, settings, weights)
+    monkeypatch.setattr(D, "PASS_WEIGHTS", 6)
+    assert D.passes_for(3, 6) == 3
+    for a, b in zip(vars(at_once).values(), vars(L.objective(rows, settings, weights)).values()):
+        assert np.allclose(a, b)
+
+
 def test_gradients_added_by_spark_and_by_the_driver_agree(spark, monkeypatch):
     x, y, fold = _data(60)
     rows = D.training_rows(_frame(spark, x, y, fold)).cache()
-    task = L._svm_task([(0, L.SvmSetting()), (1, L.SvmSetting(loss="hinge"))], [D.View()], np.full((2, 6), 0.1))
-    here = D.summed_gradients(rows, task, 6, 2)
+    settings, weights = [L.SvmSetting(), L.SvmSetting(loss="hinge")], np.full((2, 6), 0.1)
+    here = L.objective(rows, settings, weights)
     monkeypatch.setattr(D, "DRIVER_NUMBERS", 0)
-    there = D.summed_gradients(rows, task, 6, 2)
-    assert np.allclose(here[0], there[0]) and np.allclose(here[1], there[1])
+    for a, b in zip(vars(here).values(), vars(L.objective(rows, settings, weights)).values()):
+        assert np.allclose(a, b)
+
+
+def test_every_pass_bounds_the_optimum(spark):
+    """Objective and lower bound against the plain formulas and the dual solver, at any weights."""
+    x, y, fold = _data(80)
+    rows = D.training_rows(_frame(spark, x, y, fold)).cache()
+    settings = [L.SvmSetting(c, loss) for c in (0.1, 2) for loss in ("hinge", "squared_hinge")]
+    found = L.objective(rows, settings, np.random.default_rng(3).normal(size=(4, 6)) * 0.3)
+    weights = np.random.default_rng(3).normal(size=(4, 6)) * 0.3
+    for k, s in enumerate(settings):
+        best = _objective(_dual_optimum(x, y, s.C, s.loss), x, y, s.C, s.loss)
+        assert found.primal[k] == pytest.approx(_objective(weights[k], x, y, s.C, s.loss))
+        assert found.dual[k] <= best <= found.primal[k]
 
 
-def test_too_many_weights_are_refused(spark):
-    with pytest.raises(ValueError, match="fewer settings"):
-        D.summed_gradients(spark.range(1), None, 10_000_000, 10)
+def test_svms_come_with_a_certificate(spark):
+    x, y, fold = _data()
+    rows = D.training_rows(_frame(spark, x, y, fold)).cache()
+    settings = [L.SvmSetting(c, loss, 0, f) for c in (0.1, 5) for loss in ("hinge", "squared_hinge") for f in (None, 1)]
+    for s, m in zip(settings, L.fit_svms(rows, settings, 5)):
+        used = np.ones(len(y), bool) if s.holdout is None else fold != s.holdout
+        best = _objective(_dual_optimum(x[used], y[used], s.C, s.loss), x[used], y[used], s.C, s.loss)
+        got = _objective(np.array([*m.weights, m.intercept]), x[used], y[used], s.C, s.loss)
+        assert m.report["stopped"] == 0 and m.report["gap"] <= L.GAP
+        assert m.report["primal"] == pytest.approx(got) and m.report["dual"] <= best * (1 + 1e-9) and got <= best * (1 + L.GAP)
+    with pytest.warns(UserWarning, match="stopped after 2 passes"):
+        stopped = L.fit_svms(rows, settings[:1], 5, max_passes=2)[0]
+    assert stopped.report["stopped"] == 1 and stopped.report["gap"] > L.GAP
+
+
+def test_no_rows(spark):
+    rows = D.training_rows(_frame(spark, *_data(10))).limit(0)
+    model = L.fit_svms(rows, [L.SvmSetting()], 5)[0]
+    assert model.weights == [0.0] * 5 and model.report["stopped"] == 0
+
+
+def test_a_million_terms(spark):
+    """Rows are scored and listed over their own terms; nothing is as long as the vocabulary but the vocabulary."""
+    size = 1_000_000
+    model = T.Tfidf([f"t{i:07d}" for i in range(size)], [1.0 + i % 7 for i in range(size)])
+    df = spark.createDataFrame([(0, ["t0000003", "t0999999", "t0999999"]), (1, ["none"]), (2, [])], "k int, terms array<string>")
+    weighted = model.transform(df)
+    svm = L.LinearModel([((i * 13) % 5 - 2) / 4 for i in range(size)], 0.25)
+    idf = [1.0 + 3 % 7, 2 * (1.0 + 999_999 % 7)]
+    norm = np.hypot(*idf)
+    want = {"t0000003": idf[0] / norm, "t0999999": idf[1] / norm}
+    assert {r["term"]: r["weight"] for r in T.weights_long(weighted, "k", model).collect()} == pytest.approx(want)
+    got = {r["k"]: r["score"] for r in svm.decision(weighted).select("k", "score").collect()}
+    assert got == pytest.approx({0: 0.25 + want["t0000003"] * svm.weights[3] + want["t0999999"] * svm.weights[999_999], 1: 0.25, 2: 0.25})
 
 
 def test_view_scales_and_normalises():
@@ -116,16 +172,15 @@ def test_network_gradient_is_the_slope_of_the_loss(spark):
     rows = D.training_rows(_frame(spark, x, y, fold), key="key").cache()
     s = N.MlpSetting(units=4, holdout=0)
     flat = N._start(s, 3)
-    task, width = N._network_task([(0, s)], [D.View()], [flat], 3, 1)
-    loss, gradient = D.summed_gradients(rows, task, width, 1)
+    loss, gradient, seen = N.gradient_of(rows, [s], [flat], 3, step=1)
     used = fold != 0
-    assert loss[0] == pytest.approx(_network_loss(flat, s, x[used], y[used])) and gradient[0, -1] == used.sum()
+    assert loss[0] == pytest.approx(_network_loss(flat, s, x[used], y[used])) and seen[0] == used.sum()
     for i in range(len(flat)):
         up, down = flat.copy(), flat.copy()
         up[i] += 1e-5
         down[i] -= 1e-5
         slope = (_network_loss(up, s, x[used], y[used]) - _network_loss(down, s, x[used], y[used])) / 2e-5
-        assert gradient[0, i] == pytest.approx(slope, abs=1e-4)
+        assert gradient[0][i] == pytest.approx(slope, abs=1e-4)
 
 
 def test_dropout_masks_are_drawn_again_alike(spark):
@@ -138,6 +193,27 @@ def test_dropout_masks_are_drawn_again_alike(spark):
     assert not np.allclose(D.summed_gradients(rows, task, width, 1)[1], D.summed_gradients(rows, other, width, 1)[1])
 
 
+def test_dropout_does_not_depend_on_partitions(spark):
+    x, y, fold = _data(60, 3)
+    df = _frame(spark, x, y, fold)
+    setting = N.MlpSetting(units=4, dropout=0.3)
+    flat = [N._start(setting, 3)]
+    sums = [N.gradient_of(D.training_rows(df.repartition(n), key="key"), [setting], flat, 3, step=4) for n in (1, 7)]
+    assert np.allclose(sums[0][0], sums[1][0]) and np.allclose(sums[0][1][0], sums[1][1][0])
+    kept = N.kept_inputs(np.arange(4000, dtype=np.uint64), 50, 1, 2, 0, 0.8)
+    assert abs(kept.mean() - 0.8) < 0.01 and kept.mean(axis=0).min() > 0.75 and kept.mean(axis=1).std() < 0.1
+    assert (kept != N.kept_inputs(np.arange(4000, dtype=np.uint64), 50, 1, 3, 0, 0.8)).mean() > 0.2
+
+
+def test_batches_are_parts_of_the_rows(spark):
+    x, y, fold = _data(90, 3)
+    rows = D.training_rows(_frame(spark, x, y, fold), key="key")
+    parts = [[r["row"] for r in part.collect()] for part in N.batch_parts(rows, 4)]
+    assert sorted(sum(parts, [])) == sorted(r["row"] for r in rows.collect()) and all(10 < len(p) < 40 for p in parts)
+    plan = N.batch_parts(rows, 4)[1]._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+
+
 def test_norm_limit_follows_dropout():
     s = N.MlpSetting(units=2, dropout=0.1)
     flat = np.full(s.size(4), 10.0)

@@ -61,6 +61,20 @@ def test_court_files(spark):
     assert got == {("EWCA_Civ", "a"), ("EWCA_Civ", "b"), ("UKPC", "c")}
 
 
+def test_wide_rows_come_in_small_files(spark):
+    """A task that writes much makes several files, and each is read by a task of its own."""
+    df = spark.range(60).select(F.col("id"), F.repeat(F.lit('word "quoted"\n'), 20_000).alias("text"), F.lit(None).cast("string").alias("no")).coalesce(1)
+    assert 250_000 < S.row_width(df) < 300_000 and S.row_width(df.limit(0)) is None
+    path = scratch_path(spark, "t-wide")
+    S.write_csv(df, path, bytes_per_file=2 << 20)
+    back = S.read_csv(spark, path, df.schema)
+    assert len(back.inputFiles()) >= 8 and back.rdd.getNumPartitions() >= 8
+    assert S.tables_equal(df, back)
+    empty = scratch_path(spark, "t-none")
+    S.write_csv(df.limit(0), empty)
+    assert S.read_csv(spark, empty, df.schema).count() == 0
+
+
 def test_split_files(spark):
     df = spark.createDataFrame([("a", 1, "train"), ("b", 0, "test")], "link string, label int, split string")
     path = scratch_path(spark, "t-split")

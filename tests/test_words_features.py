@@ -16,8 +16,15 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(DOCS)), "k int, text string")
 
 
+@pytest.fixture(params=["held", "joined"])
+def path(request, monkeypatch):
+    """Tables that are small enough for the workers, and tables that are not."""
+    if request.param == "joined":
+        monkeypatch.setattr(W, "HELD_BYTES", 0)
+
+
 @pytest.mark.parametrize("more", [0, 30_000])
-def test_dictionary_filter(spark, docs, more):
+def test_dictionary_filter(spark, docs, more, path):
     """The table's size, null words and repeated keys make no difference."""
     words = spark.createDataFrame([("the",), ("cat",), ("CAT",), ("hat",), ("well",), ("the",), ("'",), ("it's",), (None,)], "word string") \
         .union(spark.range(more).select(F.concat(F.lit("zz"), "id")))
@@ -31,7 +38,7 @@ def test_dictionary_filter(spark, docs, more):
 
 
 @pytest.mark.parametrize("more", [0, 30_000])
-def test_lemmatize(spark, docs, more):
+def test_lemmatize(spark, docs, more, path):
     table = spark.createDataFrame([("sat", "sit"), ("known", "know"), ("knew", "know"), ("xylo", "x'y"), (None, "x")], "form string, lemma string") \
         .union(spark.range(more).select(F.concat(F.lit("zz"), "id"), F.lit("z")))
     got = W.lemmatize(docs, "k", "text", table).orderBy("k").collect()
@@ -41,6 +48,43 @@ def test_lemmatize(spark, docs, more):
     assert sorted(r["lemmas"] for r in W.lemmatize(repeated, "k", "text", table).collect()) == [[], ["it", "know"], ["the", "sit"]]
 
 
+def test_held_words_move_no_rows(spark, docs):
+    words = spark.createDataFrame([("the",)], "word string")
+    plan = W.dictionary_filter(docs, "k", "text", words)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def _plain_lemma(form, lexicon, exceptions, rules):
+    if form in exceptions:
+        hits = [w for w in [form, *exceptions[form]] if w in lexicon]
+        return min(hits, key=lambda w: (len(w), w), default=form)
+    level = [form]
+    first = True
+    while level:
+        made = [w[: len(w) - len(old)] + new for w in level for old, new in rules if w.endswith(old) and len(w) > len(old)]
+        hits = [w for w in made + (level if first else []) if w in lexicon]
+        if hits:
+            return min(hits, key=lambda w: (len(w), w))
+        level, first = made, False
+    return form
+
+
+def test_rule_lemmas(spark):
+    from docketflow import fixed_values as V
+    lexicon = {"walk", "love", "carry", "go", "be", "walking", "see", "pass", "sing", "us", "bee", "b"}
+    exceptions = {"went": ["go"], "been": ["be"], "gone": ["nowhere"], "seeds": ["see", "us"]}
+    forms = ["walks", "walking", "walkings", "walked", "loves", "loving", "carries", "carried", "went", "been", "gone", "passes", "sing", "sings", "bees",
+             "ing", "s", "seeds", "unknownings", "us", "being", "sinningsings", "walk", "", "walks"]
+    got = {r["form"]: r["lemma"] for r in W.rule_lemmas(
+        spark.createDataFrame([(f,) for f in [*forms, None]], "form string"), spark.createDataFrame([(w,) for w in [*lexicon, None]], "word string"),
+        spark.createDataFrame([(f, l) for f, ls in exceptions.items() for l in ls], "form string, lemma string")).collect()}
+    want = {f: _plain_lemma(f, lexicon, exceptions, V.VERB_ENDINGS) for f in forms}
+    assert got == {f: w for f, w in want.items() if f != w}
+    assert got["walkings"] == "walking" and got["loving"] == "love" and "gone" not in got
+    nothing = spark.createDataFrame([], "form string")
+    assert W.rule_lemmas(nothing, spark.createDataFrame([("a",)], "word string")).collect() == []
+
+
 def _brute(docs, ngram, k, min_df, max_df):
     """TF-IDF by hand: words of 2+ letters, smooth idf, unit length."""
     import re
