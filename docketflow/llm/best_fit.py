@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int = SEQUEN
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32", "_file", "_rank", *["ids"] * with_ids])
-        own.pool.clear()
+        own.pool.release()
 
     source = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias(text))
     return source.mapInArrow(run, PIECE.format(key=key) + (", ids array<int>" if with_ids else ""))

@@ -79,7 +79,13 @@ class Codec:
         self.ranks = {token: [rank] for rank, token in enumerate(vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(vocabulary))
         self.split = regex.compile(pattern).findall
-        self.pool = pieces.Pool(self.ask)
+        self.pool = pieces.Pool(self.ask, self._marks_apart())
+
+    def _marks_apart(self) -> bool:
+        """Whether the pattern cuts marks off words, tried on all their letters."""
+        letters = [c for c in map(chr, range(65, 256)) if regex.fullmatch(f"[{pieces.LETTERS}]", c)]
+        words = ["".join(letters), "re", "s", *letters, *(" " + c for c in letters)]
+        return all(self.split(word + mark) == [word, mark] for word in words for mark in pieces.MARKS)
 
     def pre_tokens(self, wanted: list[str]) -> dict[str, list[int]]:
         """Ids of distinct pre-tokens: whole vocabulary entries by look-up, others by the model."""
@@ -145,7 +151,7 @@ def encode(docs: DataFrame, vocabulary_file: str, pattern: str, text: str = "tex
                 raws = pc.fill_null(batch.column(text), "").cast(pa.binary())
                 added[same] = pa.array([own.decode(flat[a:b]) == raw.as_py() for a, b, raw in zip(starts, starts[1:], raws)], pa.bool_())
             yield _with(batch, **added)
-        own.pool.clear()
+        own.pool.release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(same, T.BooleanType())] * bool(same)]))
 
@@ -182,7 +188,7 @@ def round_trip(docs: DataFrame, vocabulary_file: str, pattern: str, key: str = "
                 batch.column(key), pa.array(sizes), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in each], pa.string()),
                 pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in each], pa.string()),
             ], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-        own.pool.clear()
+        own.pool.release()
 
     return source.mapInArrow(run, T.StructType([
         T.StructField(key, kind), T.StructField("n_tokens", T.LongType()),

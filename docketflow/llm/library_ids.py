@@ -9,12 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from docketflow.llm import batches, pieces as P
+from docketflow.llm import pieces as P
 
-#: Words of Latin letters with at most one full stop or comma: a pre-token of letters and one of the mark.
-PLAIN = "( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)"
-MARKS = ".,"
-PLAIN_LINES = re.compile(f"^{PLAIN}$|^.*$", re.MULTILINE).findall
+#: Words of Latin letters are one pre-token.
+WORD = f" ?[{P.LETTERS}]+"
+WORD_LINES = re.compile(f"^({WORD})$|^.*$", re.MULTILINE).findall
 
 
 def byte_characters() -> str:
@@ -41,36 +40,26 @@ class Library:
         return pre_token.encode().decode("latin-1").translate(self.characters)
 
     def _cuts(self) -> bool:
-        """Whether the tokenizer cuts and writes plain words as it is done here, tried on all their letters."""
-        fits = re.compile(PLAIN).fullmatch
-        letters = [c for c in map(chr, range(65, 256)) if fits(c)]
-        words = ["".join(letters), "a.", "É,", "re", "s.", *letters]
+        """Whether the tokenizer cuts and writes plain words as it is done here and cuts marks off them, tried on all their letters."""
+        letters = [c for c in map(chr, range(65, 256)) if re.fullmatch(WORD, c)]
+        words = ["".join(letters), "re", "s", *letters]
         normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         for word in [*words, *(" " + w for w in words if not self.lower)]:
-            got = [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(word) if normal else word)]
-            if got != [self.written(part) for part in fits(word).groups() if part]:
-                return False
+            for mark in ("", *P.MARKS):
+                got = [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(word + mark) if normal else word + mark)]
+                if got != [self.written(word), *[mark] * bool(mark)]:
+                    return False
         return True
 
     def ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces by the library: flat, and how many each piece has."""
-        lines = ["" if "\n" in p else p for p in pieces]
-        cut = PLAIN_LINES("\n".join(lines)) if self.cuts else [("", "")] * len(pieces)
-        words = {word: i for i, word in enumerate(dict.fromkeys(word for word, _ in cut if word))}
-        written = [*(self.written("\n".join(words)).split(self.written("\n")) if words else []), *MARKS]
-        other = [p for p, (word, _) in zip(pieces, cut) if not word]
-        # words, marks, what went whole, nothing; a piece is two of them
-        lists = [*([t.id for t in self.model.tokenize(word)] for word in written), *self.whole(other), []]
-        flat, each = P.flat(lists)
-        starts = np.cumsum(each) - each
-        parts = np.full((len(pieces), 2), len(lists) - 1)
-        plain = np.fromiter((word != "" for word, _ in cut), bool, len(pieces))
-        parts[plain, 0] = [words[word] for word, _ in cut if word]
-        mark = np.array([MARKS.find(mark) if mark else -1 for word, mark in cut if word], np.int64)
-        parts[plain, 1] = np.where(mark < 0, len(lists) - 1, len(words) + mark)
-        parts[~plain, 0] = len(words) + len(MARKS) + np.arange(len(other))
-        sizes = each[parts]
-        return flat[batches.gather(starts[parts].ravel(), sizes.ravel())], sizes.sum(axis=1)
+        if not self.cuts:
+            return P.flat(self.whole(pieces))
+        plain = WORD_LINES("\n".join(["" if "\n" in p else p for p in pieces])) if pieces else []
+        words = iter(self.written("\n".join([w for w in plain if w])).split(self.written("\n")))
+        others = iter(self.whole([p for p, w in zip(pieces, plain) if not w]))
+        tokenize = self.model.tokenize
+        return P.flat([[t.id for t in tokenize(next(words))] if w else next(others) for w in plain])
 
     def whole(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece by the whole tokenizer. Where it can, one call has many, an added token, which nothing crosses, between them."""
@@ -103,7 +92,7 @@ class TextIds:
             raise ValueError("added tokens must be free of white space")
         self.strange = P.strange_pattern(added)
         self.library = Library(self.tokenizer)
-        self.pool = P.Pool(self.library.ask)
+        self.pool = P.Pool(self.library.ask, self.library.cuts)
 
     def _drops_space(self) -> bool:
         def ids(text: str) -> list[int]:

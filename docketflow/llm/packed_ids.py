@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
                 page, keys, sizes, ids, held = page + 1, [], [], [], 0
         if held:
             yield full()
-        own.pool.clear()
+        own.pool.release()
 
     ordered.mapInArrow(run, PAGE).write.option("compression", "none").parquet(path)
 

@@ -28,7 +28,7 @@ def test_ids_equal_the_library(name):
     texts = _texts(3000)
     want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
     for cuts in (True, False):
-        own.library.cuts = cuts
+        own.library.cuts = own.pool.marks = cuts
         own.pool.clear()
         ids, sizes = own.encode(pa.array([*texts, None]))
         ends = np.cumsum(sizes)
