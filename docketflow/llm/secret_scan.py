@@ -43,6 +43,9 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 #: Base64 over several lines of any width.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 SPACE = re.compile(r"\s+")
+#: Escapes of an escape's own first character, many levels deep: each level takes off only a few characters, so levels are taken off together.
+NESTED = [(re.compile(r"%(?:25){4,}(?=[0-9A-Fa-f]{2})"), "%"), (re.compile(r"\\(?:x5[cC]){4,}(?=x[0-9A-Fa-f]{2})"), "\\"),
+          (re.compile(r"\\(?:u005[cC]){4,}(?=u[0-9A-Fa-f]{4})"), "\\"), (re.compile(r"&(?:#38;|#[xX]26;|amp;){4,}(?=#)"), "&")]
 #: Where a run may really begin: after a line break or one of the alphabet's marks.
 BEGINS = re.compile(r"(?:\s+|[+/_-])(?=[^\s+/_-])")
 #: Texts in decoded bytes; the shortest finding has 14 bytes.
@@ -123,6 +126,15 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
     return Layer(text, (*layer.path, name), np.concatenate([*starts, layer.starts[last:]]), np.concatenate([*ends, layer.ends[last:]]))
 
 
+def _flattened(layer: Layer) -> Layer | None:
+    """The layer with escapes of escapes, from four levels on, as one level; None if it has none."""
+    for pattern, mark in NESTED:
+        if pattern.search(layer.text):
+            flat = _replaced(layer, pattern, lambda _, mark=mark: mark, "nested")
+            return _flattened(flat) or flat
+    return None
+
+
 def _url_run(run: str) -> str:
     raw = unquote_to_bytes(run)
     try:
@@ -200,7 +212,7 @@ def _plain(raw: bytes) -> str | None:
 
 def _opened(raw: bytes, path: tuple[str, ...], starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
     """Layers from bytes: compressed data until none is left, in windows, or else the text that they are as a whole."""
-    head, chunks, packed = raw, iter([raw]), False
+    head, chunks, packed, unpacked = raw, iter([raw]), False, {hashlib.blake2b(raw[:PIECE_BYTES]).digest()}
     while (name := compression(head)) is not None:
         unread, chunks = itertools.tee(chunks)
         inner = _pieces(name, chunks)
@@ -209,9 +221,13 @@ def _opened(raw: bytes, path: tuple[str, ...], starts: np.ndarray, ends: np.ndar
             chunks = unread
             break
         del unread
-        head, chunks, packed, path = first, itertools.chain([first], inner), True, (*path, name)
-        if path.count(name) > 64:  # data that unpacks to itself
+        more = next(inner, None)
+        # content of one piece needs its layers no longer; there may be thousands
+        head, chunks, packed, path = first, iter([first]) if more is None else itertools.chain([first, more], inner), True, (*path, name)
+        digest = hashlib.blake2b(first).digest()
+        if digest in unpacked:  # data that unpacks to itself, or to what it came from
             return
+        unpacked.add(digest)
     if not packed:
         text = _plain(raw)
         if text is not None:
@@ -270,6 +286,10 @@ _ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside a layer."""
+    flat = _flattened(layer)
+    if flat is not None:  # the levels in between differ in their number of escapes only
+        yield flat
+        return
     for pattern, decode, name in ((URL, _url_run, "url"), (UNICODE, _unicode_run, "unicode")):
         found = _replaced(layer, pattern, decode, name)
         if found is not None:

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -272,3 +273,59 @@ def test_odd_sketch_estimates_similarity():
         sketches = odd_sketch.sketches_of(odd_sketch.samples_of(np.concatenate([a, b]), np.array([0, 2000, 4000])))
         flips = int(np.bitwise_count(sketches[0] ^ sketches[1]).sum())
         assert abs(odd_sketch.estimated_similarity(flips) - true) < 0.12
+
+
+def _base_spans(text):
+    """The three patterns written as the contract has them, one after the other."""
+    found = []
+    for order, (kind, pattern, group, least) in enumerate([
+            ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+            ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]):
+        found += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_base_spans_of_all_documents(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    got = queries.op10_secret_scan(spark, f"/root/testdata/{sf}").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = _base_spans(texts[r["doc_id"]] or "")
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in base)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[2] == k for x in base) for k in ("assign", "access", "hex")]
+        assert set(joined.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_base_spans_of_odd_texts():
+    rnd = random.Random(8)
+    parts = ["password", "PASSWD", "ſecret", "toKen", "api_key", "apikey", '"', "'", ":", "=", " ", "\u00a0", "AKIA", "A1B2C3D4", "deadbeef", "0123456789abcdef", "x", "\n", "é", "+/_.-"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))
+        want = [(k, a, b) for a, _, k, b in _base_spans(text)]
+        assert [(secret_scan.KINDS[k], a, b) for k, a, b, base, _ in secret_scan.scan_text(text) if base] == want
+
+
+@pytest.mark.parametrize("wrapped", ["%" + "25" * 40_000 + "41", "\\" + "x5c" * 20_000 + "x41", "\\" + "u005c" * 9_000 + "u0041", "&" + "#38;" * 20_000 + "#65;"])
+def test_deep_escapes_take_linear_time(wrapped):
+    start = time.process_time()
+    text = f"token=zz{wrapped}bcdefghi"
+    spans = [(k, a, b) for k, a, b, base, _ in secret_scan.scan_text(text) if not base]
+    assert (0, 0, len(text)) in spans and time.process_time() - start < 5
+
+
+@pytest.mark.parametrize("depth", [1, 64, 100, 600])
+def test_compression_of_any_depth(depth):
+    raw = b"my token=abcdefgh12 here"
+    for i in range(depth):
+        raw = gzip.compress(raw) if i % 2 else zlib.compress(raw)
+    text = "see " + base64.b64encode(raw).decode()
+    assert [(k, b) for k, _, b, _, _ in secret_scan.scan_text(text)] == [(0, len(text))]
+
+
+def test_data_that_unpacks_to_itself_ends(monkeypatch):
+    """A source that gives its own bytes again, as a quine of the format would."""
+    raw = gzip.compress(b"x" * 100)
+    monkeypatch.setattr(secret_scan, "_pieces", lambda name, chunks: iter([raw]))
+    assert list(secret_scan._opened(raw, (), np.zeros(1, int), np.ones(1, int))) == []
