@@ -15,6 +15,8 @@ OLD_SHARDS = 20
 END_ID = 2
 END_OF_PIECE = 0
 MISSPELT_ONE_IN = 97
+#: Share of all tokens that the mixing query draws.
+TOKEN_BUDGET = 0.5
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 TOXIC_FROM = 0.7
 
@@ -110,7 +112,12 @@ def _oracle_mixing() -> str:
               THEN share * coalesce(target_{n}, 0) / sum(share) OVER (PARTITION BY {n}) ELSE 0 END AS share) FROM s{step})""")
             step += 1
     parts.append(f"f AS (SELECT source, lang, topic, CASE WHEN own > 0 THEN share / own ELSE 1.0 END AS factor FROM s{step})")
-    parts.append("g AS (SELECT *, factor / max(factor) OVER () AS probability FROM f)")
+    # with all larger factors cut off at 1, the others share what is left of the budget
+    parts.append(f"""weighed AS (SELECT f.*, cells.w FROM f JOIN cells ON cells.source IS NOT DISTINCT FROM f.source
+      AND cells.lang IS NOT DISTINCT FROM f.lang AND cells.topic = f.topic)""")
+    parts.append(f"""scaled AS (SELECT *, CASE WHEN sum(w * factor) OVER up > 0 THEN ({TOKEN_BUDGET} * sum(w) OVER () - (sum(w) OVER () - sum(w) OVER up))
+      / sum(w * factor) OVER up END AS scale FROM weighed WINDOW up AS (ORDER BY factor))""")
+    parts.append("g AS (SELECT *, least(1.0, coalesce(max(scale) OVER (), 1.0) * factor) AS probability FROM scaled)")
     draw = f"('0x' || substr(md5('{raking.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0"
     return "WITH " + ",\n".join(parts) + f"""
       SELECT doc_id, counted.source, counted.lang, counted.topic, tokens::BIGINT AS n_tokens, round(factor, 6) AS factor,
@@ -125,7 +132,7 @@ def _text(value: str) -> str:
 @query(_oracle_mixing())
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "source", "lang", raking.topic().alias("topic"), "text")
-    mixed = raking.sample(docs, POWERS, raking.word_count())
+    mixed = raking.sample(docs, POWERS, raking.word_count(), budget=TOKEN_BUDGET)
     return mixed.select("doc_id", "source", "lang", "topic", F.col("_tokens").alias("n_tokens"), F.round("_factor", 6).alias("factor"),
                         F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"))
 
