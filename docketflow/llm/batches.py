@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -10,14 +11,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one Python batch holds at most, unless a single text is longer.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 
 #: Characters that one or another pattern counts as white space.
 SPACES = frozenset(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Each batch in slices of at most ``limit`` bytes of text, one row at least."""
+    """Each batch in slices of at most ``limit`` bytes of text, one row at least.
+
+    What the task leaves unused goes back to the system in the end: workers live on and serve other stages.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -27,6 +31,16 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_B
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator than glibc's
+        pass
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

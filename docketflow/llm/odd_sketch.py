@@ -30,7 +30,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 SIMILARITY_PERCENT = 85
 #: Bytes of text that a block of one comparison task holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _SEEDS = np.random.default_rng(7)
 FACTORS = _SEEDS.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -277,6 +277,9 @@ def links_across(groups: DataFrame, wanted: DataFrame, percent: int, limit: int)
         "pivot", "_at.x", "_at.y", "node", "comp", (F.col("stray") & (F.col("y") == F.col("_at.y"))).alias("stray"), "sketch", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return _links_in_block(group, percent, limit)
+        try:
+            return _links_in_block(group, percent, limit)
+        finally:
+            batches.trim()
 
     return spread.groupBy("pivot", "x", "y").applyInPandas(run, "u bigint, v bigint")
