@@ -7,15 +7,28 @@ from pyspark.sql import DataFrame, functions as F
 from docketflow.session import materialise
 
 
+#: Shares in which a node's edges are joined, so that no task has all edges of a hub.
+SHARES = 32
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with ``m``, the smallest ``v`` of their ``u``, and ``u, m`` of every ``u``.
+
+    Minima are found per share of a node's edges and joined with it by share: a hub's edges are met by as many small rows as it has shares.
+    """
+    dealt = edges.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SHARES)).cast("int"))
+    shares = dealt.groupBy("u", "share").agg(F.min("v").alias("m"))
+    least = shares.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(shares.select("u", "share").join(least, "u"), ["u", "share"]).drop("share"), least
+
+
 def _step(edges: DataFrame, large: bool) -> DataFrame:
     """Hang each node's larger (or its smaller) neighbours on the smallest node of its neighbourhood."""
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v")))
+        both, _ = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        return both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    hung, least = _with_least(edges)
+    return hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
