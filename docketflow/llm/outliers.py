@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from docketflow.llm import batches
+from docketflow.llm.names import refuse
 from docketflow.session import materialise
 
 SYMBOLS = "[#*$%&|<>]"
@@ -247,7 +248,8 @@ def fit(rows: DataFrame, groups: list[str], features: dict[str, float], subset:
 
 
 def judge(rows: DataFrame, estimates: DataFrame, used: DataFrame, groups: list[str], features: dict[str, float], alpha: float = ALPHA) -> DataFrame:
-    """``rows`` with ``distance`` (squared Mahalanobis; null without an estimate) and ``outlier``."""
+    """``rows`` with ``distance`` (squared Mahalanobis; null without an estimate) and ``outlier``; an error if ``rows`` has these or ``mean, inverse, _own``."""
+    refuse(rows.columns, "distance", "outlier", "mean", "inverse", "_own", "kept")
     names = list(features)
     own = used.join(estimates.select("_group", "mean", "inverse"), "_group").drop("_group")
     found = rows.withColumn("_own", F.to_json(F.struct(*groups))).join(own, "_own", "left").withColumn("distance", _distance(names))
@@ -257,6 +259,7 @@ def judge(rows: DataFrame, estimates: DataFrame, used: DataFrame, groups: list[s
 
 
 def _features_of(rows: DataFrame) -> DataFrame:
+    refuse(rows.columns, *transformed())
     return rows.withColumns({k: c.cast("double") for k, c in transformed().items()})
 
 

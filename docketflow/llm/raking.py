@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docketflow.llm.names import refuse
 from docketflow.session import materialise
 
 #: Rounds over all marginals, and how many of them one stored table covers.
@@ -75,8 +76,10 @@ def sample(docs: DataFrame, targets: dict[str, float], tokens: Column, key: str
     ``targets`` maps marginal columns of ``docs`` to the power of ``tempered``. With ``budget``, a share of all tokens, the
     probabilities are those of ``budgeted``, however rare a value is. Without, the largest factor gets probability 1 and one
     rare value can leave little of the rest. ``_weight`` is factor over probability: weighted with it, the drawn documents
-    meet the targets also where a probability is cut off. Rows with the same key share one draw; rows stay.
+    meet the targets also where a probability is cut off. Rows with the same key share one draw; rows stay. Null is a value of
+    its own in a marginal; a null or empty text has no tokens. ``docs`` may not have the new columns, nor ``_c0`` and so on.
     """
+    refuse(docs.columns, "_tokens", "_factor", "_probability", "_weight", "_sampled", *[f"_c{i}" for i in range(len(targets))])
     counted = docs.withColumn("_tokens", tokens)
     cells = counted.groupBy(*targets).agg(F.sum("_tokens").alias("weight"))
     cells = materialise(cells, "cells")

@@ -298,3 +298,55 @@ def test_stages_take_odd_rows(spark, n):
     docs = spark.createDataFrame(rows, schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SMALL).count() <= len(rows), name
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Further columns that bear the names that operators use come back as they were."""
+    names = ["topic", "_tokens", "_factor", "_probability", "_weight", "_sampled", "distance", "mean", "inverse", "outlier", "_length", "kept", "base_failed",
+             "n_words", "n_shingles", "component_id", "_secrets", "secrets", "ids", "round_trip", "_hash", "_own", "further_0"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, own = stage(spark, docs, SMALL), stage(spark, wide, SMALL)
+        if name == "byte_bpe":
+            assert own.columns == plain.columns
+        else:
+            assert own.columns == wide.columns
+            assert own.filter(F.concat_ws("|", *names) != F.concat_ws("|", *[F.concat(F.lit(f"{n} "), "doc_id") for n in names])).count() == 0
+        assert sorted(r["doc_id"] for r in own.select("doc_id").collect()) == sorted(r["doc_id"] for r in plain.select("doc_id").collect())
+
+
+def test_stages_take_very_long_texts(spark):
+    """A text of millions of characters, without spaces and with them, among short ones."""
+    rows = [(i, f"some words of document number {i} " * 20, "en", "s", 0) for i in range(30)]
+    rows += [(900, "x" * 3_000_000, "en", "s", 0), (901, "many different words " * 150_000 + "token=abcdefgh12", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0, name
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, docs, SMALL).collect()}
+    assert clean[901].endswith("[SECRET]") and clean[900] == "x" * 3_000_000
+
+
+def test_one_of_several_texts_of_an_id(spark):
+    """Which row of an id stays is the same however rows are dealt."""
+    rows = [(1, f"text {i} of the same id with words", "en", "s", i) for i in range(40)] + [(2, "another one", "en", "s", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {tuple(sorted(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(n, "n_chars"), SMALL).collect())) for n in (1, 3, 8)}
+    assert len(got) == 1 and [r[0] for r in next(iter(got))] == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["_tokens", "_WEIGHT", "_sampled", "_c1"])
+def test_mixing_refuses_its_own_names(spark, name):
+    docs = spark.createDataFrame([(1, "a", "b", 1)], f"doc_id bigint, source string, text string, `{name}` int")
+    with pytest.raises(ValueError, match="already has"):
+        raking.sample(docs, {"source": 0.8, "text": 0.9}, raking.word_count())
+
+
+@pytest.mark.parametrize("name", ["distance", "Outlier", "mean", "_length"])
+def test_verdicts_refuse_their_own_names(spark, name):
+    from docketflow.llm import outliers
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    estimates, used = outliers.estimates_of(docs)
+    with pytest.raises(ValueError, match="already has"):
+        outliers.quality(docs.withColumn(name, F.lit(1)), estimates, used)
