@@ -276,6 +276,15 @@ def labelling_sheet(spark, sf):
     return P.labelling_sheet(found, ["link"])
 
 
+@query(f"""WITH {SQL_JUDGMENTS}, {_SQL_SHEET} SELECT * REPLACE (CAST(link AS VARCHAR) AS link), CASE WHEN idx IN (SELECT idx FROM drawn) THEN 1 ELSE 0 END AS sample,
+    CAST(NULL AS INTEGER) AS og_sample FROM sheet""")
+def sheet_file(spark, sf):
+    """The labelling sheet written as CSV and read back by its declared schema."""
+    path = scratch_path(spark, "sheet")
+    S.write_sheet(labelling_sheet(spark, sf), path)
+    return S.read_sheet(spark, path)
+
+
 @query(f"""WITH {SQL_JUDGMENTS}, s AS (SELECT j.link AS idx, j.case_name, l.toxic AS classification FROM judgments j
     LEFT JOIN labels l ON l.doc_id = j.link),
     drawn AS (SELECT idx FROM s WHERE classification IS NULL ORDER BY {sql_hash('idx')}, idx LIMIT {V.SECOND_SAMPLE})

@@ -8,6 +8,8 @@ from docketflow.operators import linking as L, publish as P, sampling as S
 from docketflow.plans import common as C
 from docketflow.plans.common import expert, judgments, table
 from docketflow.plans.registry import Registry
+from docketflow.session import scratch_path
+from docketflow.sources import tables as files
 
 query = Registry()
 
@@ -113,14 +115,25 @@ def class_match(spark, sf):
     return P.with_agreement(expert(spark, sf).select("link", "label"), _test_predictions(spark, sf))
 
 
-@query(f"""WITH {C.SQL_EXPERT}, {_SQL_FIXES}, chosen AS (SELECT j.case_name, j.year, j.link,
+_SQL_PUBLISHED = f"""WITH {C.SQL_EXPERT}, {_SQL_FIXES}, chosen AS (SELECT j.case_name, j.year, j.link,
       coalesce(e.label, CAST(contains(j.text, 'able') AS INTEGER)) AS classification,
       CASE WHEN e.label >= 0 THEN 'expert' ELSE 'ml' END AS expert_or_ml_classified
       FROM judgments j LEFT JOIN expert e ON e.link = j.link)
     SELECT case_name, year, link, coalesce(fixed, classification) AS classification, expert_or_ml_classified
-    FROM chosen LEFT JOIN fixes USING (link) ORDER BY year, link""")
+    FROM chosen LEFT JOIN fixes USING (link) ORDER BY year, link"""
+
+
+@query(_SQL_PUBLISHED)
 def publish_repository(spark, sf):
     labelled = expert(spark, sf)
     rest = judgments(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("link")), "link", "left_anti")
     predicted = rest.withColumn("prediction", F.contains("text", F.lit("able")).cast("int"))
     return P.publish(labelled, predicted, _fixes(spark, sf))
+
+
+@query(f"SELECT * REPLACE (CAST(link AS VARCHAR) AS link) FROM ({_SQL_PUBLISHED})")
+def repository_file(spark, sf):
+    """The published table written as CSV and read back by its declared schema."""
+    path = scratch_path(spark, "repository")
+    files.write_repository(publish_repository(spark, sf), path)
+    return files.read_repository(spark, path)

@@ -106,7 +106,7 @@ def svm_gap(spark, sf):
     models = fit_svms(rows, settings, WIDTH)
     counts = holdout_counts(rows, models, settings, WIDTH)
     return spark.createDataFrame(
-        [(s.C, s.loss, m.report["primal"], m.report["dual"], m.report["gap"] <= GAP, int(m.report["passes"]), int(c[0] + c[1]))
+        [(float(s.C), s.loss, m.report["primal"], m.report["dual"], m.report["gap"] <= GAP, int(m.report["passes"]), int(c[0] + c[1]))
          for s, m, c in zip(settings, models, counts)],
         "c double, loss string, primal double, dual double, certified boolean, passes int, positives bigint")
 

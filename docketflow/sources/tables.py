@@ -37,6 +37,29 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).options(**options).csv(path)
 
 
+def as_declared(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns in its order and types; one that ``df`` lacks is null, further ones go."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def write_sheet(sheet: DataFrame, path: str) -> None:
+    """The labelling sheet as CSV, as it goes to the expert."""
+    write_csv(as_declared(sheet, schemas.LABELLING_SHEET), path)
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, schemas.LABELLING_SHEET)
+
+
+def write_repository(published: DataFrame, path: str) -> None:
+    """The published table as CSV."""
+    write_csv(as_declared(published, schemas.REPOSITORY), path)
+
+
+def read_repository(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, schemas.REPOSITORY)
+
+
 def tagged_line(code: Column, case_name: Column, year: Column, link: Column, mention: Column) -> Column:
     """One harvested line: the code, then named fields, tab separated.
 
