@@ -45,8 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     kept = odd_sketch.near_duplicates(docs.select("doc_id", "text"), percent=SIMILARITY_PERCENT).filter("kept").select("doc_id").distinct()
     marked = docs.filter(F.col("doc_id").isNotNull()).withColumn("_hash", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns]))
-    first = marked.groupBy("doc_id").agg(F.min("_hash").alias("_hash")).join(kept, "doc_id", "left_semi")
-    once = marked.join(first, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id"]).drop("_hash")
+    # all by doc_id, so texts are shuffled once
+    first = marked.groupBy("doc_id").agg(F.min("_hash").alias("_least")).join(kept, "doc_id", "left_semi")
+    once = marked.join(first, "doc_id").filter("_hash = _least").drop("_hash", "_least").dropDuplicates(["doc_id"])
     return once.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
