@@ -19,6 +19,10 @@ from docketflow.operators.training import View, training_rows
 from docketflow.session import materialise
 
 
+# Models that are only compared are trained until they are this close to their best objective; the chosen one is fitted closer.
+SEARCH_TOLERANCE, SEARCH_GAP = 0.05, 0.03
+
+
 @dataclass
 class Result:
     """One row of a search: the setting and its macro-F1 in every fold."""
@@ -81,7 +85,7 @@ def search_svm(df: DataFrame, width: int, key: str, features: str = "features",
     params = [{"C": c, "loss": loss} for c, loss in product(cs, losses)]
     results = _cross_validate(
         params, folds, lambda p, f: SvmSetting(p["C"], p["loss"], 0, f),
-        lambda s: fit_svms(rows, s, width, max_passes=max_passes),
+        lambda s: fit_svms(rows, s, width, None, max_passes, SEARCH_TOLERANCE, SEARCH_GAP),
         lambda m, s: holdout_counts(rows, m, s, width))
     best = first_best(results)
     model = fit_svms(rows, [SvmSetting(best.setting["C"], best.setting["loss"])], width, max_passes=max_passes)[0]
@@ -220,7 +224,7 @@ def search_tfidf_svm(df: DataFrame, key: str, analysers: dict[tuple, Column], gr
         results += _cross_validate(
             params, folds,
             lambda p, f: SvmSetting(p["C"], p["loss"], ready.view_of[(*p["limits"], f)], f),
-            lambda s: fit_svms(ready.rows, s, width, ready.views, max_passes),
+            lambda s: fit_svms(ready.rows, s, width, ready.views, max_passes, SEARCH_TOLERANCE, SEARCH_GAP),
             lambda m, s: holdout_counts(ready.rows, m, s, width, ready.views))
     best = first_best(results)
     ready, limit = prepared[best.setting["analyser"]], best.setting["limits"]

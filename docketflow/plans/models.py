@@ -181,7 +181,7 @@ def search_results(spark, sf):
     df = W.lemmatize(lowered, "link", "lowered", lemma_table(spark, sf)).drop("lowered")
     analysers = {(True, 1): T.analyse(F.col("text"), 1, F.col("lemmas")), (False, 2): T.analyse(F.col("text"), 2)}
     grid = {"max_df": (0.6, 0.8), "min_df": (1, 3), "max_features": (500,)}
-    found = R.search_tfidf_svm(df, "link", analysers, grid, cs=(1, 5))
+    found = R.search_tfidf_svm(df, "link", analysers, grid, cs=(1, 5), max_passes=30)
     path = scratch_path(spark, "search")
     found.save(spark, path)
     return R.read_results(spark, path).select(
@@ -194,7 +194,7 @@ def embedding_search(spark, sf):
     """SVM and network searches on given vectors: one vector class against the others."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"))
     folded = stratified_folds(vectors, "vec_id")
-    svm = R.search_svm(folded, WIDTH, "vec_id", "embedding", cs=V.SVM_EMBEDDING_C)
+    svm = R.search_svm(folded, WIDTH, "vec_id", "embedding", cs=V.SVM_EMBEDDING_C, max_passes=40)
     net = R.search_mlp(folded, WIDTH, "vec_id", "embedding", {"epochs": (10,), "learning_rate": (0.1, 0.01), "dropout": (0.2, 0)},
                        unit_shares=(4,))
     tables = [o.table(spark).withColumn("family", F.lit(n)) for n, o in (("svm", svm), ("mlp", net))]
@@ -261,7 +261,7 @@ def publish_scored(spark, sf):
     fixes = P.corrections_table(spark, {"0": 1}).withColumn("link", F.col("link").cast("bigint"))
     analysers = {(False, 1): T.analyse(F.col("clean_text"))}
     grid = {"max_df": (0.8,), "min_df": (1, 3), "max_features": (500,)}
-    trained = workflows.train(labelled.select("link", "label", "clean_text"), fixes, analysers, grid, (1, 5))
+    trained = workflows.train(labelled.select("link", "label", "clean_text"), fixes, analysers, grid, (1, 5), max_passes=40)
     return workflows.score_and_publish(trained, labelled, rest, fixes)
 
 
@@ -271,7 +271,7 @@ def evaluate_trained(spark, sf):
     labelled = expert(spark, sf).select("link", "label", F.lower("text").alias("clean_text"))
     trained = workflows.train(labelled, P.corrections_table(spark, {"0": 1}).withColumn("link", F.col("link").cast("bigint")),
                               {(False, 1): T.analyse(F.col("clean_text"))},
-                              {"max_df": (0.8,), "min_df": (2,), "max_features": (500,)}, (1, 5))
+                              {"max_df": (0.8,), "min_df": (2,), "max_features": (500,)}, (1, 5), max_passes=40)
     return workflows.evaluate(trained.test)
 
 
