@@ -57,6 +57,7 @@ def op2_reshard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of all documents' ids and of what they decode to; a null text is empty."""
     return byte_bpe.round_trip(_table(spark, sf, "documents"), ranks_file(), pattern())
 
 
@@ -72,6 +73,7 @@ def op4_simple8b(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op5_adaptive_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one; vectors that are null, zero or not finite take no part."""
     return adaptive_scan.search(_table(spark, sf, "embeddings"))
 
 
@@ -86,11 +88,13 @@ def op6_robust_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op7_odd_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all documents under links from similarity 0.85; null and empty texts stand alone."""
     return odd_sketch.near_duplicates(_table(spark, sf, "documents"))
 
 
 @query()
 def op8_trie_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of all documents; a null text is empty."""
     return trie_counts.token_counts(_table(spark, sf, "documents"), ranks_file(), pattern())
 
 
@@ -131,6 +135,7 @@ def _text(value: str) -> str:
 
 @query(_oracle_mixing())
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with their raked factors and whether they are drawn, half of the tokens in all; null is a value of its own."""
     docs = _table(spark, sf, "documents").select("doc_id", "source", "lang", raking.topic().alias("topic"), "text")
     mixed = raking.sample(docs, POWERS, raking.word_count(), budget=TOKEN_BUDGET)
     return mixed.select("doc_id", "source", "lang", "topic", F.col("_tokens").alias("n_tokens"), F.round("_factor", 6).alias("factor"),
@@ -139,6 +144,7 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of secrets in all documents and what they wrap; a null text has none."""
     return secret_scan.digest(secret_scan.scan(_table(spark, sf, "documents").select("doc_id", "text")))
 
 
