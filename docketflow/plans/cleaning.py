@@ -314,7 +314,7 @@ def _load_model():
 
 
 _SQL_COUNTS = ", ".join(f"len(sentence) - len(replace(sentence, '{c}', '')) AS n{i}" for i, c in enumerate(_LETTERS))
-_SQL_OUTPUTS = ", ".join("round(avg(greatest(" + " + ".join(f"{w} * n{i}" for i, w in enumerate(row)) + f", 0)), 6) AS out{k}" for k, row in enumerate(_WEIGHTS))
+_SQL_OUTPUTS = ", ".join("round(avg(greatest(" + " + ".join(f"{w} * n{i}" for i, w in enumerate(row)) + f", 0)), 9) AS out{k}" for k, row in enumerate(_WEIGHTS))
 
 
 @query(f"""WITH {_SQL_AFTER}, counts AS (SELECT doc_id, {_SQL_COUNTS} FROM after), pooled AS (SELECT doc_id, {_SQL_OUTPUTS} FROM counts GROUP BY doc_id)
@@ -322,4 +322,4 @@ _SQL_OUTPUTS = ", ".join("round(avg(greatest(" + " + ".join(f"{w} * n{i}" for i,
 def embed_batches(spark, sf):
     """Sentence vectors of a model that the workers load, averaged per document."""
     vectors = E.embed_documents(texts(spark, sf), "doc_id", "text", E.batch_encoder(_load_model))
-    return vectors.select("doc_id", *[F.round(F.col("embedding")[k], 6).alias(f"out{k}") for k in range(len(_WEIGHTS))])
+    return vectors.select("doc_id", *[F.round(F.col("embedding")[k], 9).alias(f"out{k}") for k in range(len(_WEIGHTS))])
