@@ -58,8 +58,9 @@ _SQL_BIGRAMS = f"""w AS (SELECT doc_id, {C.sql_words('text')} AS l FROM document
 
 @query(f"WITH {_SQL_BIGRAMS}, {SQL_STATS}, {sql_vocabulary('(SELECT count(*) FROM documents)')} SELECT term, cf, df FROM vocab")
 def vocabulary(spark, sf):
-    docs = _docs(spark, sf, 2)
-    return T.vocabulary(T.term_stats(docs, "terms"), docs.count(), K, MIN_DF, MAX_DF)
+    docs = _docs(spark, sf)
+    n_docs = docs.count()
+    return T.vocabulary(T.leading_stats(docs, "terms", 2, n_docs, K, MIN_DF, MAX_DF), n_docs, K, MIN_DF, MAX_DF)
 
 
 @query(f"""WITH {sql_tf('documents', 'doc_id')}, {SQL_STATS}, {sql_vocabulary('(SELECT count(*) FROM documents)')},

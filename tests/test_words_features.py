@@ -137,3 +137,22 @@ def test_term_statistics(docs):
     got = {r["term"]: (r["cf"], r["df"]) for r in T.term_stats(df, "terms").collect()}
     assert got["the"] == (3, 2) and got["cat"] == (3, 2) and got["known"] == (2, 2) and len(got) == 9
     assert T.term_frequencies(df, "k", "terms").filter("term = 'the' AND k = 0").first()["tf"] == 2
+
+
+def test_ngrams_of_rare_words_are_not_counted(spark):
+    texts = ["aa bb aa bb cc", "aa bb dd ee", "aa bb ff", None, "bb aa gg", "hh hh hh hh hh hh hh"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("words", T.analyse(F.col("text")))
+    n, every = len(texts), T.term_stats(df.select(T.analyse(F.col("text"), 3).alias("words")), "words")
+    for size, low, high in ((1, 1, 1.0), (3, 1, 1.0), (4, 2, 0.9), (500, 1, 1.0)):
+        stats = T.leading_stats(df, "words", 3, n, size, low, high)
+        assert T.vocabulary(stats, n, size, low, high).collect() == T.vocabulary(every, n, size, low, high).collect()
+    assert T.leading_stats(df, "words", 3, n, 3).filter("term = 'dd ee'").count() == 0
+
+
+def test_terms_are_counted_together_over_documents(spark, monkeypatch):
+    rows = [(0, ["x", "y", "x"]), (1, ["x"]), (0, None), (0, []), (None, ["y", "x"]), (0, ["x"])]
+    df = spark.createDataFrame(rows, "fold int, terms array<string>").coalesce(1)
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(T, "COUNTED_TERMS", size)
+        got = T.counted_terms(df, "terms", "fold").groupBy("term", "group").agg(F.sum("cf"), F.sum("df")).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([("x", 0, 3, 2), ("y", 0, 1, 1), ("x", 1, 1, 1), ("y", None, 1, 1), ("x", None, 1, 1)], key=str)
