@@ -69,3 +69,13 @@ def test_no_sentence_ends_behind_them(spark, monkeypatch, limit):
     got = {r["k"]: r["sentences"] for r in N.split_sentences(df, "text", model).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     assert got[99] is None or got[99] == []
+
+
+def test_no_row_carries_its_sentences_along_one_by_one(spark):
+    """Sentences are put together by column, whatever the rows: null, empty, all open, none open."""
+    texts = [None, "", "See No. 5. End. Of J. Doe v.", "One. Two! Three?", "v. v. v."]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(1)
+    split = N.split_sentences(df, "text", spark.createDataFrame([("v",), ("no",)], "word string"))
+    assert {r["k"]: r["sentences"] for r in split.collect()} == {
+        0: None, 1: [], 2: ["See No. 5.", "End.", "Of J. Doe v."], 3: ["One.", "Two!", "Three?"], 4: ["v. v. v."]}
+    assert "array_append" not in split._jdf.queryExecution().executedPlan().toString()
