@@ -318,3 +318,35 @@ def test_embedding_searches(spark):
 def test_first_best_wins_ties():
     a, b = R.Result({"i": 0}, [0.5]), R.Result({"i": 1}, [0.5])
     assert R.first_best([a, b]) is a
+
+
+def test_views_are_seen_without_making_them():
+    rng = np.random.default_rng(3)
+    block = rng.poisson(0.6, (40, 7)).astype(float)
+    block[5] = 0
+    views = [D.View(), D.View(rng.uniform(0, 2, 7), True), D.View(np.r_[np.zeros(4), 1, 1, 2], True), D.View(rng.uniform(0, 2, 7))]
+    of, weights = [1, 0, 2, 1, 3], rng.normal(size=(5, 7))
+    seeing = D.Views(views, of, 7)
+    expected = np.array([views[v](block) @ w for v, w in zip(of, weights)]).T
+    assert np.allclose(block @ (weights * seeing.scales()).T / seeing.lengths(block), expected)
+
+
+def test_a_task_holds_few_numbers_of_a_block(spark, monkeypatch):
+    """Blocks get shorter with more models too, and are small beside an Arrow batch of 10,000 rows."""
+    x, y, fold = _data(60)
+    rows = D.training_rows(_frame(spark, x, y, fold)).coalesce(1)
+    batch = rows.toArrow().to_batches()[0]
+    monkeypatch.setattr(D, "BLOCK_NUMBERS", 100)
+    assert max(len(b) for b, _ in D.dense_blocks(batch, 5, 50)) == 2
+    monkeypatch.undo()
+    assert 10_000 * 600 > 10 * D.BLOCK_NUMBERS
+
+
+def test_networks_with_one_draw_share_it_and_train_as_alone(spark):
+    x, y, fold = _data(80)
+    rows = D.training_rows(_frame(spark, x, y, fold), key="key")
+    settings = [N.MlpSetting(units=u, dropout=d, holdout=f, epochs=3, learning_rate=0.1) for u, d, f in ((3, 0.2, 0), (5, 0.2, None), (4, 0, 1))]
+    together = N.fit_networks(rows, settings, 5)
+    for one, s in zip(together, settings):
+        assert np.allclose(one.flat, N.fit_networks(rows, [s], 5)[0].flat, atol=1e-9)
+    assert (N.network_counts(rows, together, settings).sum(axis=1) == [16, 80, 16]).all()
