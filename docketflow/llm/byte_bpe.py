@@ -153,7 +153,8 @@ def encode(docs: DataFrame, vocabulary_file: str, pattern: str, text: str = "tex
             yield _with(batch, **added)
         own.pool.release()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(same, T.BooleanType())] * bool(same)]))
+    added_fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(same, T.BooleanType())] if same else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added_fields]))
 
 
 def decode(tokens: DataFrame, vocabulary_file: str, pattern: str, ids: str = "ids", raw: str = "decoded") -> DataFrame:

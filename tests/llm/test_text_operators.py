@@ -59,6 +59,13 @@ def test_byte_bpe_matches_and_decodes(rough):
         byte_bpe.encode(rough, queries.ranks_file(), queries.pattern(), ids="WORDS")
 
 
+def test_byte_bpe_with_and_without_the_comparison(spark):
+    docs = spark.createDataFrame([(1, "it's one"), (2, None)], "doc_id int, text string")
+    assert byte_bpe.encode(docs, queries.ranks_file(), queries.pattern()).columns == ["doc_id", "text", "ids"]
+    both = byte_bpe.encode(docs, queries.ranks_file(), queries.pattern(), same="same")
+    assert both.columns == ["doc_id", "text", "ids", "same"] and [r["same"] for r in both.collect()] == [True, True]
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for _ in range(100):
