@@ -79,13 +79,13 @@ class Codec:
         self.ranks = {token: [rank] for rank, token in enumerate(vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(vocabulary))
         self.split = regex.compile(pattern).findall
-        self.pool = pieces.Pool(self.ask, self._marks_apart())
+        self.pool = pieces.Pool(self.ask, self._cuts())
 
-    def _marks_apart(self) -> bool:
-        """Whether the pattern cuts marks off words, tried on all their letters."""
+    def _cuts(self) -> bool:
+        """Whether the pattern cuts words, marks and lines as it is done here, tried on all their letters."""
         letters = [c for c in map(chr, range(65, 256)) if regex.fullmatch(f"[{pieces.LETTERS}]", c)]
-        words = ["".join(letters), "re", "s", *letters, *(" " + c for c in letters)]
-        return all(self.split(word + mark) == [word, mark] for word in words for mark in pieces.MARKS)
+        return all(self.split("".join(parts)) == parts for trial in pieces.trials(letters, lines=True)
+                   for parts in (trial, *([[" " + trial[0], *trial[1:]]] * (trial[0] != "\n"))))
 
     def pre_tokens(self, wanted: list[str]) -> dict[str, list[int]]:
         """Ids of distinct pre-tokens: whole vocabulary entries by look-up, others by the model."""

@@ -40,14 +40,16 @@ class Library:
         return pre_token.encode().decode("latin-1").translate(self.characters)
 
     def _cuts(self) -> bool:
-        """Whether the tokenizer cuts and writes plain words as it is done here and cuts marks off them, tried on all their letters."""
+        """Whether the tokenizer cuts and writes plain words as it is done here, and cuts marks and lines off them, tried on all their letters."""
+        if any(re.fullmatch(f"[{P.LETTERS}]*[{re.escape(P.MARKS)}]*", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
         letters = [c for c in map(chr, range(65, 256)) if re.fullmatch(WORD, c)]
-        words = ["".join(letters), "re", "s", *letters]
         normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        for word in [*words, *(" " + w for w in words if not self.lower)]:
-            for mark in ("", *P.MARKS):
-                got = [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(word + mark) if normal else word + mark)]
-                if got != [self.written(word), *[mark] * bool(mark)]:
+        for parts in P.trials(letters, lines=not self.lower):
+            for first in (parts[0], *([" " + parts[0]] * (not self.lower and parts[0] != "\n"))):
+                text = "".join([first, *parts[1:]])
+                got = [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(text) if normal else text)]
+                if got != [self.written(p) for p in (first, *parts[1:])]:
                     return False
         return True
 

@@ -68,28 +68,27 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             best[_runs(widths <= bits, count)] = selector
     steps = np.array([c for c, _ in SELECTORS] + [1])
     line, place = np.arange(blocks), np.zeros(blocks, np.int64)
-    lines, places, chosen = [], [], []
+    taken = np.zeros((blocks, BLOCK), bool)
     while len(line):
-        s = best[line, place]
-        lines.append(line)
-        places.append(place)
-        chosen.append(s)
-        place = place + steps[s]
+        taken[line, place] = True
+        place = place + steps[best[line, place]]
         going = place < np.minimum(BLOCK, n - line * BLOCK)
         line, place = line[going], place[going]
-    line, place, s = np.concatenate(lines), np.concatenate(places), np.concatenate(chosen)
-    order = np.lexsort((place, line))
-    line, place, s = line[order], place[order], s[order]
+    line, place = np.nonzero(taken)
+    s = best[line, place]
     width = np.where(s == ESCAPE, 2, 1)
     at = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
-    words[at] = s.astype(np.uint64) << np.uint64(60)
+    flat, first = grid.ravel(), line * grid.shape[1] + place
     for selector, (count, bits) in enumerate(SELECTORS):
         mine = np.flatnonzero(s == selector)
+        word, start = np.full(len(mine), selector << 60, np.uint64), first[mine]
         for k in range(count if bits else 0):
-            words[at[mine]] |= grid[line[mine], place[mine] + k] << np.uint64(k * bits)
+            word |= flat[start + k] << np.uint64(k * bits)
+        words[at[mine]] = word
     raw = np.flatnonzero(s == ESCAPE)
-    words[at[raw] + 1] = grid[line[raw], place[raw]]
+    words[at[raw]] = ESCAPE << 60
+    words[at[raw] + 1] = flat[first[raw]]
     return words, at[np.concatenate([[True], line[1:] != line[:-1]])]
 
 

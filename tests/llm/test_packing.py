@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from docketflow.llm import best_fit, library_ids, queries
+from docketflow.llm import best_fit, library_ids, pieces, queries
 
 ALPHABET = [*" \n\t\r'sdtmlvre  ,.!aZé中ß12٣\x85\xa0 \x1c<|>😀́ͅİΣ​", "<|endoftext|>", "<|startoftext|>"]
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,44 @@ def test_ids_equal_the_library(name):
     assert len(ids) == len(sizes) == 0
 
 
+def _words_and_marks(n, seed=5):
+    """Texts of words with marks, line ends, digits and apostrophes around them."""
+    rnd = random.Random(seed)
+    words, others = ["one", "Two", "Étage", "ÿ", "re", "S", "straße", "ªb", "x7", "中a", "e\u0301"], [*".,!&#*-_<|>~\"(;", "...", "&&&", "\n", "\n", "\n\n", "'s", "'", "7", "\t", "\r\n", "<|endoftext|>"]
+    return [" ".join("".join(rnd.choice(words if rnd.random() < 0.5 else others) for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(1, 5))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_words_between_marks_and_lines(name):
+    own, plain, texts = library_ids.TextIds(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name)), _words_and_marks(6000)
+    ids, sizes = own.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    for text, end, size, want in zip(texts, ends, sizes, plain.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids[end - size : end].tolist() == want.ids, text
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_asked_for_once_whatever_marks_are_around_them(name):
+    own, asked = library_ids.TextIds(public_tokenizers.path(name)), []
+    library = own.pool.ask
+    own.pool.ask = lambda wanted: (asked.extend(wanted), library(wanted))[1]
+    words, marks = ["one", "two", "three", "vier", "fünf"], ["", ".", ",", "!!", "&&&", ",###", "..."]
+    for _ in range(2):
+        own.encode(pa.array([f"a {word}{mark}{end}{other} b" for word in words for mark in marks for end in ("\n", " ") for other in words]))
+    assert len(asked) == len(set(asked)) <= 2 * len(words) + len(marks) + 5
+
+
+def test_a_full_pool_starts_anew(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 500)
+    own, plain = library_ids.TextIds(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(5):
+        texts = _words_and_marks(20, seed=i)
+        assert own.encode(pa.array(texts))[0].tolist() == [k for t in texts for k in plain.encode(t, add_special_tokens=False).ids]
+        assert len(own.pool.known) < 200
+    own.pool.release()
+    assert not len(own.pool.known) and not own.pool.held
+
+
 def _plain_best_fit(lengths, size):
     room = []
     for length in sorted(lengths, reverse=True):

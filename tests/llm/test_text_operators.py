@@ -66,6 +66,18 @@ def test_byte_bpe_with_and_without_the_comparison(spark):
     assert both.columns == ["doc_id", "text", "ids", "same"] and [r["same"] for r in both.collect()] == [True, True]
 
 
+def test_byte_bpe_of_words_between_marks_and_lines():
+    rnd, encoding = random.Random(4), _encoding()
+    parts = ["one", "Étage", "ÿ", "re", "7", "中a", ".", ",###", "!!", "_", "'s", "'", "\n", "\n", "\n\n", "\t", "<|>"]
+    texts = [" ".join("".join(rnd.choices(parts, k=rnd.randrange(1, 6))) for _ in range(rnd.randrange(1, 5))) for _ in range(5000)]
+    own = byte_bpe.codec(queries.ranks_file(), queries.pattern())
+    ids, sizes = own.encode(pa.array(texts))
+    assert own.pool.marks
+    ends = np.cumsum(sizes)
+    for text, end, size in zip(texts, ends, sizes):
+        assert ids[end - size : end].tolist() == encoding.encode_ordinary(text), text
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for _ in range(100):
