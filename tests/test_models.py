@@ -1,3 +1,4 @@
+import inspect
 from itertools import product
 
 import numpy as np
@@ -5,8 +6,11 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from docketflow import fixed_values as V
 from docketflow.functions.text import feature_words
 from docketflow.operators import features as T, linear as L, network as N, search as R, training as D
+from docketflow.plans import all_queries
 from docketflow.session import scratch_path
 
 
@@ -350,3 +354,98 @@ def test_networks_with_one_draw_share_it_and_train_as_alone(spark):
     for one, s in zip(together, settings):
         assert np.allclose(one.flat, N.fit_networks(rows, [s], 5)[0].flat, atol=1e-9)
     assert (N.network_counts(rows, together, settings).sum(axis=1) == [16, 80, 16]).all()
+
+
+# --- whole grids ------------------------------------------------------------------------------
+
+def _searched(monkeypatch, spark, name, query):
+    """What a query hands to a search, defaults filled in, without the search."""
+    search, found = getattr(R, name), {}
+
+    def stand_in(*args, **kwargs):
+        bound = inspect.signature(search).bind(*args, **kwargs)
+        bound.apply_defaults()
+        found.update(bound.arguments)
+        raise LookupError
+
+    monkeypatch.setattr(R, name, stand_in)
+    with pytest.raises(LookupError):
+        all_queries()[query](spark, SMALL)
+    assert list(found["analysers"]) == list(product((True, False), (1, 2)))
+    assert (found["grid"] or V.TFIDF_GRID) == V.TFIDF_GRID and found["folds"] == 5
+    return found
+
+
+def test_network_search_query_has_both_whole_grids(spark, monkeypatch):
+    found = _searched(monkeypatch, spark, "search_tfidf_mlp", "mlp_search_tfidf")
+    grid = found["mlp_grid"] or V.MLP_GRID
+    assert grid == {"epochs": (10, 20, 50, 100), "learning_rate": (0.1, 0.01, 0.001), "dropout": (0.2, 0)}
+    assert found["unit_shares"] == (20, 10, 4, 2)
+
+
+def _viewed(spark, n=120, width=9):
+    """Rows of counts, and three views of them: all columns as they are, and two with some columns weighted."""
+    rng = np.random.default_rng(8)
+    x, y, fold = rng.poisson(0.7, (n, width)).astype(float), (rng.random(n) < 0.4).astype(int), np.arange(n) % 5
+    x[3] = 0
+    scale = rng.uniform(1, 2, width)
+    views = [D.View(), D.View(scale, True), D.View(np.where(np.arange(width) % 3 > 0, scale, 0), True)]
+    return D.training_rows(_frame(spark, x, y, fold).repartition(3), key="key").cache(), views
+
+
+@pytest.mark.parametrize("block_numbers, cached, kept", [(500_000, 1 << 16, 8_000_000), (60, 30, 10)])
+def test_networks_with_all_rows_in_a_task_train_as_over_parts(spark, monkeypatch, block_numbers, cached, kept):
+    rows, views = _viewed(spark)
+    monkeypatch.setattr(D, "BLOCK_NUMBERS", block_numbers)
+    monkeypatch.setattr(N, "CACHED_WEIGHTS", cached)
+    monkeypatch.setattr(N, "KEPT_NUMBERS", kept)
+    table = D.held(rows.withColumn("part", N._part(3)))
+    for view, fold, dropout in ((2, 4, 0.2), (1, None, 0), (0, 1, 0.05)):
+        networks = [N.MlpSetting(u, r, dropout, 5, view, fold) for u, r in product((3, 7), (0.1, 0.01))]
+        together, taken = N._Together(table, networks, views[view], 9), 0
+        for epoch in range(5):
+            for part in np.random.default_rng(epoch).permutation(3):
+                together.step(taken := taken + 1, part)
+        over_parts = N.fit_networks(rows, networks, 9, views, 3)
+        for i, m in enumerate(over_parts):
+            assert np.allclose(together.flat(i), m.flat, atol=1e-9)
+        assert np.array_equal(together.counts(), N.network_counts(rows, over_parts, networks))
+
+
+def test_networks_dealt_over_tasks_are_the_same(spark, monkeypatch):
+    rows, views = _viewed(spark)
+    settings = [N.MlpSetting(u, 0.1, d, e, v, f) for u, d, e, (v, f) in product((7, 3), (0.2, 0), (2, 4), ((2, None), (1, 0)))]
+    monkeypatch.setattr(N, "DEALT_WEIGHTS", 80)
+    found = []
+    for held_bytes in (D.HELD_BYTES, -1):
+        monkeypatch.setattr(D, "HELD_BYTES", held_bytes)
+        found.append(([m.flat for m in N.fit_networks_apart(rows, settings, 9, views, 3)], N.searched_counts(rows, settings, 9, views, 3)))
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(found[0][0], found[1][0], strict=True))
+    assert np.array_equal(found[0][1], found[1][1]) and (found[0][1].sum(axis=1) == [120, 24] * 8).all()
+
+
+def test_epochs_of_one_network_are_looked_at_on_the_way(spark, monkeypatch):
+    rows, views = _viewed(spark)
+    settings = [N.MlpSetting(4, 0.1, 0.2, e, 1, 2) for e in (6, 1, 3)]
+    alone = [N.fit_networks(rows, [s], 9, views, 2)[0].flat for s in settings]
+    steps = []
+    count = N.gradient_of
+    monkeypatch.setattr(N, "gradient_of", lambda r, s, *rest: steps.append(len(s)) or count(r, s, *rest))
+    together = N.fit_networks(rows, settings, 9, views, 2)
+    assert [m.setting["epochs"] for m in together] == [6, 1, 3] and steps == [1] * 12
+    assert all(np.allclose(m.flat, one, atol=1e-12) for m, one in zip(together, alone))
+
+
+def test_limits_with_one_vocabulary_are_fitted_once(spark, monkeypatch):
+    df = _corpus(spark)
+    analysers = {(False, 1): T.analyse(F.col("text"))}
+    grid = {"max_df": (0.9, 1.0), "min_df": (1, 2), "max_features": (10, 30)}
+    nets = {"epochs": (3, 6), "learning_rate": (0.1,), "dropout": (0,)}
+    asked, count = [], R.searched_counts
+    monkeypatch.setattr(R, "searched_counts", lambda rows, s, *rest: asked.append(s) or count(rows, s, *rest))
+    out = R.search_tfidf_mlp(df, "link", analysers, grid, nets, unit_shares=(5,))
+    assert len(out.results) == 16 and len(asked[0]) == len(set(asked[0])) < 16 * 5
+    # the ten most frequent words are the same whether or not words of a single document may be chosen
+    scores = {(r.setting["limits"], r.setting["epochs"]): r.fold_scores for r in out.results}
+    assert all(scores[(d, 1, 10), e] == scores[(d, 2, 10), e] for d in (0.9, 1.0) for e in (3, 6))
+    assert len({tuple(s) for s in scores.values()}) > 2
