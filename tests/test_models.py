@@ -449,3 +449,23 @@ def test_limits_with_one_vocabulary_are_fitted_once(spark, monkeypatch):
     scores = {(r.setting["limits"], r.setting["epochs"]): r.fold_scores for r in out.results}
     assert all(scores[(d, 1, 10), e] == scores[(d, 2, 10), e] for d in (0.9, 1.0) for e in (3, 6))
     assert len({tuple(s) for s in scores.values()}) > 2
+
+
+def test_svm_search_query_has_the_whole_grid(spark, monkeypatch):
+    found = _searched(monkeypatch, spark, "search_tfidf_svm", "search_results")
+    assert tuple(found["cs"]) == (0.1, 1, 2, 5) and set(found["losses"]) == {"hinge", "squared_hinge"}
+    assert found["max_passes"] >= L.MAX_PASSES and max(found["gap"], found["tolerance"]) <= L.GAP
+
+
+def test_svms_dealt_over_tasks_are_the_same(spark, monkeypatch):
+    rows, views = _viewed(spark)
+    settings = [L.SvmSetting(c, loss, v, f) for c, loss, (v, f) in product((0.1, 1, 5), V.SVM_LOSSES, ((1, 0), (2, 4), (2, None), (0, 1)))]
+    monkeypatch.setattr(L, "DEALT_MODELS", 5)
+    here = L.fit_svms(rows, settings, 9, views)
+    for held_bytes in (D.HELD_BYTES, -1):
+        monkeypatch.setattr(D, "HELD_BYTES", held_bytes)
+        for a, b, s in zip(L.fit_svms_apart(rows, settings, 9, views), here, settings, strict=True):
+            assert a.setting == vars(s) and a.report["gap"] <= L.GAP and not a.report["stopped"]
+            assert a.report["primal"] == pytest.approx(b.report["primal"], rel=1e-3) and np.allclose(a.weights, b.weights, atol=0.05)
+    with pytest.warns(UserWarning, match="of 24 models were stopped after 2 passes"):
+        L.fit_svms_apart(rows, settings, 9, views, max_passes=2)
